@@ -60,3 +60,8 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     values = batch.column(batch.schema.get_field_index(column))
     kind = pa.large_binary() if pa.types.is_large_string(values.type) else pa.binary()
     return values.cast(kind).to_pylist()
+
+
+def plain_names(docs: DataFrame, *kept: str) -> DataFrame:
+    """``docs`` with every column but ``kept`` named by its place, so that added columns can't clash."""
+    return docs.toDF(*[c if c in kept else f"_c{i}" for i, c in enumerate(docs.columns)])

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import pieces, table, texts, unsigned_share
+from inkwell.llm.common import pieces, plain_names, table, texts, unsigned_share
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -126,13 +126,14 @@ def identify(docs: DataFrame, words: dict[str, list[str]], carry: list[str], clo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(shared.value, levels, close, min_margin)
-        for batch in pieces(batches, "_text"):
-            found = [model.predict(t) for t in texts(batch, "_text")]
+        for batch in pieces(batches, shown):
+            found = [model.predict(t) for t in texts(batch, shown)]
             added = [pa.array([f[k] for f in found], kind) for k, kind in ((0, pa.string()), (1, pa.float64()), (2, pa.bool_()))]
             kept = [batch.column(i) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays(kept + added, names=[*carry, "lang_pred", "score", "accepted"])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("_text"))
+    shown = "text" if "text" in carry else "_text"
+    given = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if shown == "text" else [F.col("text").alias(shown)]))
     fields = given.select(*[f"`{c}`" for c in carry]).schema
     for name, kind in (("lang_pred", "string"), ("score", "double"), ("accepted", "boolean")):
         fields = fields.add(name, kind)
@@ -157,6 +158,6 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can't be told go; a missing ``lang`` isn't filled in."""
-    columns = docs.columns
-    found = identify(docs, learn(docs), columns)
-    return found.where("accepted").select(*[f"`{c}`" for c in columns])
+    named = plain_names(docs, "text")
+    found = identify(named, learn(docs), named.columns)
+    return found.where("accepted").select(*named.columns).toDF(*docs.columns)

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from inkwell.llm.langid import op1_langid
+from inkwell.llm.mixing import op8_mixing
 from inkwell.llm.secrets import op3_secrets
+from inkwell.llm.sharding import op2_sharding
 from inkwell.llm.simhash import op5_simhash
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
     "op5_simhash": op5_simhash,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}

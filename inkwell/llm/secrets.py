@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import pieces, table, texts, utf8
+from inkwell.llm.common import pieces, plain_names, table, texts, utf8
 
 try:  # the parser is a public module of the standard library under either name
     from re import _constants as rc
@@ -248,12 +248,13 @@ def scan_secrets(docs: DataFrame, carry: list[str], rules: tuple[Rule, ...] = BA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in pieces(batches, "_text", 4 << 20):
-            spans = scanner.scan(texts(batch, "_text"), utf8(batch, "_text"))
+        for batch in pieces(batches, shown, 4 << 20):
+            spans = scanner.scan(texts(batch, shown), utf8(batch, shown))
             found = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in one] for one in spans], kind)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), found], names=[*carry, "found"])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], F.col("text").alias("_text"))
+    shown = "text" if "text" in carry else "_text"
+    given = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if shown == "text" else [F.col("text").alias(shown)]))
     schema = given.select(*[f"`{c}`" for c in carry]).schema.add("found", FOUND)
     return given.mapInArrow(run, schema)
 
@@ -295,9 +296,9 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; its secrets are replaced by their kind, and ``n_chars`` follows the text."""
-    columns = docs.columns
-    schema = docs.schema
-    found = scan_secrets(docs, columns)
+    named = plain_names(docs, "text", "n_chars")
+    columns, schema = named.columns, named.schema
+    found = scan_secrets(named, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -310,4 +311,4 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
                 made["n_chars"] = pa.array(counts, before.type)
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(columns)], names=columns)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, schema).toDF(*docs.columns)
