@@ -7,11 +7,13 @@ from inkwell.llm.mixing import op8_mixing
 from inkwell.llm.secrets import op3_secrets
 from inkwell.llm.sharding import op2_sharding
 from inkwell.llm.simhash import op5_simhash
+from inkwell.llm.sketch import op4_fingerprints
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_sharding": op2_sharding,
     "op3_secrets": op3_secrets,
+    "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op8_mixing": op8_mixing,
 }
