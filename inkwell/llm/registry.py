@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkwell.llm.langid import op1_langid
 from inkwell.llm.mixing import op8_mixing
+from inkwell.llm.pieces import op9_pieces
 from inkwell.llm.secrets import op3_secrets
 from inkwell.llm.sharding import op2_sharding
 from inkwell.llm.simhash import op5_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
     "op8_mixing": op8_mixing,
+    "op9_pieces": op9_pieces,
 }
 
 ORACLE_SQL: dict[str, str] = {}
