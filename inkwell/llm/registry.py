@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from inkwell.llm.ann import op6_ann
+from inkwell.llm.chat import op7_chat
+from inkwell.llm.htmltext import op10_htmltext
 from inkwell.llm.langid import op1_langid
 from inkwell.llm.mixing import op8_mixing
 from inkwell.llm.pieces import op9_pieces
@@ -16,8 +19,11 @@ QUERIES = {
     "op3_secrets": op3_secrets,
     "op4_fingerprints": op4_fingerprints,
     "op5_simhash": op5_simhash,
+    "op6_ann": op6_ann,
+    "op7_chat": op7_chat,
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
+    "op10_htmltext": op10_htmltext,
 }
 
 ORACLE_SQL: dict[str, str] = {}
