@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,6 +10,14 @@ from pyspark.sql import functions as F
 from inkwell import params
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` uses it.
+
+    Projections are merged by copying expressions, and a copy inside a lambda would run for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, the ideographic space included."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -57,32 +65,43 @@ def tokens(text: Column, stop_words: Sequence[str] = params.STOP_WORDS) -> Colum
     return F.filter(parts, lambda t: (F.length(t) >= 2) & ~t.isin(*stop_words))
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """All substrings of n characters; none for a shorter text."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+def ngrams(text: Column, *sizes: int) -> Column:
+    """All substrings of each of ``sizes`` characters.
+
+    The text is cut into characters once: finding the i-th character of a UTF-8 string takes i steps.
+    """
+
+    def of(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(chars) - (n - 1))
+        return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda chars: F.concat(*[of(chars, n) for n in sizes]))
 
 
 def terms(text: Column, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS) -> Column:
     """struct(shorts, bigrams, trigrams): tokens of 2 to 4 characters, and n-grams of longer ones."""
-    held = tokens(text, stop_words)
-    long_ones = F.filter(held, lambda t: F.length(t) > 4)
 
-    def grams(n: int) -> Column:
-        return F.filter(F.flatten(F.transform(long_ones, lambda t: ngrams(t, n))), lambda g: ~g.isin(*stop_ngrams))
+    def of(held: Column) -> Column:
+        def grams(n: int) -> Column:
+            long_ones = F.filter(held, lambda t: F.length(t) > 4)
+            return F.filter(F.flatten(F.transform(long_ones, lambda t: ngrams(t, n))), lambda g: ~g.isin(*stop_ngrams))
+
+        return F.struct(F.filter(held, lambda t: F.length(t) <= 4).alias("shorts"), grams(2).alias("bigrams"), grams(3).alias("trigrams"))
 
-    return F.struct(F.filter(held, lambda t: F.length(t) <= 4).alias("shorts"), grams(2).alias("bigrams"), grams(3).alias("trigrams"))
+    return let(tokens(text, stop_words), of)
 
 
 def significant_terms(text: Column) -> Column:
-    found = terms(text)
-    return F.concat(found["shorts"], found["bigrams"], found["trigrams"])
+    return let(terms(text), lambda found: F.concat(found["shorts"], found["bigrams"], found["trigrams"]))
 
 
 def typed_terms(text: Column, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS) -> Column:
     """Distinct struct(kind, term) with kind s, b or t; one array to explode."""
-    found = terms(text, stop_words, stop_ngrams)
-    parts = [F.transform(F.array_distinct(found[name]), lambda t, k=name[0]: F.struct(F.lit(k).alias("kind"), t.alias("term"))) for name in ("shorts", "bigrams", "trigrams")]
-    return F.concat(*parts)
+
+    def typed(found: Column, name: str) -> Column:
+        return F.transform(F.array_distinct(found[name]), lambda t: F.struct(F.lit(name[0]).alias("kind"), t.alias("term")))
+
+    return let(terms(text, stop_words, stop_ngrams), lambda found: F.concat(typed(found, "shorts"), typed(found, "bigrams"), typed(found, "trigrams")))
 
 
 def lines_of(text: Column) -> Column:

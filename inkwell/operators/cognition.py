@@ -43,8 +43,7 @@ def contained(texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact
         return rows.select(F.col(key).alias(key), strip(F.col(column)).alias(f"{name}_strip"), normalised(F.col(column)).alias(f"{name}_norm")).where(F.length(f"{name}_strip") > 0)
 
     def grams(rows: DataFrame, key: str, name: str) -> DataFrame:
-        norm = F.col(f"{name}_norm")
-        return rows.select(key, F.explode(F.array_distinct(F.concat(ngrams(norm, 1), ngrams(norm, 2), ngrams(norm, 3)))).alias("gram"))
+        return rows.select(key, F.explode(F.array_distinct(ngrams(F.col(f"{name}_norm"), 1, 2, 3))).alias("gram"))
 
     def head(rows: DataFrame, key: str, name: str) -> DataFrame:
         return rows.where(F.length(f"{name}_norm") > 0).select(key, F.left(f"{name}_norm", F.lit(3)).alias("gram"))

@@ -48,7 +48,7 @@ def revised_beliefs(updates: DataFrame, agent: str = "agent") -> DataFrame:
                 waiting.append(row.seq)
             elif waiting:
                 notes[waiting.pop(0)] = row.note
-        return pd.DataFrame({agent: [group[agent].iloc[0]] * len(notes), "seq": list(notes), "revised_evidence": list(notes.values())})
+        return pd.DataFrame({agent: [group[agent].iloc[0]] * len(notes), "seq": list(notes), "revised_evidence": list(notes.values())}, dtype=object)
 
     revised = born.unionByName(hit).groupBy(agent, "about").applyInPandas(replay, f"{agent} {kinds[agent]}, seq {kinds['seq']}, revised_evidence string")
     out = used.select(agent, "seq", F.coalesce(F.nullif("subject", F.lit("")), F.lit("?")).alias("subject"), "proposition", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))

@@ -27,7 +27,7 @@ def split_by_visibility(actions: DataFrame, agent: str = "agent", visible: str =
     """``actions`` with ``pov``: private where the agent marks visibility anywhere and this action isn't visible."""
     marks = F.max(F.col(visible).isNotNull()).over(Window.partitionBy(agent))
     private = marks & ~F.coalesce(F.col(visible), F.lit(True))
-    return actions.withColumn("is_private", private).withColumn("pov", F.when(private, F.concat(F.col(agent), F.lit("_private"))).otherwise(F.col(agent)))
+    return actions.withColumn("is_private", private).withColumn("pov", F.concat(F.col(agent).cast("string"), F.when(private, "_private").otherwise("")))
 
 
 def observation_events(observations: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def repaired_chapters(days: DataFrame, chapters: int, arc: str = "arc") -> DataF
         for k, end in enumerate(cuts):
             chapter += [k + 1] * max(0, end - seen)
             seen = max(seen, end)
-        return pd.DataFrame({arc: group[arc], "day": group["day"], "chapter": chapter[:n]})
+        return pd.DataFrame({arc: group[arc].tolist(), "day": group["day"].tolist(), "chapter": chapter[:n]}, dtype=object)
 
     kinds = dict(days.dtypes)
     return days.groupBy(arc).applyInPandas(one, f"{arc} {kinds[arc]}, day {kinds['day']}, chapter int")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import env
-from inkwell.functions.text import typed_terms
+from inkwell.functions.text import strip, typed_terms
 from inkwell.operators import chapters, cognition, memory, scenes, style, timeline, world
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -368,8 +368,8 @@ def shared_scenes(spark, d):
     return scenes.shared_scenes(_actions(spark, d))
 
 
-@query("scene_agents", f"""WITH {SQL_ACTIONS}, f AS (SELECT day, location, agent, min(seq) AS at FROM actions GROUP BY 1, 2, 3)
-SELECT day, location, string_agg(CAST(agent AS VARCHAR), ',' ORDER BY at) AS agents FROM f GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("scene_agents", f"""WITH {SQL_ACTIONS}, f AS (SELECT day, location, agent, min(seq) AS pos FROM actions GROUP BY 1, 2, 3)
+SELECT day, location, string_agg(CAST(agent AS VARCHAR), ',' ORDER BY pos) AS agents FROM f GROUP BY 1, 2 HAVING count(*) >= 2""")
 def scene_agents(spark, d):
     return scenes.scene_agents(_actions(spark, d)).withColumn("agents", F.array_join("agents", ","))
 
@@ -427,10 +427,10 @@ def chapter_scopes(spark, d):
     return found.withColumn("n_locations", places.cast("long")).drop("locations")
 
 
-@query("mechanical_sections", f"""WITH {SQL_EVENTS}, e AS (SELECT day AS chapter, seq, pov, location, brief, row_number() OVER (PARTITION BY day ORDER BY time, seq) - 1 AS at, count(*) OVER (PARTITION BY day) AS n FROM ev),
+@query("mechanical_sections", f"""WITH {SQL_EVENTS}, e AS (SELECT day AS chapter, seq, pov, location, brief, row_number() OVER (PARTITION BY day ORDER BY time, seq) - 1 AS pos, count(*) OVER (PARTITION BY day) AS n FROM ev),
 p AS (SELECT *, greatest(1, n // 3) AS per FROM e), s AS (SELECT *, unnest([0, 1, 2]) AS section FROM p),
-k AS (SELECT * FROM s WHERE CASE WHEN section * per < n THEN at // per = section ELSE at >= n - per END)
-SELECT chapter, CAST(section + 1 AS INT) AS section, count(*) AS n_events, string_agg('- ' || pov || ': ' || left(brief, 60), chr(10) ORDER BY at) FILTER (at % per < 5) AS briefs FROM k GROUP BY 1, 2""")
+k AS (SELECT * FROM s WHERE CASE WHEN section * per < n THEN pos // per = section ELSE pos >= n - per END)
+SELECT chapter, CAST(section + 1 AS INT) AS section, count(*) AS n_events, string_agg('- ' || pov || ': ' || left(brief, 60), chr(10) ORDER BY pos) FILTER (pos % per < 5) AS briefs FROM k GROUP BY 1, 2""")
 def mechanical_sections(spark, d):
     order = F.row_number().over(Window.partitionBy("day").orderBy("time", "seq"))
     events = _events(spark, d).withColumn("seq", order).withColumnRenamed("day", "chapter")
@@ -739,11 +739,12 @@ def term_overlap(spark, d):
 
 
 @query("table_rows", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),
-c AS (SELECT doc_id, line, list_transform(string_split(regexp_replace(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '^\||\|$', '', 'g'), '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS cells FROM l WHERE starts_with(regexp_replace(raw, '^\s+|\s+$', '', 'g'), '|'))
-SELECT doc_id, CAST(line AS INT) AS line, CAST(len(cells) AS INT) AS n_cells FROM c""")
+c AS (SELECT doc_id, line, list_transform(string_split(raw, '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS cells FROM l WHERE contains(raw, '|') AND NOT starts_with(regexp_replace(raw, '^\s+', ''), '|') AND NOT ends_with(regexp_replace(raw, '\s+$', ''), '|'))
+SELECT doc_id, CAST(line AS INT) AS line, CAST(len(cells) AS INT) AS n_cells, cells[1] AS first_cell, cells[-1] AS last_cell FROM c""")
 def table_rows(spark, d):
     from inkwell.sources.vault import table_cells
 
-    lines = style.document_lines(read(spark, d, "documents"), "doc_id")
-    return table_cells(lines).select("doc_id", "line", F.size("cells").alias("n_cells"))
-
+    bare = ~strip(F.col("raw")).startswith("|") & ~strip(F.col("raw")).endswith("|")
+    lines = style.document_lines(read(spark, d, "documents"), "doc_id").where(F.col("raw").contains("|") & bare)
+    found = table_cells(lines.withColumn("raw", F.concat(F.lit("| "), "raw", F.lit(" |"))))
+    return found.select("doc_id", "line", F.size("cells").alias("n_cells"), F.col("cells")[0].alias("first_cell"), F.element_at("cells", -1).alias("last_cell"))

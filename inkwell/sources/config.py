@@ -9,7 +9,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from inkwell.sources.frontmatter import parse_frontmatter
 
@@ -147,7 +146,7 @@ def load_dimensions(spark: SparkSession, path: str) -> dict:
     return found if isinstance(found, dict) and "dimensions" in found else default_dimensions()
 
 
-LEXICON_SCHEMA = T.StructType.fromDDL("category string, word string, severity string, allowed int")
+LEXICON_SCHEMA = "category string, word string, severity string, allowed int"
 
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:

@@ -26,7 +26,8 @@ def load_states(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each agent file; missing keys get defaults, files that aren't JSON are left out."""
     if not exists(spark, f"{folder}/*.json"):
         return spark.createDataFrame([], STATE)
-    read = spark.read.schema(STATE + ", _broken string").json(f"{folder}/*.json", multiLine=True, columnNameOfCorruptRecord="_broken").where("_broken is null")
+    whole = spark.read.text(f"{folder}/*.json", wholetext=True)
+    read = whole.select(F.from_json("value", STATE + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("s")).select("s.*").where("_broken is null")
     return read.drop("_broken").withColumns({
         "emotional_state": F.coalesce("emotional_state", F.lit("平静")), "mutation_phase": F.coalesce("mutation_phase", F.lit(0)),
         "perception_stage": F.coalesce("perception_stage", F.lit("")), "location": F.coalesce("location", F.lit("")),
@@ -52,7 +53,7 @@ def tom_of(states: DataFrame) -> DataFrame:
 
 
 def _pointer(folder: str) -> str:
-    return f"{folder}/_current"
+    return f"{folder}/current.txt"
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -109,7 +110,7 @@ def save_tick(result: DataFrame, folder: str, stamp: str) -> str:
     """A tick result under its time stamp, and a pointer to the latest."""
     path = f"{folder}/tick-{stamp}"
     result.write.json(path)
-    _write_text(result.sparkSession, f"{folder}/_latest", path)
+    _write_text(result.sparkSession, f"{folder}/latest.txt", path)
     return path
 
 
