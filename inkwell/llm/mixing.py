@@ -198,7 +198,8 @@ class Mix:
         keys = self.chosen.select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), F.col("pattern").alias("_p"), F.lit(1).alias("_more"))
         same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_s")) & F.col("pattern").eqNullSafe(F.col("_p"))
         edge = placed.where("bucket = edge").join(keys, same, "left").withColumn("times", F.col("whole") + F.coalesce("_more", F.lit(0))).drop("_d", "_s", "_p", "_more")
-        return plain.unionByName(edge).drop("whole", "rest", "buckets", "full", "edge", "left", "bucket")
+        both = plain.unionByName(edge).withColumn("times", F.when(F.col("size") > 0, F.col("times")).otherwise(0))
+        return both.drop("whole", "rest", "buckets", "full", "edge", "left", "bucket")
 
 
 def _one(pattern: str | None) -> tuple:

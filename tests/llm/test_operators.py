@@ -1,0 +1,453 @@
+"""Each operator against brute force, a round trip or held-out accuracy."""
+
+import hashlib
+import itertools
+import random
+import re
+from pathlib import Path
+
+import numpy as np
+import pyarrow.parquet as pq
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from inkwell.llm import ann, chat, htmltext, langid, mixing, pieces, secrets, sharding, simhash, sketch
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def documents():
+    return pq.read_table(f"{SF}/documents.parquet").to_pylist()
+
+
+# --- language ID ---------------------------------------------------------------------------------------
+
+
+def test_language_of_held_out_documents(spark, documents):
+    found = {r.doc_id: r for r in langid.op1_langid(spark, SF).collect()}
+    held = [d for d in documents if found[d["doc_id"]].held_out and len(d["text"]) > 40]
+    right = sum(found[d["doc_id"]].lang_pred == d["lang"] for d in held)
+    assert len(held) > 20 and right / len(held) > 0.95
+    assert all(0 <= r.score <= 1 for r in found.values())
+
+
+# --- sharding --------------------------------------------------------------------------------------------
+
+
+def brute_best_fit(weights, capacity):
+    bins, homes = [], []
+    for w in sorted(weights, reverse=True):
+        fits = [(room, k) for k, room in enumerate(bins) if room >= w]
+        if fits:
+            k = min(fits)[1]
+        else:
+            bins.append(capacity)
+            k = len(bins) - 1
+        bins[k] -= w
+        homes.append((w, k))
+    return sorted(homes), len(bins)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=60))
+def test_best_fit_by_histogram_is_best_fit(weights):
+    histogram = [(w, weights.count(w)) for w in set(weights)]
+    runs, opened = sharding.best_fit_decreasing(histogram, 30)
+    assert (sorted((w, s) for w, a, b, s in runs for _ in range(b - a)), opened) == brute_best_fit(weights, 30)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 1000), min_size=1, max_size=80))
+def test_equal_packing_places_every_group_once(weights):
+    histogram = [(w, weights.count(w)) for w in set(weights)]
+    runs = sharding.pack_equal(histogram, 8)
+    for w, n in histogram:
+        assert sorted(k for x, a, b, _ in runs if x == w for k in range(a, b)) == list(range(n))
+    assert all(0 <= s < 8 for *_, s in runs)
+
+
+def test_shards(spark, documents):
+    rows = sharding.op2_sharding(spark, SF).collect()
+    size = {d["doc_id"]: len(d["text"].encode()) + 1 for d in documents}
+    assert sorted(r.doc_id for r in rows) == sorted(size) and all(r["size"] == size[r.doc_id] for r in rows)
+    totals = [sum(r["size"] for r in rows if r.shard == s) for s in range(8)]
+    assert max(totals) - min(totals) < 0.02 * sum(totals)
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    text = {d["doc_id"]: d["text"] for d in documents}
+    homes = {}
+    for r in rows:
+        homes.setdefault(text[r.doc_id], set()).add(r.shard)
+    assert all(len(h) == 1 for h in homes.values())
+
+
+def test_fixed_capacity(spark, documents):
+    df = spark.createDataFrame([(d["doc_id"], d["text"], 0) for d in documents], "doc_id long, text string, x int")
+    rows = sharding.pack_fixed(sharding.members_of(df), 50_000).collect()
+    totals = {}
+    for r in rows:
+        totals[r.shard] = totals.get(r.shard, 0) + r["size"]
+    assert len(rows) == len(documents) and max(totals.values()) <= 50_000 and len(totals) <= sum(totals.values()) / 50_000 + 2
+
+
+# --- secrets ---------------------------------------------------------------------------------------------
+
+
+def test_trigram_queries_never_miss():
+    r = random.Random(3)
+    parts = ["password", "PassWD", "token", "api_key", "APIkey", "AKIA", "=", ": ", '"', "abcdef12", "Z" * 16, "0123456789abcdef01234567", "eyJabcdefgh.abcdefgh.abcd", "ghp_" + "a" * 36, "x://u:pass@", " ", "é", "-----BEGIN RSA PRIVATE KEY-----"]
+    held = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(400)]
+    scanner = secrets.Scanner(secrets.BASE + secrets.MORE)
+    found = scanner.scan(held, [t.encode() for t in held])
+    for text, spans in zip(held, found):
+        plain = [(rule.kind, *m.span()) for rule in secrets.BASE + secrets.MORE for m in re.compile(rule.pattern, re.A).finditer(text) if len(m[rule.group]) >= rule.least]
+        assert spans == plain
+    assert sum(map(len, found)) > 200
+
+
+def test_rules_without_trigrams_scan_everything():
+    assert secrets.trigram_query("[0-9a-f]{24,}") == secrets.ALL
+    assert secrets.trigrams_of(secrets.trigram_query("AKIA[A-Z]+")) == {"aki", "kia"}
+
+
+def test_base_spans(spark, documents):
+    key = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for r in secrets.op3_secrets(spark, SF).collect():
+        text = next(d["text"] for d in documents if d["doc_id"] == r.doc_id)
+        spans = [("assign", *m.span()) for m in key.finditer(text) if len(m[1]) >= 6]
+        spans += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        spans += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        order = ["assign", "access", "hex"]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order.index(s[0]))))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+
+
+def test_redaction():
+    assert secrets.redact("a SECRET b", [("k", 2, 8), ("j", 4, 6)]) == "a [k] b"
+    assert secrets.redact(None, []) is None
+
+
+# --- fingerprints ----------------------------------------------------------------------------------------
+
+
+def shingles(text, n=5):
+    words = text.encode().split()
+    return {b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def test_sketch_estimates(documents):
+    held = [d["text"] for d in documents[:60]]
+    for a, b in itertools.pairwise(held):
+        mixed = a[: len(a) // 2] + " " + b
+        for x, y in ((a, mixed), (a, a), (a, b)):
+            s, t = shingles(x), shingles(y)
+            sx, sy = sketch.sketch(x), sketch.sketch(y)
+            assert abs(sketch.resemblance(sx, sy) - len(s & t) / len(s | t)) < 0.2
+            assert abs(sketch.containment(sx, sy) - len(s & t) / len(s)) < 0.35
+            assert abs(sketch.distinct_shingles(sx) - len(s)) <= 0.4 * len(s)
+
+
+def test_sketch_of_parts_is_that_of_the_whole(documents):
+    text = "\n".join(d["text"] for d in documents)
+    assert (sketch.sketch(text) == sketch.sketch(text, block=2000)).all()
+    assert (sketch.decoded(sketch.encoded(sketch.sketch(text))) == sketch.sketch(text)).all()
+
+
+def test_edited_texts(spark, documents):
+    order = sorted(documents, key=lambda d: -d["doc_id"])
+    rows = {r.doc_id: r for r in sketch.op4_fingerprints(spark, SF).collect()}
+    for d, after in zip(order, order[1:] + order[:1]):
+        half = len(d["text"]) // 2
+        new = d["text"][: len(d["text"]) - half] + after["text"][:half]
+        r = rows[d["doc_id"]]
+        assert (r.n_chars, r.edited_sha256) == (len(d["text"]), hashlib.sha256(new.encode()).hexdigest())
+        a, b = shingles(d["text"]), shingles(new)
+        assert abs(r.near_edited - len(a & b) / len(a | b)) < 0.2 and 0 <= r.near_next <= 1
+
+
+def test_merging_by_key(spark, documents):
+    df = spark.createDataFrame([(d["doc_id"], d["text"], d["lang"]) for d in documents], "doc_id long, text string, lang string")
+    parts = sketch.fingerprint_documents(df).join(df.select("doc_id", "lang"), "doc_id")
+    for r in sketch.merge_sketches(parts, "lang", fan_in=3).collect():
+        whole = np.unique(np.concatenate([sketch.sketch(d["text"]) for d in documents if d["lang"] == r.lang]))[: sketch.K]
+        assert (sketch.decoded(r.fingerprint) == whole).all()
+
+
+# --- SimHash ---------------------------------------------------------------------------------------------
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    parts = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    hashes = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(fps):
+    ids = sorted(fps)
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(ids, 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 2:
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    return {i: root(i) for i in ids}
+
+
+def test_simhash(spark, documents):
+    fps = {d["doc_id"]: plain_fingerprint(d["text"]) for d in documents}
+    rows = simhash.op5_simhash(spark, SF).collect()
+    assert {r.doc_id: r.fingerprint for r in rows} == {i: format(f, "016x") for i, f in fps.items()}
+    assert {r.doc_id: r.component_id for r in rows} == plain_components(fps)
+
+
+def test_links_of_dense_shards(spark):
+    """Many fingerprints near each other, with shards cut down to the third level."""
+    r = random.Random(4)
+    base = r.getrandbits(64)
+    values = {base ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(250)} | {r.getrandbits(64) for _ in range(50)}
+    fps = dict(enumerate(sorted(values)))
+    df = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in fps.items()], "doc_id long, fp long")
+    for shard in (1, 20, 512):
+        tree = {row.node: row.root for row in simhash.components(simhash.links(df.select("fp"), shard)).collect()}
+        groups, expected = {}, {}
+        for k, v in fps.items():
+            signed = v - (1 << 64) if v >> 63 else v
+            groups.setdefault(tree.get(signed, signed), set()).add(k)
+        for k, root in plain_components(fps).items():
+            expected.setdefault(root, set()).add(k)
+        assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2**16 - 1), max_size=60), st.integers(0, 2**16 - 1))
+def test_bk_tree_finds_what_a_scan_finds(values, query):
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    assert sorted(tree.values) == sorted(set(values))
+    assert sorted(tree.values[k] for k in tree.near(query, 2)) == sorted(v for v in set(values) if (v ^ query).bit_count() <= 2)
+
+
+# --- nearest neighbours ----------------------------------------------------------------------------------
+
+
+def test_recall_of_nearest(spark):
+    rows = pq.read_table(f"{SF}/embeddings.parquet").to_pylist()
+    x = np.array([r["embedding"] for r in rows], float)
+    ids = np.array([r["vec_id"] for r in rows])
+    found = {}
+    for r in ann.op6_ann(spark, SF).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hit = 0
+    for k in np.flatnonzero(ids % 20 == 0):
+        score = (x * x[k]).sum(axis=1)
+        order = [i for i in np.lexsort((ids, -score)) if i != k][:20]
+        mine = sorted(found[ids[k]])
+        assert [m[0] for m in mine] == list(range(1, 21)) and all(abs(m[2] - score[np.flatnonzero(ids == m[1])[0]]) < 1e-12 for m in mine)
+        hit += len({ids[i] for i in order} & {m[1] for m in mine})
+    assert hit / (20 * len(found)) >= 0.9
+
+
+def test_unequal_lengths_and_ties(spark):
+    data = [(k, [float(k % 3), 1.0, 0.0]) for k in range(1, 40)] + [(0, [1.0, 0.0, 0.0]), (100, [50.0, 0.0, 0.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r.vec_id, r.score) for r in ann.nearest(df, every=1000, k=5).orderBy("rank").collect()]
+    assert got == [(1, 100, 50.0), (2, 2, 2.0), (3, 5, 2.0), (4, 8, 2.0), (5, 11, 2.0)]
+
+
+# --- chat ------------------------------------------------------------------------------------------------
+
+
+def test_roles_are_recovered(spark):
+    rows = chat.op7_chat(spark, SF).collect()
+    assert len(rows) == pq.read_table(f"{SF}/conversations.parquet").num_rows
+    assert sum(r.role == r.role_pred for r in rows) / len(rows) > 0.9
+
+
+def test_chunks_give_the_whole_path(spark):
+    talks = spark.createDataFrame([(1, t, "user" if t % 2 else "assistant", f"word {t}" + "?" * (t % 3)) for t in range(40)], "conv_id long, turn long, role string, text string")
+    raw = chat.as_transcripts(talks)
+    model = chat.learn(chat.as_transcripts(spark.read.parquet(f"{SF}/conversations.parquet")))
+    whole = {r.turn: (r.role_pred, r.rendered) for r in chat.parse(raw, model).collect()}
+    for chunk in (1, 3, 7):
+        assert {r.turn: (r.role_pred, r.rendered) for r in chat.parse(raw, model, chunk).collect()} == whole
+
+
+def test_viterbi_is_the_best_path():
+    model = chat.Model([[(0, (0, 1, 1)), (1, (1, 2, 2)), (4, (3, 3, 1)), (2, (2, 5, 1))]])
+    emitted = model.emit(["System: x", "q?", "ok"])
+    score = {}
+    for path in itertools.product(range(chat.STATES), repeat=3):
+        s = model.start[path[0]] + emitted[0][path[0]] + sum(model.move[a, b] + emitted[k + 1][b] for k, (a, b) in enumerate(itertools.pairwise(path)))
+        score[path] = s
+    assert abs(score[tuple(model.path(emitted))] - max(score.values())) < 1e-9
+
+
+# --- mixing ----------------------------------------------------------------------------------------------
+
+
+def plain_targets(sizes):
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = dict(zip(order, itertools.cycle((5, 2, 1))))
+    left, out = float(sum(sizes.values())), {}
+    while True:
+        free = [s for s in order if s not in out]
+        share = {s: (left - sum(out.values())) * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = [s for s in free if share[s] > 3 * sizes[s]]
+        if not over:
+            return out | share
+        out |= {s: 3.0 * sizes[s] for s in over}
+
+
+def test_mix(spark, documents):
+    rows = mixing.op8_mixing(spark, SF).collect()
+    source = {d["doc_id"]: d["source"] for d in documents}
+    words = {d["doc_id"]: len(d["text"].encode().split()) for d in documents}
+    sizes = {}
+    for k, s in source.items():
+        sizes[s] = sizes.get(s, 0) + words[k]
+    expected = plain_targets(sizes)
+    taken = dict.fromkeys(sizes, 0)
+    for r in rows:
+        assert r["size"] == words[r.doc_id] and r.source_size == sizes[source[r.doc_id]] and abs(r.target - expected[source[r.doc_id]]) < 1e-6 and r.taken <= 3 * r["size"]
+        taken[source[r.doc_id]] += r.taken
+    assert sorted(r.doc_id for r in rows) == sorted(source)
+    assert all(abs(taken[s] - expected[s]) <= max(words[k] for k in source if source[k] == s) for s in sizes)
+    again = {(r.doc_id, r.taken) for r in mixing.op8_mixing(spark, SF).collect()}
+    assert again == {(r.doc_id, r.taken) for r in rows}
+
+
+def test_flow_serves_overlapping_sources_at_least_cost():
+    sent = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 1}, {"a": 15, "b": 12})
+    assert sent[("a",)]["a"] + sent[("a", "b")]["a"] == 15 and sent[("b",)]["b"] + sent[("a", "b")]["b"] == 12
+
+    def cost(p, n):
+        return sum(max(0, min(n - k * p, p)) * c for k, c in enumerate(mixing.PASS_COSTS))
+
+    total = sum(cost({("a",): 10, ("a", "b"): 10, ("b",): 1}[p], sum(f.values())) for p, f in sent.items())
+    best = min(cost(10, x) + cost(10, 15 - x + 12 - y) + cost(1, y) for x in range(16) for y in range(4))
+    assert total == best
+
+
+# --- pieces ----------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return pieces.Encoder(pieces.Vocabulary.read(pieces.MODEL_FILE))
+
+
+def test_pieces_round_trip(encoder, documents):
+    held = [d["text"] for d in documents] + ["", " ", "  a  b ", "▁x ▁▁ y▁", "日本語 😀\0\x01", "a\n\n b\t", "x" * 3000, None]
+    assert encoder.decode(encoder.encode(held)) == held
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=40))
+def test_any_text_round_trips(text):
+    assert ENCODER.decode(ENCODER.encode([text])) == [text]
+
+
+ENCODER = pieces.Encoder(pieces.Vocabulary.read(pieces.MODEL_FILE)) if Path(pieces.MODEL_FILE).exists() else None
+
+
+def test_viterbi_is_optimal(encoder, documents):
+    vocabulary = pieces.Vocabulary.read(pieces.MODEL_FILE)
+    known = {p: i for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == 0}
+    for d in documents[:15]:
+        text = pieces.MARKER + d["text"][:400].replace(" ", pieces.MARKER)
+        best = [0.0] + [-np.inf] * len(text)
+        for i in range(len(text)):
+            for j in range(i + 1, min(len(text), i + 20) + 1):
+                k = known.get(text[i:j])
+                if k is not None or j == i + 1:
+                    best[j] = max(best[j], best[i] + (vocabulary.score[k] if k is not None else encoder.unknown))
+        _, whole = encoder.viterbi([text.encode()])
+        _, parts = encoder.viterbi([c.encode() for c in encoder._chunks(d["text"][:400])])
+        assert abs(whole[0] - best[-1]) < 1e-6 and abs(parts.sum() - best[-1]) < 1e-6
+
+
+def test_double_array_holds_its_words():
+    r = random.Random(5)
+    words = {bytes(r.choice(b"abcxyz\xe2\x96") for _ in range(r.randint(1, 6))): k for k in range(500)}
+    trie = pieces.DoubleArray(words)
+
+    def look(word):
+        at = 0
+        for b in word:
+            to = trie.base[at] + b + 1
+            if trie.check[to] != at:
+                return -1
+            at = to
+        return trie.value[at]
+
+    assert all(look(w) == k for w, k in words.items())
+    assert all((look(w) >= 0) == (w in words) for w in (bytes(r.choice(b"abcxyz") for _ in range(4)) for _ in range(500)))
+
+
+def test_op9_returns_every_document(spark, documents):
+    rows = pieces.op9_pieces(spark, SF).collect()
+    assert len(rows) == len(documents) and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows)
+
+
+# --- HTML ------------------------------------------------------------------------------------------------
+
+PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><a href=x>home</a></nav><div class="cookie-notice">We use cookies.</div>
+<main><article><header><h1>Title &amp; more</h1></header><p>First   par <a href=y>link</a> text, long enough to be content. And more.</p><ul><li>one<li>two</ul><pre>a
+ b</pre><div class="ad">Buy!</div><p>Second&nbsp;par.<form><input>Sign up</form><section id="comments"><p>I like it, this is a reader comment which is long.</p></section></article></main>
+<aside>side</aside><footer>(c)</footer><script>var a="<p>x</p>"</script></body></html>"""
+
+
+def test_main_text(spark):
+    weights = htmltext.learn(spark.read.parquet(f"{SF}/pages.parquet"))
+    expected = "Title & more\nFirst par link text, long enough to be content. And more.\none\ntwo\na b\nSecond par."
+    assert htmltext.extract(PAGE, weights) == expected
+    for page in (None, "", "<p", "<<<>>>", "</div></div>", "<script>", "plain", "<body><nav>x"):
+        assert isinstance(htmltext.extract(page, weights), str)
+
+
+def test_pages_give_their_articles(spark):
+    pages = {r["page_id"]: r["html"] for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
+    rows = htmltext.op10_htmltext(spark, SF).collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
+        plain = " ".join(__import__("html").unescape(re.sub(r"</?(?:b|i|a|em)\b[^>]*>", "", article).replace("<", " <")).split())
+        plain = " ".join(re.sub(r"<[^>]*>", " ", plain).split())
+        assert " ".join(r.text.split()) == plain and r.n_chars == len(r.text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(2, 6), st.randoms(use_true_random=False))
+def test_cut_is_minimal(n, r):
+    odds = [r.randint(-9, 9) for _ in range(n)]
+    pulls = {(a, b): r.randint(0, 5) for a, b in itertools.combinations(range(n), 2)}
+    net = htmltext.Network(n + 2)
+    for k, o in enumerate(odds):
+        net.edge(n, k, max(o, 0))
+        net.edge(k, n + 1, max(-o, 0))
+    for (a, b), w in pulls.items():
+        net.edge(a, b, w, w)
+
+    def cost(kept):
+        return sum(max(o, 0) for k, o in enumerate(odds) if not kept[k]) + sum(max(-o, 0) for k, o in enumerate(odds) if kept[k]) + sum(w for (a, b), w in pulls.items() if kept[a] != kept[b])
+
+    side = net.source_side(n, n + 1)[:n]
+    assert cost(side) == min(cost(c) for c in itertools.product([False, True], repeat=n))
+
+
+def test_length_of_results_is_checked_by_spark(spark):
+    df = spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string")
+    assert htmltext.extract_pages(df, ["page_id"], np.zeros(7)).select(F.length("text")).first() is not None
