@@ -7,7 +7,8 @@ with the least footrule distances is reranked by the exact inner product.
 
 Pivots (at most ``PIVOTS``) are a hash sample. Vectors are dealt by hash into blocks of about ``BLOCK``
 rows, each with its own inverted files, and queries into blocks too; a task serves one block of queries
-from one block of vectors and returns at most k rows for each query. Vectors of unequal length are told
+from a few blocks of vectors (their number's root, ``BLOCKS`` at most) and returns at most k rows for each
+query from all of them. Vectors of unequal length are told
 apart by one more coordinate (what a vector lacks to the longest one), so that the nearest by angle is
 the largest by inner product.
 
@@ -30,7 +31,7 @@ from inkwell.llm.common import cut, table, unsigned_share
 PIVOTS, PREFIX, SHARE = 64, 24, 0.5
 #: Times k that are reranked at least, for blocks with few vectors.
 LEAST = 20
-BLOCK, QUERY_BLOCK = 2048, 2048
+BLOCK, QUERY_BLOCK, BLOCKS = 2048, 2048, 16
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -108,7 +109,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVO
     sample = held.where(unsigned_share(F.col("vec_id"), 7) < 4.0 * pivots / n).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     sample = sample or held.orderBy("vec_id").limit(1).collect()
     shared = spark.sparkContext.broadcast(lifted(np.unique(np.array([r.v for r in sample]), axis=0), longest))
-    blocks, query_blocks = -(-n // BLOCK), -(-n_queries // QUERY_BLOCK)
+    together = min(BLOCKS, math.ceil(math.sqrt(-(-n // BLOCK))))
+    blocks, query_blocks = -(-n // (BLOCK * together)), -(-n_queries // QUERY_BLOCK)
     vb = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("vb")
     qb = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).alias("qb")
     every_vb, every_qb = (F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(name) for m, name in ((blocks, "vb"), (query_blocks, "qb")))
@@ -119,13 +121,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVO
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             left = left.sort_by("vec_id")
-            block = Block(left["vec_id"].to_numpy(), _matrix(left["v"]), shared.value, longest, prefix)
+            ids, x = left["vec_id"].to_numpy(), _matrix(left["v"])
+            parts = -(-len(ids) // BLOCK)
+            held = [Block(ids[part::parts], x[part::parts], shared.value, longest, prefix) for part in range(parts)]
             q = _matrix(right["v"])
             unit = q / np.linalg.norm(q, axis=1)[:, None]
             orders = prefixes(np.hstack([unit, np.zeros((len(q), 1))]), shared.value, prefix)
             for own, one, order in zip(right["vec_id"].to_pylist(), q, orders):
-                found, score = block.search(own, one, order, k, share)
-                out.append((np.full(len(found), own), block.ids[found], score))
+                each = [(block.ids[rows], score) for block in held for rows, score in [block.search(own, one, order, k, share)]]
+                found, score = (np.concatenate(v) for v in zip(*each))
+                best = np.lexsort((found, -score))[:k]
+                out.append((np.full(len(best), own), found[best], score[best]))
         columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(3)]
         return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})
 
