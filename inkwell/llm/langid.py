@@ -5,8 +5,10 @@ content: the words that most training documents of the language have, the common
 matches are cheapest. A text is shown to the compressor as its distinct lower-cased words, so that
 capitals, repeated lines and passages copied between languages don't decide.
 
-Where the best two sizes are close, further dictionaries of other sizes are tried and the sizes are
-added up; a text that stays within ``min_margin`` of a second language is marked as rejected.
+Where the best two sizes are close, smaller dictionaries are tried too and the sizes are added up. There
+the text is led by the dictionary's own end, whose size is taken off again: zstandard stores a few words by
+themselves as they are, so that they weigh the same in every language. A text that stays within
+``min_margin`` of a second language is marked as rejected.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; equal sums
 go to the language that comes first by code point. Without any training row every text is ``und``.
@@ -29,7 +31,9 @@ from inkwell.llm.common import pieces, plain_names, table, texts, unsigned_share
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: (bytes of the dictionary, compression level); all but the first serve close calls.
-DICTIONARIES = ((100_000, 4), (32_000, 9), (8_000, 9), (2_000, 9))
+DICTIONARIES = ((100_000, 4), (32_000, 9), (8_000, 9))
+#: Bytes of the dictionary's end that lead a text in close calls.
+LEAD = 300
 #: The fit reads at most so many distinct texts of each language, and so many characters of each.
 SAMPLE_TEXTS, SAMPLE_CHARS = 600, 4000
 CLOSE, MIN_MARGIN = 0.05, 0.001
@@ -87,6 +91,9 @@ class Classifier:
         self.languages = sorted(made[0]) if made else []
         self.close, self.min_margin = close, min_margin
         self.rounds = [[self._compressor(one[lang], level) for lang in self.languages] for one, level in zip(made, levels)]
+        leads = [[one[lang][-LEAD:] + b"\n" for lang in self.languages] for one in made[1:]]
+        #: (compressor, lead, size of the lead alone) by language, for each round of a close call
+        self.close_rounds = [[(c, lead, len(c.compress(lead))) for c, lead in zip(compressors, row)] for compressors, row in zip(self.rounds[1:], leads)]
 
     @staticmethod
     def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
@@ -109,8 +116,8 @@ class Classifier:
         shown = "\n".join(words).encode()
         sizes = [len(c.compress(shown)) for c in self.rounds[0]]
         if self._margin(sizes) < self.close:
-            for compressors in self.rounds[1:]:
-                sizes = [a + len(c.compress(shown)) for a, c in zip(sizes, compressors)]
+            for row in self.close_rounds:
+                sizes = [a + len(c.compress(lead + shown + b"\n")) - alone for a, (c, lead, alone) in zip(sizes, row)]
         margin = self._margin(sizes)
         return self.languages[sizes.index(min(sizes))], margin, margin >= self.min_margin
 
