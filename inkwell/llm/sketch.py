@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -207,40 +208,43 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-#: Rows of one range of doc_ids, about; and cells of the histogram that the ranges are made of.
-RANGE_ROWS, CELLS = 1000, 1 << 16
+#: Rows of one range of doc_ids, about; and the most ranges, which bounds the table of their borders.
+RANGE_ROWS, RANGES = 1000, 1 << 18
+
+
+def _order():
+    """doc_id; below all ids, rows without one by their text's hash."""
+    spread = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("text"), 2)
+    return F.coalesce(F.col("doc_id").cast("long"), spread)
 
 
 def in_ranges(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` by ranges of falling doc_id: range, extra, id, doc_id, text.
 
     Every range also gets, marked ``extra``, the row that follows its last one: the first row of the
-    next range, for the last range the very first row. Ranges are made of the cells of a histogram of
-    at most ``CELLS`` cells, so their table, which is broadcast, has a fixed bound. An id that is null
-    counts as below all others. Only one shuffle moves the texts.
+    next range, for the last range the very first row. Spark's range partitioner samples the ids, so
+    ranges are even however the ids are spread; their borders (at most ``RANGES``) are broadcast. Only
+    ids and, once, the texts are shuffled.
     """
     spark = docs.sparkSession
-    given = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))).alias("id"))
-    low, high = given.agg(F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // CELLS + 1
-    cell = F.floor((F.col("id") - F.lit(low)) / F.lit(width)).cast("long")
-    counted = given.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("id").alias("top")).collect()
-    rows, number, held = [], -1, RANGE_ROWS
-    for r in sorted(counted, key=lambda r: -r.cell):
-        first = held >= RANGE_ROWS
-        if first:
-            number, held = number + 1, 0
-        rows.append([r.cell, number, r.top if first else None])
-        held += r.n
-    total = number + 1
-    ranges = spark.createDataFrame([(c, k, t, (k - 1) % total) for c, k, t in rows], "cell long, range int, top long, before int")
-    placed = given.withColumn("cell", cell).join(F.broadcast(ranges), "cell")
-    itself = F.struct(F.col("range"), F.lit(False).alias("extra"))
-    copy = F.struct(F.col("before").alias("range"), F.lit(True).alias("extra"))
-    homes = F.when(F.col("id") == F.col("top"), F.array(itself, copy)).otherwise(F.array(itself))
-    dealt = placed.select(F.explode(homes).alias("home"), "id", "doc_id", "text").select("home.range", "home.extra", "id", "doc_id", "text")
-    return dealt.repartition("range").sortWithinPartitions("range", "extra", F.desc("id"), F.xxhash64("text"))
+    given = docs.select("doc_id", "text", _order().alias("id"))
+    wanted = min(RANGES, max(1, -(-docs.count() // RANGE_ROWS)))
+    parts = given.select("id").repartitionByRange(wanted, F.desc("id")).groupBy(F.spark_partition_id().alias("part"))
+    borders = sorted((r.low, r.top) for r in parts.agg(F.min("id").alias("low"), F.max("id").alias("top")).collect())
+    shared = spark.sparkContext.broadcast((np.array([b[0] for b in borders], np.int64), np.array([b[1] for b in borders], np.int64)))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def homes(ids: pd.Series) -> pd.Series:
+        """An id's range, counted from the largest ids; the first id of a range also has the range before it."""
+        lows, tops = shared.value
+        held = ids.to_numpy(np.int64)
+        place = np.searchsorted(lows, held, side="right") - 1
+        number = (len(lows) - 1 - place).tolist()
+        return pd.Series([[n, (n - 1) % len(lows)] if first else [n] for n, first in zip(number, (held == tops[place]).tolist())])
+
+    dealt = given.withColumn("homes", homes("id")).select(F.posexplode("homes").alias("copy", "range"), "id", "doc_id", "text")
+    placed = dealt.select("range", (F.col("copy") > 0).alias("extra"), "id", "doc_id", "text")
+    return placed.repartition("range").sortWithinPartitions("range", "extra", F.desc("id"), F.xxhash64("text"))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
