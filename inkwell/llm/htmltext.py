@@ -74,7 +74,7 @@ class Block:
 
 def _evidence(tag: str, attributes: str, inside_article: bool) -> float:
     """What an element says about what it holds: above 0 content, below 0 boilerplate, 0 nothing."""
-    if tag in BOILER_TAGS and not (inside_article and tag in ("header", "footer")):
+    if tag in BOILER_TAGS and not (inside_article and tag == "header"):
         return BOILER_EVIDENCE
     names: set[str] = set()
     if attributes:
