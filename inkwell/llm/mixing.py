@@ -5,7 +5,7 @@ can be taken several times at a cost that rises with every pass (convex, so earl
 to the sources of its pattern, each of which wants its quota. Only patterns and sources are in the
 network; their sizes come from one aggregation. What a pattern sends then becomes documents: whole
 passes over all of them, and for the remainder a seeded choice in hash order, cut where the remainder
-is met; in the hash bucket where the cut falls, documents that still fit are taken in seeded order.
+is met; behind the cut, a few documents that still fit are taken in seeded order.
 
 A document is never taken more than ``PASSES`` times. Defined results: null texts have size 0 and are
 never taken; a null source is a source, the last; rows that repeat doc_id, source and size are chosen
@@ -129,22 +129,38 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Units in seeded order that still fit into what is left; a bucket has about BUCKET_ROWS of them.
+#: Single documents that fill what the prefix of an edge bucket leaves, at most; patterns whose plan is broadcast.
+FILLS, BROADCAST_PATTERNS = 64, 100_000
 
-    One more unit follows if going over by it comes nearer than staying short.
+
+def _edge_cut(group: pd.DataFrame) -> pd.DataFrame:
+    """What an edge bucket gives: all units whose hash is below ``below``, and up to ``FILLS`` later ones that still fit.
+
+    One more follows if going over by it comes nearer than staying short. A bucket has about BUCKET_ROWS units.
     """
     left = int(group["left"].iloc[0])
     order = group.sort_values(["h", "doc_id", "size"], kind="stable")
-    keep = []
-    for words in order["words"].tolist():
-        fits = words <= left
-        left -= words if fits else 0
-        keep.append(fits)
-    over = [(words - left, k) for k, words in enumerate(order["words"].tolist()) if not keep[k] and words - left < left]
+    words, hashes = order["words"].tolist(), order["h"].tolist()
+    total, end = 0, 0
+    while end < len(words) and total + words[end] <= left:
+        total += words[end]
+        end += 1
+    while 0 < end < len(words) and hashes[end - 1] == hashes[end]:  # a hash lies on one side
+        end -= 1
+        total -= words[end]
+    left -= total
+    fills: list[int] = []
+    for k in range(end, len(words)):
+        if words[k] <= left and len(fills) < FILLS - 1:
+            left -= words[k]
+            fills.append(k)
+    over = [(words[k] - left, k) for k in range(end, len(words)) if k not in set(fills) and 0 < words[k] - left < left]
     if over:
-        keep[min(over)[1]] = True
-    return order.loc[keep, ["doc_id", "size", "pattern"]]
+        fills.append(min(over)[1])
+    ids = [None if pd.isna(i) else int(i) for i in order["doc_id"].iloc[fills]]
+    below = hashes[end] if end < len(words) else None
+    found = {"pattern": group["pattern"].iloc[0], "below": below, "fill_ids": ids, "fill_sizes": order["size"].iloc[fills].tolist()}
+    return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in found.items()})
 
 
 class Mix:
@@ -157,6 +173,7 @@ class Mix:
         docs = cut(docs.select("doc_id", "size", "pattern"))
         self.units = docs.groupBy("doc_id", "size", "pattern").agg((F.count("*") * F.col("size")).alias("words"))
         stats = {r.pattern: (int(r.words), r.n) for r in self.units.groupBy("pattern").agg(F.sum("words").alias("words"), F.count("*").alias("n")).toLocalIterator()}
+        self.n_patterns = len(stats)
         self.sizes: dict = {}
         for pattern, (words, _) in stats.items():
             for source in members(pattern):
@@ -176,30 +193,34 @@ class Mix:
             F.max(F.when((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("words") < F.col("rest")), F.struct(F.col("bucket"), (F.col("rest") - F.col("upto") + F.col("words")).alias("left")))).alias("edge"),
         )
         found = {r.pattern: (-1 if r.full is None else r.full, r.edge.bucket if r.edge else -1, int(r.edge.left) if r.edge else 0) for r in cuts.toLocalIterator()}
-        self.plan = spark.createDataFrame([(*r, *found.get(r[0], (-1, -1, 0))) for r in rows], "pattern string, whole int, rest long, buckets int, full long, edge long, left long")
-        at_edge = self._placed(self.units, self.plan).where("bucket = edge").select("doc_id", "size", "pattern", "words", "left", self._hash().alias("h"))
-        schema = docs.select("doc_id", "size", "pattern").schema
-        self.chosen = cut(at_edge.groupBy("pattern").applyInPandas(_greedy, schema)) if rows else spark.createDataFrame([], schema)
+        kind = "pattern string, whole int, rest long, buckets int, full long, edge long, left long"
+        plan = [(*r, *found.get(r[0], (-1, -1, 0))) for r in rows]
+        at_edge = self._placed(self.units, spark.createDataFrame(plan, kind)).where("bucket = edge").select("doc_id", "size", "pattern", "words", "left", self._hash().alias("h"))
+        cut_at = {r.pattern: r for r in at_edge.groupBy("pattern").applyInPandas(_edge_cut, "pattern string, below long, fill_ids array<long>, fill_sizes array<long>").toLocalIterator()} if rows else {}
+        edges = [(cut_at[r[0]].below, list(zip(cut_at[r[0]].fill_ids, cut_at[r[0]].fill_sizes))) if r[0] in cut_at else (None, []) for r in plan]
+        self.plan = spark.createDataFrame([(*r[:2], r[3], r[4], r[5], *e) for r, e in zip(plan, edges)], "pattern string, whole int, buckets int, full long, edge long, below long, fills array<struct<doc_id:long,size:long>>")
 
     def _hash(self) -> Column:
         return F.xxhash64(F.col("doc_id"), F.lit(self.seed))
 
     def _placed(self, docs: DataFrame, plan: DataFrame) -> DataFrame:
-        """``docs`` with its pattern's row of ``plan`` and its hash bucket."""
+        """``docs`` with its pattern's row of ``plan`` and its hash bucket.
+
+        The plan has a row for each pattern. It is broadcast if those are few, so that the texts stay where
+        they are; beyond that the rows are joined by a shuffle.
+        """
         plan = plan.withColumnRenamed("pattern", "_pattern")
+        plan = F.broadcast(plan) if self.n_patterns <= BROADCAST_PATTERNS else plan
         share = F.pmod(self._hash(), F.lit(1 << 40)) / float(1 << 40)
         return docs.join(plan, F.col("pattern").eqNullSafe(F.col("_pattern"))).drop("_pattern").withColumn("bucket", F.floor(share * F.col("buckets")))
 
     def times(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (with doc_id, size and pattern) and how often each row is taken. Only rows of edge buckets are joined."""
-        placed = self._placed(docs, self.plan)
-        passes = F.col("whole") + (F.col("bucket") <= F.col("full")).cast("int")
-        plain = placed.where("bucket <> edge").withColumn("times", passes)
-        keys = self.chosen.select(F.col("doc_id").alias("_d"), F.col("size").alias("_s"), F.col("pattern").alias("_p"), F.lit(1).alias("_more"))
-        same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("size") == F.col("_s")) & F.col("pattern").eqNullSafe(F.col("_p"))
-        edge = placed.where("bucket = edge").join(keys, same, "left").withColumn("times", F.col("whole") + F.coalesce("_more", F.lit(0))).drop("_d", "_s", "_p", "_more")
-        both = plain.unionByName(edge).withColumn("times", F.when(F.col("size") > 0, F.col("times")).otherwise(0))
-        return both.drop("whole", "rest", "buckets", "full", "edge", "left", "bucket")
+        """``docs`` (with doc_id, size and pattern) and how often each row is taken; a row's own columns and its pattern's plan tell."""
+        filled = F.exists("fills", lambda f: f["doc_id"].eqNullSafe(F.col("doc_id")) & (f["size"] == F.col("size")))
+        inside = F.coalesce(self._hash() < F.col("below"), F.lit(True)) | filled
+        more = (F.col("bucket") <= F.col("full")) | ((F.col("bucket") == F.col("edge")) & inside)
+        placed = self._placed(docs, self.plan).withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0))
+        return placed.drop("whole", "buckets", "full", "edge", "below", "fills", "bucket")
 
 
 def _one(pattern: str | None) -> tuple:
@@ -211,6 +232,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = Mix(docs, _one)
     facts = spark.createDataFrame([(s, n, mix.targets[s]) for s, n in mix.sizes.items()], "source string, source_size long, target double")
     taken = mix.times(docs).withColumn("taken", F.col("times") * F.col("size"))
+    facts = F.broadcast(facts) if mix.n_patterns <= BROADCAST_PATTERNS else facts
     return taken.join(facts, F.col("pattern").eqNullSafe(F.col("source"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
