@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,7 +40,7 @@ def unsigned_share(column, seed: int = 0):
     return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slice record batches so that one slice holds about ``most_bytes`` of ``column`` (or a single row)."""
     for batch in batches:
         start, held = 0, 0
@@ -65,3 +68,19 @@ def utf8(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
 def plain_names(docs: DataFrame, *kept: str) -> DataFrame:
     """``docs`` with every column but ``kept`` named by its place, so that added columns can't clash."""
     return docs.toDF(*[c if c in kept else f"_c{i}" for i, c in enumerate(docs.columns)])
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow that gives freed memory back at its end: a worker that waits for its next task would keep it."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import pieces, table, texts, unsigned_share
+from inkwell.llm.common import pieces, table, texts, tidy, unsigned_share
 
 SAMPLE_PAGES = 400
 #: Log-odds from the nearest element that says what it holds.
@@ -299,6 +299,7 @@ def learn(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> np.ndarray:
     n = pages.count()
     chosen = pages.where(F.col("html").isNotNull() & (unsigned_share(F.xxhash64("html"), 3) < sample_pages / max(n, 1)))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -317,8 +318,9 @@ def extract_pages(pages: DataFrame, carry: list[str], weights: np.ndarray) -> Da
     given = pages.select(*[F.col(f"`{c}`") for c in carry], F.col("html").alias("_html"))
     schema = given.select(*[f"`{c}`" for c in carry]).schema.add("text", "string")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_html", 4 << 20):
+        for batch in pieces(batches, "_html"):
             found = [extract(h, weights) for h in texts(batch, "_html")]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(carry))), pa.array(found, pa.string())], names=[*carry, "text"])
 

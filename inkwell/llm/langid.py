@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import pieces, plain_names, table, texts, unsigned_share
+from inkwell.llm.common import pieces, plain_names, table, texts, tidy, unsigned_share
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -131,6 +131,7 @@ def identify(docs: DataFrame, words: dict[str, list[str]], carry: list[str], clo
     shared = spark.sparkContext.broadcast(dictionaries(words))
     levels = [level for _, level in DICTIONARIES]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(shared.value, levels, close, min_margin)
         for batch in pieces(batches, shown):

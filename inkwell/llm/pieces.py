@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.llm.common import pieces as slices
-from inkwell.llm.common import plain_names, table, texts
+from inkwell.llm.common import table, texts, tidy
 
 MARKER = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Chunks that a task remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 #: What an unknown character costs beyond the least score.
 UNKNOWN_PENALTY = 10.0
 #: Cells (chunks times bytes) of one Viterbi table.
@@ -297,10 +297,11 @@ def encode_documents(docs: DataFrame, carry: list[str], encoder: Encoder) -> Dat
     given = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if shown == "text" else [F.col("text").alias(shown)]))
     schema = given.select(*[f"`{c}`" for c in carry]).schema.add("n_tokens", "long").add("ids", T.ArrayType(T.IntegerType())).add("round_trip", "boolean")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Encoder.__new__(Encoder)
         model.__dict__.update(shared.value.__dict__, young={}, old={})
-        for batch in slices(batches, shown, 4 << 20):
+        for batch in slices(batches, shown, 1 << 20):
             held = texts(batch, shown)
             ids = model.encode(held)
             counts = [None if i is None else len(i) for i in ids]

@@ -13,16 +13,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import pieces, plain_names, table, texts, utf8
+from inkwell.llm.common import pieces, plain_names, table, texts, tidy, utf8
 
 try:  # the parser is a public module of the standard library under either name
     from re import _constants as rc
@@ -188,10 +187,17 @@ def trigrams_of(query: object) -> set[str]:
     return {query} if isinstance(query, str) else set().union(*(trigrams_of(q) for q in query[1]))
 
 
+def marks(wanted: list[str]) -> np.ndarray:
+    """Whether each of the 2**24 byte triples is one of ``wanted``."""
+    out = np.zeros(1 << 24, bool)
+    out[[int.from_bytes(w.encode(), "big") for w in wanted if len(w.encode()) == 3]] = True
+    return out
+
+
 class TrigramIndex:
     """Postings (sorted document positions) of the ``wanted`` trigrams over a batch of texts, ASCII case folded."""
 
-    def __init__(self, texts_utf8: list[bytes | None], wanted: list[str]):
+    def __init__(self, texts_utf8: list[bytes | None], wanted: list[str], marked: np.ndarray | None = None):
         self.n = len(texts_utf8)
         held = [t or b"" for t in texts_utf8]
         data = np.frombuffer(b"\0\0\0".join(held).lower(), np.uint8)
@@ -200,8 +206,7 @@ class TrigramIndex:
         codes = {int.from_bytes(w.encode(), "big"): w for w in wanted if len(w.encode()) == 3}
         if len(data) < 3 or not codes:
             return
-        marked = np.zeros(1 << 24, bool)
-        marked[list(codes)] = True
+        marked = marks(wanted) if marked is None else marked
         pairs = data.astype(np.uint32)
         found = (pairs[:-2] << 16) | (pairs[1:-1] << 8) | pairs[2:]
         where = np.flatnonzero(marked[found])
@@ -230,10 +235,11 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = [(r, re.compile(r.pattern, re.A), trigram_query(r.pattern)) for r in rules]
         self.wanted = sorted(set().union(*(trigrams_of(q) for _, _, q in self.rules)))
+        self.marked = marks(self.wanted)
 
     def scan(self, held: list[str | None], as_utf8: list[bytes | None]) -> list[list[Span]]:
         """Each text's spans by rule, in order of the rules."""
-        index = TrigramIndex(as_utf8, self.wanted)
+        index = TrigramIndex(as_utf8, self.wanted, self.marked)
         out: list[list[Span]] = [[] for _ in held]
         for rule, regex, query in self.rules:
             for k in index.answer(query).tolist():
@@ -242,21 +248,30 @@ class Scanner:
         return out
 
 
-def scan_secrets(docs: DataFrame, carry: list[str], rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """``carry`` columns with ``found``, an array of (kind, start, end) by rule and start, for each whole ``text``."""
+Make = Callable[[pa.RecordBatch, list[list[Span]]], pa.RecordBatch]
+
+
+def scanned(docs: DataFrame, schema: T.StructType, make: Make, rules: tuple[Rule, ...]) -> DataFrame:
+    """``make`` of each batch of ``docs`` and its texts' spans; one pass through one worker."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
+        for batch in pieces(batches, "text"):
+            yield make(batch, scanner.scan(texts(batch, "text"), utf8(batch, "text")))
+
+    return docs.mapInArrow(run, schema)
+
+
+def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
+    """``docs`` (with ``text``) and ``found``, an array of (kind, start, end) by rule and start, for each whole text."""
+
+    def make(batch: pa.RecordBatch, spans: list[list[Span]]) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in pieces(batches, shown, 4 << 20):
-            spans = scanner.scan(texts(batch, shown), utf8(batch, shown))
-            found = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in one] for one in spans], kind)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(carry))), found], names=[*carry, "found"])
+        found = pa.array([[dict(zip(("kind", "start", "end"), s)) for s in one] for one in spans], kind)
+        return pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "found"])
 
-    shown = "text" if "text" in carry else "_text"
-    given = docs.select(*[F.col(f"`{c}`") for c in carry], *([] if shown == "text" else [F.col("text").alias(shown)]))
-    schema = given.select(*[f"`{c}`" for c in carry]).schema.add("found", FOUND)
-    return given.mapInArrow(run, schema)
+    return scanned(docs, T.StructType([*docs.schema.fields, T.StructField("found", FOUND)]), make, rules)
 
 
 def joined(spans: list[Span], order: dict[str, int]) -> str:
@@ -268,18 +283,16 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = {r.kind: k for k, r in enumerate(BASE + MORE)}
     base = [r.kind for r in BASE]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [[(s["kind"], s["start"], s["end"]) for s in one or []] for one in batch.column(1).to_pylist()]
-            counts = [pa.array([sum(s[0] == kind for s in one) for one in rows], pa.int64()) for kind in base]
-            hashes = [hashlib.sha256(joined([s for s in one if s[0] in base], order).encode()).hexdigest() for one in rows]
-            spans = [joined(one, order) for one in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(hashes, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+    def make(batch: pa.RecordBatch, rows: list[list[Span]]) -> pa.RecordBatch:
+        counts = [pa.array([sum(s[0] == kind for s in one) for one in rows], pa.int64()) for kind in base]
+        hashes = [hashlib.sha256(joined([s for s in one if s[0] in base], order).encode()).hexdigest() for one in rows]
+        spans = [joined(one, order) for one in rows]
+        return pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array(hashes, pa.string()), pa.array(spans, pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     schema = docs.select("doc_id").schema
     for name, kind in (("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"), ("spans", "string")):
         schema = schema.add(name, kind)
-    return scan_secrets(docs, ["doc_id"]).mapInArrow(run, schema)
+    return scanned(docs, schema, make, BASE + MORE)
 
 
 def redact(text: str | None, spans: list[Span]) -> str | None:
@@ -297,18 +310,15 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; its secrets are replaced by their kind, and ``n_chars`` follows the text."""
     named = plain_names(docs, "text", "n_chars")
-    columns, schema = named.columns, named.schema
-    found = scan_secrets(named, columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            spans = [[(s["kind"], s["start"], s["end"]) for s in one or []] for one in batch.column(len(columns)).to_pylist()]
-            clean = [redact(t, s) for t, s in zip(texts(batch, "text"), spans)]
-            made = {"text": pa.array(clean, pa.string())}
-            if "n_chars" in columns:
-                before = batch.column(columns.index("n_chars"))
-                counts = [len(t) if s and t is not None else n for t, s, n in zip(clean, spans, before.to_pylist())]
-                made["n_chars"] = pa.array(counts, before.type)
-            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(columns)], names=columns)
-
-    return found.mapInArrow(run, schema).toDF(*docs.columns)
+    columns = named.columns
+
+    def make(batch: pa.RecordBatch, spans: list[list[Span]]) -> pa.RecordBatch:
+        clean = [redact(t, s) for t, s in zip(texts(batch, "text"), spans)]
+        made = {"text": pa.array(clean, pa.string())}
+        if "n_chars" in columns:
+            before = batch.column(columns.index("n_chars"))
+            counts = [len(t) if s and t is not None else n for t, s, n in zip(clean, spans, before.to_pylist())]
+            made["n_chars"] = pa.array(counts, before.type)
+        return pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for i, c in enumerate(columns)], names=columns)
+
+    return scanned(named, named.schema, make, BASE + MORE).toDF(*docs.columns)

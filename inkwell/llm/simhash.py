@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, pieces, table, utf8
+from inkwell.llm.common import cut, pieces, table, tidy, utf8
 
 RADIUS = 2
 SHARD = 512
@@ -50,6 +50,7 @@ def fingerprint(text: bytes | None, size: int = 3) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's 64 bits as a long) of each row's whole text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = np.array([fingerprint(t) for t in utf8(batch, "text")], np.uint64).view(np.int64)

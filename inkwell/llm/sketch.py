@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import pieces, table, texts
+from inkwell.llm.common import pieces, table, texts, tidy
 
 K = 128
 SHINGLE = 5
@@ -191,6 +191,7 @@ def merge_sketches(parts: DataFrame, key: str, k: int = K, fan_in: int = 64) ->
 def fingerprint_documents(docs: DataFrame, k: int = K, size: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint, n_distinct (estimate) of each row's whole text; narrow, no shuffle."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = [sketch(t, k, size) for t in texts(batch, "text")]
@@ -263,6 +264,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = sketch(new)
         return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), encoded(a), encoded(c), resemblance(a, c), resemblance(a, b), distinct_shingles(a), containment(a, b))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, at = None, None
         for batch in pieces(batches, "text"):
