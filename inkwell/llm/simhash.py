@@ -10,6 +10,12 @@ a spanning forest of its links, never all pairs. Components come from alternatin
 
 Defined results: text that is null or has no word has fingerprint zero and is linked like any other;
 repeated rows give repeated result rows; null doc_ids never name a component unless it has no other.
+
+The pipeline's stage asks for more than these fingerprints tell: all pairs of documents whose sets of
+five-word shingles have a Jaccard similarity of ``NEAR`` or more. At 0.8 a SimHash differs in 10 of 64 bits
+on average, and blocks of bits that find pairs up to 15 bits apart hold 4 bits or less, which shard nothing.
+The stage takes its candidates from ``BANDS`` bands of ``ROWS`` min-hashes instead (a pair at 0.8 shares none
+of them in 4 of 10,000 cases, a closer pair less often) and checks each by its exact similarity.
 """
 
 from __future__ import annotations
@@ -22,12 +28,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.llm.common import cut, pieces, table, tidy, utf8
 
 RADIUS = 2
 SHARD = 512
 SEED = 42
+#: Words of a shingle and least similarity (as a fraction) of the pipeline's stage; min-hashes of its candidates.
+WORDS, NEAR = 5, (4, 5)
+BANDS, ROWS = 20, 5
+_XORS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False) | np.array([[0], [1]], np.uint64)
 
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
@@ -229,12 +240,147 @@ def near_duplicates(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """doc_id, fp and component_id of each row of ``docs(doc_id, text)``."""
     marked = cut(fingerprints(docs))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc")))
-    tree = components(links(distinct, shard))
+    return _named(marked, distinct, components(links(distinct, shard)))
+
+
+def _named(marked: DataFrame, distinct: DataFrame, tree: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id (the least doc_id) of ``marked(doc_id, fp)`` by the ``tree(node, root)`` over fp."""
     placed = distinct.join(tree, distinct.fp == tree.node, "left").select("fp", "least_doc", F.coalesce("root", "fp").alias("root"))
     linked = placed.join(tree.select("root").distinct(), "root", "left_semi")
     named = linked.groupBy("root").agg(F.min("least_doc").alias("component_id"))
     table_of = placed.join(named, "root", "left").select("fp", F.coalesce("component_id", "least_doc").alias("component_id"))
-    return marked.join(table_of, "fp").select("doc_id", "fp", "component_id")
+    return marked.select("doc_id", "fp").join(table_of, "fp").select("doc_id", "fp", "component_id")
+
+
+def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``size`` words, A-Z lower-cased; a shorter text is one shingle."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(words) < size:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
+    shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(words) - size + 1))
+
+
+def band_keys(held: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes of a shingle set; sets that share a key are candidates."""
+    if not len(held):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(held), 2048):
+        np.minimum(least, ((held[start : start + 2048, None] ^ _XORS) * _FACTORS).min(axis=0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _set_name(held: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(held.tobytes(), SEED))
+
+
+class NearSets:
+    """Components of shingle sets linked by a similarity of ``NEAR``. Sets come by rising size.
+
+    A set meets those that share a band with it and aren't in its component yet. Sets too small for the
+    newest one to link to are let go.
+    """
+
+    def __init__(self):
+        self.parent: list[int] = []
+        self.sets: list[np.ndarray | None] = []
+        self.low = 0
+        self.bands: dict[int, dict[int, list[int]]] = {}  # key -> root -> members
+
+    def root(self, k: int) -> int:
+        while self.parent[k] != k:
+            self.parent[k] = self.parent[self.parent[k]]
+            k = self.parent[k]
+        return k
+
+    def add(self, keys: list[int], held: np.ndarray) -> None:
+        new, n = len(self.parent), len(held)
+        self.parent.append(new)
+        self.sets.append(held)
+        while NEAR[1] * len(self.sets[self.low]) < NEAR[0] * n:
+            self.sets[self.low] = None
+            self.low += 1
+        tried: set[int] = set()
+        for key in keys:
+            groups = self.bands.setdefault(key, {})
+            for old in [r for r in groups if self.parent[r] != r]:
+                a, b = groups.pop(old), groups.pop(self.root(old), [])
+                longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+                longer += shorter
+                groups[self.root(old)] = longer
+            for top, members in list(groups.items()):
+                if self.root(top) == self.root(new):
+                    continue
+                for other in reversed(members):
+                    if other >= self.low and other not in tried:
+                        tried.add(other)
+                        both = len(np.intersect1d(self.sets[other], held, assume_unique=True))
+                        if NEAR[1] * both >= NEAR[0] * (len(self.sets[other]) + n - both):
+                            a, b = self.root(other), self.root(new)
+                            self.parent[max(a, b)] = min(a, b)
+                            break
+            groups.setdefault(self.root(new), []).append(new)
+
+
+@tidy
+def _near_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the components inside each run of equal ``part``; rows (part, n, fp, held) come sorted."""
+    now, names, sets = None, [], NearSets()
+
+    def tree() -> pa.RecordBatch:
+        pairs = [(names[k], names[sets.root(k)]) for k in range(len(names)) if sets.parent[k] != k]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["node", "root"])
+
+    for batch in batches:
+        for part, fp, held in zip(batch.column("part").to_pylist(), batch.column("fp").to_pylist(), batch.column("held")):
+            if part != now:
+                yield tree()
+                now, names, sets = part, [], NearSets()
+            if names and names[-1] == fp:  # rows that repeat a set
+                continue
+            one = np.frombuffer(held.as_py(), np.uint64)
+            names.append(fp)
+            sets.add(band_keys(one).tolist(), one)
+    yield tree()
+
+
+def similar_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, fp (a hash of the shingle set) and component_id of each row of ``docs(doc_id, text)``: components of all
+    pairs with a five-word Jaccard similarity of ``NEAR`` or more. Rows without doc_id link only to equal sets."""
+    id_type = docs.select("doc_id").schema
+
+    @tidy
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            sets = [shingle_set(t) for t in utf8(batch, "text")]
+            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "bands"])
+
+    @tidy
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(part, n, fp, held) of rows (part, fp, text) whose text has that fp; another text may go by the same doc_id."""
+        for batch in pieces(batches, "text"):
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(shingle_set, utf8(batch, "text")))
+            fit = [(part, len(held), fp, held.tobytes()) for part, fp, held in rows if _set_name(held) == fp]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in fit], kind) for k, kind in enumerate(kinds)], names=["part", "n", "fp", "held"])
+
+    marked = cut(docs.select("doc_id", "text").mapInArrow(mark, id_type.add("fp", "long").add("bands", T.ArrayType(T.LongType()))))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands")))
+    keyed = distinct.where(F.col("least_doc").isNotNull()).select(F.explode("bands").alias("key"), "fp")
+    least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1")
+    candidates = components(keyed.join(least, "key").select(F.col("fp").alias("a"), F.col("first").alias("b")))
+    parts = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
+    asked = distinct.select("fp", "least_doc").join(parts, F.col("fp") == F.col("node")).select(F.col("root").alias("part"), "fp", "least_doc")
+    texts_of = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("least_doc")).select("part", "fp", "text")
+    held = texts_of.mapInArrow(sets_of, "part long, n long, fp long, held binary")
+    dealt = held.repartition("part").sortWithinPartitions("part", "n", "fp")
+    tree = cut(dealt.mapInArrow(_near_trees, "node long, root long"))
+    return _named(marked, distinct.select("fp", "least_doc"), tree)
 
 
 def hex_of(fp: Column) -> Column:
@@ -247,12 +393,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id stays.
+    """Pipeline stage: of each group of near-duplicates (``similar_documents``) the document with the smallest id stays.
 
     Rows that repeat a doc_id are one document, of which one row stays. Rows without an id can't be
     told apart by it, so they all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = similar_documents(docs.select("doc_id", "text"))
     kept = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     kept = cut(kept)
     single = docs.join(kept.where("n = 1"), "doc_id", "left_semi")

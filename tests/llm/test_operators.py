@@ -240,6 +240,36 @@ def test_bk_tree_finds_what_a_scan_finds(values, query):
     assert sorted(tree.values[k] for k in tree.near(query, 2)) == sorted(v for v in set(values) if (v ^ query).bit_count() <= 2)
 
 
+# --- near copies in the pipeline ---------------------------------------------------------------------------
+
+
+def test_stage_removes_near_copies(spark):
+    """Copies with 1 to 8 words replaced: what stays is the least id of each component of exact pairs at 0.8."""
+    r = random.Random(9)
+    texts = {}
+    for k in range(60):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.randint(40, 300))]
+        texts[10 * k] = " ".join(words)
+        for copy in range(1, 5):
+            changed = list(words)
+            for at in r.sample(range(len(words)), r.randint(1, 8)):
+                changed[at] = f"x{r.randrange(5000)}"
+            texts[10 * k + copy] = " ".join(changed)
+    parent = {i: i for i in texts}
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    near = [(a, b) for a, b in itertools.combinations(texts, 2) if a // 10 == b // 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for a, b in near:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], SCHEMA)
+    kept = {row.doc_id for row in simhash.keep_one(spark, docs, "").collect()}
+    assert len(near) > 150 and kept == {i for i in texts if root(i) == i}
+
+
 # --- nearest neighbours ----------------------------------------------------------------------------------
 
 
