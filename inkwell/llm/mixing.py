@@ -4,8 +4,8 @@ Documents that belong to the same set of sources form a pattern. Words flow from
 can be taken several times at a cost that rises with every pass (convex, so early passes fill first),
 to the sources of its pattern, each of which wants its quota. Only patterns and sources are in the
 network; their sizes come from one aggregation. What a pattern sends then becomes documents: whole
-passes over all of them, and for the remainder a seeded choice in hash order, cut where the remainder
-is met; behind the cut, a few documents that still fit are taken in seeded order.
+passes over all of them, and for the remainder a seeded choice in hash order that skips what doesn't fit
+any more.
 
 A document is never taken more than ``PASSES`` times. Defined results: null texts have size 0 and are
 never taken; a null source is a source, the last; rows that repeat doc_id, source and size are chosen
@@ -129,37 +129,49 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-#: Single documents that fill what the prefix of an edge bucket leaves, at most; patterns whose plan is broadcast.
-FILLS, BROADCAST_PATTERNS = 64, 100_000
+#: Patterns whose plan is broadcast, at most.
+BROADCAST_PATTERNS = 100_000
 
 
 def _edge_cut(group: pd.DataFrame) -> pd.DataFrame:
-    """What an edge bucket gives: all units whose hash is below ``below``, and up to ``FILLS`` later ones that still fit.
+    """What an edge bucket gives: in hash order, all units that still fit, as runs of hashes that are taken whole.
 
-    One more follows if going over by it comes nearer than staying short. A bucket has about BUCKET_ROWS units.
+    Runs end where a unit is skipped, so there are few of them unless many long units stand between short
+    ones. Units that share their hash and fit in part only are listed as fills, and one more unit is if
+    going over by it comes nearer than staying short. A bucket has about BUCKET_ROWS units.
     """
     left = int(group["left"].iloc[0])
     order = group.sort_values(["h", "doc_id", "size"], kind="stable")
     words, hashes = order["words"].tolist(), order["h"].tolist()
-    total, end = 0, 0
-    while end < len(words) and total + words[end] <= left:
-        total += words[end]
-        end += 1
-    while 0 < end < len(words) and hashes[end - 1] == hashes[end]:  # a hash lies on one side
-        end -= 1
-        total -= words[end]
-    left -= total
+    runs: list[list[int]] = []
     fills: list[int] = []
-    for k in range(end, len(words)):
-        if words[k] <= left and len(fills) < FILLS - 1:
-            left -= words[k]
-            fills.append(k)
-    over = [(words[k] - left, k) for k in range(end, len(words)) if k not in set(fills) and 0 < words[k] - left < left]
+    skipped: list[int] = []
+    open_run, at = False, 0
+    while at < len(words):
+        end = at + 1
+        while end < len(words) and hashes[end] == hashes[at]:  # a hash lies on one side
+            end += 1
+        if sum(words[at:end]) <= left:
+            left -= sum(words[at:end])
+            if open_run:
+                runs[-1][1] = hashes[at]
+            else:
+                runs.append([hashes[at], hashes[at]])
+            open_run = True
+        else:
+            open_run = False
+            for k in range(at, end):
+                if words[k] <= left:
+                    left -= words[k]
+                    fills.append(k)
+                else:
+                    skipped.append(k)
+        at = end
+    over = [(words[k] - left, k) for k in skipped if 0 < words[k] - left < left]
     if over:
         fills.append(min(over)[1])
     ids = [None if pd.isna(i) else int(i) for i in order["doc_id"].iloc[fills]]
-    below = hashes[end] if end < len(words) else None
-    found = {"pattern": group["pattern"].iloc[0], "below": below, "fill_ids": ids, "fill_sizes": order["size"].iloc[fills].tolist()}
+    found = {"pattern": group["pattern"].iloc[0], "firsts": [r[0] for r in runs], "lasts": [r[1] for r in runs], "fill_ids": ids, "fill_sizes": order["size"].iloc[fills].tolist()}
     return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in found.items()})
 
 
@@ -196,9 +208,9 @@ class Mix:
         kind = "pattern string, whole int, rest long, buckets int, full long, edge long, left long"
         plan = [(*r, *found.get(r[0], (-1, -1, 0))) for r in rows]
         at_edge = self._placed(self.units, spark.createDataFrame(plan, kind)).where("bucket = edge").select("doc_id", "size", "pattern", "words", "left", self._hash().alias("h"))
-        cut_at = {r.pattern: r for r in at_edge.groupBy("pattern").applyInPandas(_edge_cut, "pattern string, below long, fill_ids array<long>, fill_sizes array<long>").toLocalIterator()} if rows else {}
-        edges = [(cut_at[r[0]].below, list(zip(cut_at[r[0]].fill_ids, cut_at[r[0]].fill_sizes))) if r[0] in cut_at else (None, []) for r in plan]
-        self.plan = spark.createDataFrame([(*r[:2], r[3], r[4], r[5], *e) for r, e in zip(plan, edges)], "pattern string, whole int, buckets int, full long, edge long, below long, fills array<struct<doc_id:long,size:long>>")
+        cut_at = {r.pattern: r for r in at_edge.groupBy("pattern").applyInPandas(_edge_cut, "pattern string, firsts array<long>, lasts array<long>, fill_ids array<long>, fill_sizes array<long>").toLocalIterator()} if rows else {}
+        edges = [(list(zip(e.firsts, e.lasts)), list(zip(e.fill_ids, e.fill_sizes))) if (e := cut_at.get(r[0])) else ([], []) for r in plan]
+        self.plan = spark.createDataFrame([(*r[:2], r[3], r[4], r[5], *e) for r, e in zip(plan, edges)], "pattern string, whole int, buckets int, full long, edge long, runs array<struct<first:long,last:long>>, fills array<struct<doc_id:long,size:long>>")
 
     def _hash(self) -> Column:
         return F.xxhash64(F.col("doc_id"), F.lit(self.seed))
@@ -217,10 +229,10 @@ class Mix:
     def times(self, docs: DataFrame) -> DataFrame:
         """``docs`` (with doc_id, size and pattern) and how often each row is taken; a row's own columns and its pattern's plan tell."""
         filled = F.exists("fills", lambda f: f["doc_id"].eqNullSafe(F.col("doc_id")) & (f["size"] == F.col("size")))
-        inside = F.coalesce(self._hash() < F.col("below"), F.lit(True)) | filled
+        inside = F.exists("runs", lambda r: self._hash().between(r["first"], r["last"])) | filled
         more = (F.col("bucket") <= F.col("full")) | ((F.col("bucket") == F.col("edge")) & inside)
         placed = self._placed(docs, self.plan).withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0))
-        return placed.drop("whole", "buckets", "full", "edge", "below", "fills", "bucket")
+        return placed.drop("whole", "buckets", "full", "edge", "runs", "fills", "bucket")
 
 
 def _one(pattern: str | None) -> tuple:

@@ -359,6 +359,17 @@ def test_mix(spark, documents):
     assert again == {(r.doc_id, r.taken) for r in rows}
 
 
+def test_remainder_behind_a_long_document_is_filled(spark):
+    """The hash order meets a document that doesn't fit first; hundreds of short ones behind it fill the remainder."""
+    h = spark.range(4000).select("id", F.xxhash64("id", F.lit(mixing.SEED)).alias("h")).orderBy("h").collect()
+    long_one = h[100].id
+    docs = spark.createDataFrame([(r.id, 400_000 if r.id == long_one else 50 + r.id % 100, "a") for r in h], "doc_id long, size long, pattern string")
+    for quota in (6_000, 60_000, 300_000):
+        mix = mixing.Mix(docs, mixing._one, quotas={"a": quota})
+        taken = mix.times(docs).agg(F.sum(F.col("times") * F.col("size"))).first()[0]
+        assert abs(taken - quota) <= 75
+
+
 def test_flow_serves_overlapping_sources_at_least_cost():
     sent = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 1}, {"a": 15, "b": 12})
     assert sent[("a",)]["a"] + sent[("a", "b")]["a"] == 15 and sent[("b",)]["b"] + sent[("a", "b")]["b"] == 12
