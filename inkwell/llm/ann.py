@@ -65,6 +65,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, longest: float, prefix: int):
         self.ids, self.x, self.prefix = ids, x, min(prefix, len(pivots))
+        self.names, self.firsts, self.number = np.unique(ids, return_index=True, return_inverse=True)
         order = prefixes(lifted(x, longest), pivots, self.prefix)
         flat = order.ravel()
         by_pivot = np.argsort(flat, kind="stable")
@@ -81,32 +82,47 @@ class Block:
         return out
 
     def search(self, own: int, q: np.ndarray, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        n = len(self.ids)
+        """Rows of the k best ids and their scores; rows that repeat an id count once, by the best of them."""
+        n = len(self.names)
         most = min(n, max(math.ceil(share * n), LEAST * k))
-        key = self.nearness(order) * n + np.arange(n - 1, -1, -1)  # ties: the smaller id first
+        near = np.maximum.reduceat(self.nearness(order), self.firsts)
+        key = near * n + np.arange(n - 1, -1, -1)  # ties: the smaller id first
         chosen = np.argpartition(-key, most - 1)[:most] if most < n else np.arange(n)
-        chosen = chosen[self.ids[chosen] != own]
+        chosen = chosen[self.names[chosen] != own]
         if not len(chosen):
             return chosen, np.empty(0)
+        if n < len(self.ids):
+            wanted = np.zeros(n, bool)
+            wanted[chosen] = True
+            chosen = np.flatnonzero(wanted[self.number])
+        else:
+            chosen = self.firsts[chosen]
         rough = self.x[chosen] @ q
-        if len(chosen) > k:
+        if len(chosen) > k and n == len(self.ids):
             least = np.partition(rough, len(rough) - k)[len(rough) - k]
             chosen = chosen[rough >= least - 1e-9 * max(1.0, abs(least))]
         score = (self.x[chosen] * q).sum(axis=1)
-        best = np.lexsort((self.ids[chosen], -score))[:k]
+        best = best_of(self.ids[chosen], score, k)
         return chosen[best], score[best]
 
 
+def best_of(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k best ids, each by its best score."""
+    order = np.lexsort((ids, -score))
+    first = np.unique(ids[order], return_index=True)[1]
+    return order[np.sort(first)[:k]]
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each vector whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     held = cut(usable(vectors))
-    n, longest = held.agg(F.count("*"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
+    n, n_ids, longest = held.agg(F.count("*"), F.countDistinct("vec_id"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     n_queries = held.where(F.col("vec_id") % every == 0).count()
     result = "query_id long, vec_id long, score double"
     if not n_queries:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = held.where(unsigned_share(F.col("vec_id"), 7) < 4.0 * pivots / n).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
+    sample = held.where(unsigned_share(F.col("vec_id"), 7) < 4.0 * pivots / n_ids).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     sample = sample or held.orderBy("vec_id").limit(1).collect()
     shared = spark.sparkContext.broadcast(lifted(np.unique(np.array([r.v for r in sample]), axis=0), longest))
     together = min(BLOCKS, math.ceil(math.sqrt(-(-n // BLOCK))))
@@ -130,7 +146,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVO
             for own, one, order in zip(right["vec_id"].to_pylist(), q, orders):
                 each = [(block.ids[rows], score) for block in held for rows, score in [block.search(own, one, order, k, share)]]
                 found, score = (np.concatenate(v) for v in zip(*each))
-                best = np.lexsort((found, -score))[:k]
+                best = best_of(found, score, k)
                 out.append((np.full(len(best), own), found[best], score[best]))
         columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(3)]
         return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})

@@ -297,6 +297,23 @@ def test_unequal_lengths_and_ties(spark):
     assert got == [(1, 100, 50.0), (2, 2, 2.0), (3, 5, 2.0), (4, 8, 2.0), (5, 11, 2.0)]
 
 
+def test_repeated_rows_take_no_places(spark):
+    """Every row twice, and one id 1,500 times near a query: the neighbours are those of the table without copies."""
+    r = np.random.default_rng(5)
+    rows = [(k, r.normal(size=8).tolist()) for k in range(300)]
+    rows[1] = (1, [x * 1.001 for x in rows[0][1]])
+
+    def found(data):
+        df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        return sorted((x.query_id, x["rank"], x.vec_id) for x in ann.nearest(df, every=20).collect())
+
+    once = found(rows)
+    assert len(once) == 15 * 20
+    assert found(rows * 2) == once
+    weaker = [(1, [x * 0.9 for x in rows[1][1]])] * 1500
+    assert found(rows + weaker) == once
+
+
 # --- chat ------------------------------------------------------------------------------------------------
 
 
