@@ -41,19 +41,27 @@ class Rule:
     least: int = 0
 
 
+#: From BEGIN to the END of the same label with no other BEGIN between; without one, over the header fields and
+#: base64 that follow (long runs, or what ends its line). Line ends may be escaped, as in JSON.
+PRIVATE_KEY = (
+    r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY((?: BLOCK)?)-----"
+    r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1PRIVATE KEY\2-----"
+    r"|(?:(?:\s|\\[rn])+(?:(?:Proc-Type|DEK-Info|Version|Comment):(?:(?!\\n)[^\n])*"
+    r"|[A-Za-z0-9+/=]{20,}|[A-Za-z0-9+/=]+(?=[ \t\r]*(?:\n|\\[rn]|[\"']|\Z))))*)"
+)
 BASE = (
     Rule("assign", r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 MORE = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    Rule("private_key", PRIVATE_KEY),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}"),
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("payment", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^/\s:@\"']{1,64}:[^/\s:@\"']{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^/\s:@\"']*:[^/\s:@\"']{3,}@"),
 )
 
 #: A query is ALL (no demand), a trigram, or ("and" | "or", frozenset of queries).
