@@ -74,6 +74,11 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def _unsigned(value: int) -> int:
+    """The 64 bits of a long: what is negative has as many bits set as its absolute value, not as its pattern."""
+    return value & ((1 << 64) - 1)
+
+
 def masks(free: list[int]) -> list[tuple[int, list[int]]]:
     """For the bits ``free``: each mask of two of their four blocks, and the bits which it leaves free."""
     width = len(free) // 4
@@ -86,7 +91,7 @@ def masks(free: list[int]) -> list[tuple[int, list[int]]]:
 
 
 class BKTree:
-    """Fingerprints by integer Hamming distance to their parent."""
+    """Unsigned fingerprints by integer Hamming distance to their parent."""
 
     def __init__(self):
         self.values: list[int] = []
@@ -126,7 +131,7 @@ class BKTree:
 
 
 def forest(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """(value, smallest value of its component) for values of a shard that link to another one."""
+    """(value, smallest value of its component) for unsigned values of a shard that link to another one."""
     tree, parent = BKTree(), []
 
     def root(k: int) -> int:
@@ -153,7 +158,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept: list[tuple[int, int, int]] = []
 
     def edges(run: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-        return forest([v for _, _, v in run]) if len(run) > 1 else []
+        return [(_signed(a), _signed(b)) for a, b in forest([_unsigned(v) for _, _, v in run])] if len(run) > 1 else []
 
     def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=names)

@@ -7,6 +7,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
@@ -252,8 +253,42 @@ def test_links_of_dense_shards(spark):
         assert sorted(map(sorted, groups.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_links_at_the_top_bit(spark):
+    """Distance 2 across bit 63 links; a distance of 12 among the highest bits doesn't."""
+    base = 0x0123456789ABCDEF
+    fps = {0: base, 1: base ^ (1 << 63 | 1), 2: base ^ (0xFFF << 52), 3: (1 << 64) - 1, 4: (1 << 63) - 1, 5: 1 << 63, 6: 0}
+    df = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in fps.values()], "fp long")
+    tree = {row.node & (1 << 64) - 1: row.root & (1 << 64) - 1 for row in simhash.components(simhash.links(df)).collect()}
+    joined = {}
+    for k, v in fps.items():
+        joined.setdefault(tree.get(v, v), []).append(k)
+    assert sorted(joined.values()) == [[0, 1], [2], [3, 4], [5, 6]]
+
+
+#: A few base values with some bits turned, over all 64 bits.
+FINGERPRINTS = st.builds(lambda base, bits: base ^ sum(1 << b for b in bits), st.sampled_from([0, (1 << 64) - 1, 1 << 63, 0x0123456789ABCDEF]), st.sets(st.integers(0, 63), max_size=4))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(FINGERPRINTS, min_size=2, max_size=40))
+def test_edges_of_a_shard_keep_its_components(values):
+    """The shard's rows are signed longs, as they come from Arrow."""
+    signed = [v - (1 << 64) if v >> 63 else v for v in dict.fromkeys(values)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(signed)), pa.array([0] * len(signed)), pa.array(signed, pa.int64())], names=["mask", "key", "fp"])
+    parent = {v: v for v in signed}
+
+    def root(v):
+        return v if parent[v] == v else root(parent[v])
+
+    for out in simhash._forests(iter([batch])):
+        for a, b in zip(*(c.to_pylist() for c in out.columns)):
+            parent[root(a)] = root(b)
+    expected = plain_components({k: v & (1 << 64) - 1 for k, v in enumerate(signed)})
+    assert all((root(signed[i]) == root(signed[j])) == (expected[i] == expected[j]) for i, j in itertools.combinations(range(len(signed)), 2))
+
+
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 2**16 - 1), max_size=60), st.integers(0, 2**16 - 1))
+@given(st.lists(FINGERPRINTS, max_size=60), FINGERPRINTS)
 def test_bk_tree_finds_what_a_scan_finds(values, query):
     tree = simhash.BKTree()
     for v in values:
