@@ -3,7 +3,10 @@
 A sketch keeps the k smallest distinct hashes of a text's shingles of five words. Sketches of parts
 merge into the sketch of the whole (the k smallest of their union), so a long text can be sketched
 piece by piece. Two sketches estimate the resemblance of the texts' shingle sets, the containment of
-one in the other and the number of distinct shingles; with fewer than k shingles all three are exact.
+one in the other and the number of distinct shingles. The number is exact below k shingles, the other two
+if both texts have fewer than k. Otherwise containment rests on the hashes of the contained text up to the
+lesser of the full sketches' last hashes, a sample that is small where that text is much the smaller one;
+their count is returned with it, and without any the containment is unknown (null).
 
 Hashes are computed for a whole batch at once: a word's hash is a difference of running sums of
 weighted bytes, a shingle's hash mixes the hashes of its words.
@@ -137,13 +140,18 @@ def distinct_shingles(a: np.ndarray, k: int = K) -> float:
     return (k - 1) / ((int(a[k - 1]) + 1) / 2.0**64)
 
 
-def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
-    """Share of a's shingles that b has too."""
+def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> tuple[float | None, int]:
+    """Share of a's shingles that b has too, and the number of a's hashes that it was seen on.
+
+    Up to the lesser of the full sketches' last hashes both sketches hold every hash of their texts, so a's
+    hashes up to there are a fair sample of a's shingles; the standard error is at most half the root of their
+    number's inverse. All of them count, and the share is exact, if no sketch is full. None without a hash.
+    """
     if not len(a):
-        return 1.0
-    union = merge(a, b, k)
-    both = resemblance(a, b, k) * distinct_shingles(union, k)
-    return min(1.0, both / distinct_shingles(a, k))
+        return 1.0, 0
+    ends = [int(x[k - 1]) for x in (a, b) if len(x) >= k]
+    seen = a[: np.searchsorted(a, np.uint64(min(ends)), side="right")] if ends else a
+    return (float(np.isin(seen, b, assume_unique=True).mean()) if len(seen) else None), len(seen)
 
 
 def encoded(a: np.ndarray) -> str:
@@ -254,15 +262,15 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     Rows of equal doc_id follow each other by their texts' hash.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "containment_next"]
-    kinds = ["long", "long", "string", "string", "string", "double", "double", "double", "double"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_distinct", "containment_next", "containment_hashes"]
+    kinds = ["long", "long", "string", "string", "string", "double", "double", "double", "double", "long"]
 
     def compared(one: tuple, following: tuple) -> tuple:
         doc_id, text, a = one
         _, after, b = following
         new = edited(text, after)
         c = sketch(new)
-        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), encoded(a), encoded(c), resemblance(a, c), resemblance(a, b), distinct_shingles(a), containment(a, b))
+        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), encoded(a), encoded(c), resemblance(a, c), resemblance(a, b), distinct_shingles(a), *containment(a, b))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -170,10 +170,29 @@ def test_sketch_estimates(documents):
             s, t = shingles(x), shingles(y)
             sx, sy = sketch.sketch(x), sketch.sketch(y)
             assert abs(sketch.resemblance(sx, sy) - len(s & t) / len(s | t)) < 0.2
-            assert abs(sketch.containment(sx, sy) - len(s & t) / len(s)) < 0.35
+            share, seen = sketch.containment(sx, sy)
+            if max(len(s), len(t)) < sketch.K:
+                assert (share, seen) == (len(s & t) / len(s), len(s))
+            elif share is not None:  # four standard errors
+                assert abs(share - len(s & t) / len(s)) <= 2 / seen**0.5
             assert abs(sketch.distinct_shingles(sx) - len(s)) <= 0.4 * len(s)
 
 
+def test_containment_of_a_small_text_in_a_large_one():
+    r = random.Random(3)
+    words = [f"w{r.randrange(10**6)}" for _ in range(4000)]
+    large = sketch.sketch(" ".join(words))
+    shares, seen = [], 0
+    for k in range(0, 3900, 100):
+        share, hashes = sketch.containment(sketch.sketch(" ".join(words[k : k + 60] + [f"x{k}-{i}" for i in range(60)])), large)
+        seen += hashes
+        shares += [share] * hashes
+    assert seen > 60 and abs(sum(shares) / seen - 56 / 116) < 2 / seen**0.5
+    assert sketch.containment(large, large) == (1.0, sketch.K) and sketch.containment(sketch.sketch(""), large) == (1.0, 0)
+    unseen = np.array([(1 << 64) - 1], np.uint64)
+    assert sketch.containment(unseen, large) == (None, 0)
+
+
 def test_sketch_of_parts_is_that_of_the_whole(documents):
     text = "\n".join(d["text"] for d in documents)
     assert (sketch.sketch(text) == sketch.sketch(text, block=2000)).all()
