@@ -61,8 +61,8 @@ def normalised(text: Column) -> Column:
 
 
 def tokens(text: Column, stop_words: Sequence[str] = params.STOP_WORDS) -> Column:
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), params.SEPARATORS), strip)
-    return F.filter(parts, lambda t: (F.length(t) >= 2) & ~t.isin(*stop_words))
+    """Parts between separators of two characters or more that aren't stop words. White space separates, so none is left to strip."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), params.SEPARATORS), lambda t: (F.length(t) >= 2) & ~t.isin(*stop_words))
 
 
 def ngrams(text: Column, *sizes: int) -> Column:
@@ -79,12 +79,17 @@ def ngrams(text: Column, *sizes: int) -> Column:
 
 
 def terms(text: Column, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS) -> Column:
-    """struct(shorts, bigrams, trigrams): tokens of 2 to 4 characters, and n-grams of longer ones."""
+    """struct(shorts, bigrams, trigrams): tokens of 2 to 4 characters, and n-grams of longer ones.
+
+    The long tokens are joined by newlines, which separate tokens and so are part of none, and one pass of a
+    pattern that looks ahead from each character finds their n-grams.
+    """
 
     def of(held: Column) -> Column:
+        long_ones = F.array_join(F.filter(held, lambda t: F.length(t) > 4), "\n")
+
         def grams(n: int) -> Column:
-            long_ones = F.filter(held, lambda t: F.length(t) > 4)
-            return F.filter(F.flatten(F.transform(long_ones, lambda t: ngrams(t, n))), lambda g: ~g.isin(*stop_ngrams))
+            return F.filter(F.regexp_extract_all(long_ones, F.lit(rf"(?=([^\n]{{{n}}}))[^\n]"), F.lit(1)), lambda g: ~g.isin(*stop_ngrams))
 
         return F.struct(F.filter(held, lambda t: F.length(t) <= 4).alias("shorts"), grams(2).alias("bigrams"), grams(3).alias("trigrams"))
 
@@ -95,13 +100,31 @@ def significant_terms(text: Column) -> Column:
     return let(terms(text), lambda found: F.concat(found["shorts"], found["bigrams"], found["trigrams"]))
 
 
-def typed_terms(text: Column, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS) -> Column:
-    """Distinct struct(kind, term) with kind s, b or t; one array to explode."""
+#: Kinds of terms and the parts of ``terms`` that hold them.
+TERM_KINDS = {"s": "shorts", "b": "bigrams", "t": "trigrams"}
+
+
+def typed_terms(text: Column, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS, kinds: str = "sbt") -> Column:
+    """Distinct struct(kind, term) of the given ``kinds``; one array to explode."""
+
+    def typed(found: Column, kind: str) -> Column:
+        return F.transform(F.array_distinct(found[TERM_KINDS[kind]]), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
+
+    return let(terms(text, stop_words, stop_ngrams), lambda found: F.concat(*[typed(found, k) for k in kinds]))
+
+
+def hashed_terms(text: Column, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS, kinds: str = "sbt") -> Column:
+    """``term_hash`` of the distinct terms of the given ``kinds``."""
+
+    def hashed(found: Column, kind: str) -> Column:
+        return F.transform(F.array_distinct(found[TERM_KINDS[kind]]), lambda t: term_hash(F.lit(kind), t))
+
+    return let(terms(text, stop_words, stop_ngrams), lambda found: F.concat(*[hashed(found, k) for k in kinds]))
 
-    def typed(found: Column, name: str) -> Column:
-        return F.transform(F.array_distinct(found[name]), lambda t: F.struct(F.lit(name[0]).alias("kind"), t.alias("term")))
 
-    return let(terms(text, stop_words, stop_ngrams), lambda found: F.concat(typed(found, "shorts"), typed(found, "bigrams"), typed(found, "trigrams")))
+def term_hash(kind: Column, term: Column) -> Column:
+    """64 bits of a kind and a term: a key that joins faster than strings. Two of a million terms share it in one of 10**7 tables."""
+    return F.xxhash64(kind, term)
 
 
 def lines_of(text: Column) -> Column:

@@ -4,57 +4,118 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell import params
-from inkwell.functions.text import ngrams, normalised, strip, typed_terms
+from inkwell.functions.text import hashed_terms, normalised, strip, term_hash, typed_terms
+from inkwell.operators.joins import if_small
 
 
-def exploded_terms(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS) -> DataFrame:
-    return rows.select(key, F.explode(typed_terms(F.col(text), stop_words, stop_ngrams)).alias("t")).select(key, "t.kind", "t.term")
+#: A fact of up to so many terms is touched by any one of them, whatever its kind.
+BRIEF_FACT = 3
+
+
+def exploded_terms(rows: DataFrame, key: str, text: str, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS, kinds: str = "sbt") -> DataFrame:
+    return rows.select(key, F.explode(typed_terms(F.col(text), stop_words, stop_ngrams, kinds)).alias("t")).select(key, "t.kind", "t.term")
+
+
+def posted_terms(facts: DataFrame, fact_key: str, fact: str, **stops) -> DataFrame:
+    """h, kind, fact_key, brief: where a text's term, by its hash, finds facts.
+
+    Facts of more than ``BRIEF_FACT`` terms are found by their own kind of term, and never by bigrams, which
+    don't count for them; brief ones by any kind.
+    """
+    held = exploded_terms(facts, fact_key, fact, **stops)
+    sizes = held.groupBy(fact_key).agg((F.countDistinct("term") <= BRIEF_FACT).alias("brief"))
+    kinds = F.when(F.col("brief"), F.array(F.lit("s"), F.lit("b"), F.lit("t"))).when(F.col("kind") != "b", F.array("kind"))
+    return held.join(sizes, fact_key).select(F.explode(kinds).alias("kind"), "term", fact_key, "brief").distinct().select(term_hash(F.col("kind"), F.col("term")).alias("h"), "kind", fact_key, "brief")
 
 
 def term_scores(texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact_key: str = "fact_id", fact: str = "proposition", **stops) -> DataFrame:
     """text_key, fact_key, score of the pairs that share enough terms.
 
     Facts of up to three terms count 10 for any shared term; others 2 plus the shared short terms, or the
-    shared trigrams if there are two at least. An equi-join on terms finds the pairs: no text meets a fact
-    with which it shares nothing.
+    shared trigrams if there are two at least. An equi-join on the hash of (kind, term) finds the pairs: no text
+    meets a fact with which it shares nothing. The facts' terms are broadcast if they are few; then texts, and their
+    terms, stay where they are and only counts are shuffled.
     """
-    fact_terms = exploded_terms(facts, fact_key, fact, **stops)
-    sizes = fact_terms.groupBy(fact_key).agg(F.countDistinct("term").alias("n_terms"))
-    fact_terms = fact_terms.join(sizes, fact_key).withColumnRenamed("kind", "fact_kind")
-    shared = exploded_terms(texts, text_key, text, **stops).join(fact_terms, "term")
-    same = F.col("kind") == F.col("fact_kind")
-    counts = shared.groupBy(text_key, fact_key, "n_terms").agg(F.count_if(same & (F.col("kind") == "s")).alias("shorts"), F.count_if(same & (F.col("kind") == "t")).alias("trigrams"))
-    score = F.when(F.col("n_terms") <= 3, 10).when(F.col("shorts") > 0, F.col("shorts") + 2).when(F.col("trigrams") >= 2, F.col("trigrams"))
+    posted = posted_terms(facts, fact_key, fact, **stops)
+    kinds = "sbt" if posted.where("kind = 'b'").limit(1).count() else "st"
+    shared = texts.select(text_key, F.explode(hashed_terms(F.col(text), **stops, kinds=kinds)).alias("h")).join(if_small(posted), "h")
+    counts = shared.groupBy(text_key, fact_key).agg(F.max("brief").alias("brief"), F.count_if(F.col("kind") == "s").alias("shorts"), F.count_if(F.col("kind") == "t").alias("trigrams"))
+    score = F.when(F.col("brief"), 10).when(F.col("shorts") > 0, F.col("shorts") + 2).when(F.col("trigrams") >= 2, F.col("trigrams"))
     return counts.withColumn("score", score.cast("long")).where("score is not null").select(text_key, fact_key, "score")
 
 
-def contained(texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact_key: str = "fact_id", fact: str = "proposition") -> DataFrame:
-    """Pairs of which one normalised text contains the other, or that are equal when stripped.
+#: Characters of a piece of text by which containment is found; characters of a text that are cut into pieces at once.
+PIECE, STRETCH = 12, 1 << 16
+#: What a row of pieces stands for, for texts; facts take the other part.
+HAY, NEEDLE, BARE = 0, 1, 2
 
-    The first characters (three, or all of a shorter text) of the contained text occur in the other one:
-    an equi-join on them gives the candidates.
-    """
 
-    def prepared(rows: DataFrame, key: str, column: str, name: str) -> DataFrame:
-        return rows.select(F.col(key).alias(key), strip(F.col(column)).alias(f"{name}_strip"), normalised(F.col(column)).alias(f"{name}_norm")).where(F.length(f"{name}_strip") > 0)
+def _prepared(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, norm, bare: the normalised text and, where nothing is left of it, the stripped one."""
+    norm = rows.select(F.col(key).alias(key), F.col(text).alias("_text"), normalised(F.col(text)).alias("norm"))
+    return norm.select(key, "norm", F.when(F.length("norm") == 0, strip(F.col("_text"))).otherwise("").alias("bare"))
 
-    def grams(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return rows.select(key, F.explode(F.array_distinct(ngrams(F.col(f"{name}_norm"), 1, 2, 3))).alias("gram"))
 
-    def head(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return rows.where(F.length(f"{name}_norm") > 0).select(key, F.left(f"{name}_norm", F.lit(3)).alias("gram"))
+def _pieces(prepared: DataFrame, key: str, hay_lengths: Sequence[int], longest: int, roles: Sequence[int] = (HAY, NEEDLE, BARE)) -> DataFrame:
+    """key, role, at, n, piece of a text that may hold others and may itself lie in another, in one pass.
 
-    a, b = prepared(texts, text_key, text, "text"), prepared(facts, fact_key, fact, "fact")
-    inside = head(a, text_key, "text").join(grams(b, fact_key, "fact"), "gram").select(text_key, fact_key)
-    around = grams(a, text_key, "text").join(head(b, fact_key, "fact"), "gram").select(text_key, fact_key)
-    equal = a.join(b, F.col("text_strip") == F.col("fact_strip")).select(text_key, fact_key)
-    candidates = inside.unionByName(around).distinct()
-    checked = candidates.join(a, text_key).join(b, fact_key).where(F.contains("text_norm", "fact_norm") | F.contains("fact_norm", "text_norm"))
-    return checked.select(text_key, fact_key).unionByName(equal).distinct()
+    HAY: every place's piece of ``PIECE`` characters (``at``: its place), if that is one of ``hay_lengths``;
+    shorter pieces are whole needles, once and without a place. NEEDLE: the n pieces that cover a text of at
+    most ``longest`` characters end to end (``at``: the piece's place from its start). BARE: a text of which
+    normalisation leaves nothing. Long texts are cut into stretches that overlap, so no array grows with a text.
+    """
+    starts = F.sequence(F.lit(0), F.floor(F.length("norm") / STRETCH).cast("int") * STRETCH, F.lit(STRETCH))
+    part = F.substring("norm", F.col("start") + 1, F.lit(STRETCH + PIECE - 1))
+    cut = prepared.select(key, "norm", "bare", F.explode(starts).alias("start")).select(key, "norm", "bare", "start", part.alias("part"), F.length("norm").alias("size"))
+
+    def every(n: int) -> Column:
+        return F.regexp_extract_all("part", F.lit(f"(?=(.{{{n}}}))."), F.lit(1))
+
+    none = F.array().cast("array<string>")
+    in_place = F.greatest(F.col("size") - F.col("start") - PIECE + 1, F.lit(0)) if PIECE in hay_lengths else F.lit(0)
+    n_hay = F.least(in_place, F.lit(STRETCH)).alias("n_hay")
+    covers = (F.col("start") == 0) & F.col("size").between(1, longest)
+    n_needle = F.when(covers, F.ceil(F.col("size") / PIECE).cast("int")).otherwise(0).alias("n_needle")
+    counted = cut.select("*", n_hay, n_needle)
+    last = F.greatest(F.col("size") - PIECE, F.lit(0))
+    needle = F.when(F.col("n_needle") > 0, F.transform(F.sequence(F.lit(0), F.col("n_needle") - 1), lambda k: F.substring("norm", F.least(k * PIECE, last) + 1, F.lit(PIECE)))).otherwise(none)
+    short = F.array_distinct(F.concat(none, *[every(n) for n in hay_lengths if n < PIECE]))
+    bare = F.when(F.length("bare") > 0, F.array("bare")).otherwise(none)
+    long_ones = every(PIECE) if PIECE in hay_lengths else none
+    dealt = counted.select(key, "size", "start", "n_hay", "n_needle", F.length("bare").alias("n_bare"), F.posexplode(F.concat(long_ones, needle, bare, short)).alias("pos", "piece"))
+    of_needle = F.col("pos") - F.col("n_hay")
+    is_needle = (of_needle >= 0) & (of_needle < F.col("n_needle"))
+    hay, needle_role, bare_role = (F.lit(r) for r in roles)
+    return dealt.select(
+        key, F.when(is_needle, needle_role).when((F.col("n_bare") > 0) & (of_needle == F.col("n_needle")), bare_role).otherwise(hay).alias("role"),
+        F.when(of_needle < 0, F.col("start") + F.col("pos")).when(is_needle, F.least(of_needle * PIECE, last)).otherwise(0).alias("at"),
+        F.when(is_needle, F.col("n_needle")).alias("n"), "piece",
+    )
+
+
+def contained(texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact_key: str = "fact_id", fact: str = "proposition") -> DataFrame:
+    """Pairs of which one normalised text contains the other, or that are equal when stripped.
+
+    The contained text is covered by pieces of ``PIECE`` characters and found by an equi-join on them: it is
+    there where all of them follow each other, so neither text is needed again to check that. Only texts no
+    longer than the longest fact can lie inside one. The facts' pieces are broadcast if they are few; then
+    texts stay where they are.
+    """
+    told = _prepared(facts, fact_key, fact)
+    lengths = {r.n: r.longest for r in told.where(F.length("norm") > 0).groupBy(F.least(F.length("norm"), F.lit(PIECE)).alias("n")).agg(F.max(F.length("norm")).alias("longest")).collect()}
+    longest = max(lengths.values(), default=0)
+    of_texts = _pieces(_prepared(texts, text_key, text), text_key, sorted(lengths), longest)
+    of_facts = _pieces(told, fact_key, range(1, PIECE + 1), longest, (NEEDLE, HAY, BARE)).select(fact_key, "role", F.col("at").alias("fact_at"), F.col("n").alias("fact_n"), "piece")
+    met = of_texts.join(if_small(of_facts), ["role", "piece"])
+    # a piece's place in its needle is taken from its place in the hay
+    offset = F.when(F.col("role") == HAY, F.col("fact_at")).otherwise(F.col("at"))
+    start = F.when(F.col("role") == HAY, F.col("at") - F.col("fact_at")).otherwise(F.col("fact_at") - F.col("at"))
+    runs = met.groupBy(text_key, fact_key, "role", start.alias("start")).agg(F.countDistinct(offset).alias("seen"), F.max(F.coalesce("n", "fact_n", F.lit(1))).alias("wanted"))
+    return runs.where("seen = wanted").select(text_key, fact_key).distinct()
 
 
 def matched_facts(texts: DataFrame, facts: DataFrame, text_key: str, text: str, **stops) -> DataFrame:
@@ -113,15 +174,27 @@ def wrong_beliefs(beliefs: DataFrame, facts: DataFrame, agent: str, **stops) ->
     return hits.join(active, "belief_id").select(agent, "fact_id", "seq", F.col("proposition").alias("believes"))
 
 
+#: Facts whose ids ride in one array.
+FACTS_BLOCK = 50_000
+
+
 def knowledge_gaps(agents: DataFrame, facts: DataFrame, knowledge: DataFrame, wrong: DataFrame | None = None, agent: str = "agent") -> DataFrame:
     """(agent, fact_id) of the facts that an agent neither knows nor holds a false belief of.
 
-    The result is agents times facts by its nature, less what is known. Only the facts, an authored table,
-    are replicated.
+    The result is agents times facts by its nature, less what is known. Fact ids lie in blocks of about
+    ``FACTS_BLOCK``; an agent's row meets each block's array, takes away what the agent knows of that block and
+    unfolds the rest, so pairs that are known are never made.
     """
-    every = agents.select(agent, F.lit(1).alias("_one")).join(facts.select("fact_id", F.lit(1).alias("_one")), "_one").drop("_one")
-    gaps = every.join(knowledge, [agent, "fact_id"], "left_anti")
-    return gaps if wrong is None else gaps.join(wrong, [agent, "fact_id"], "left_anti")
+    n_blocks = max(1, -(-facts.count() // FACTS_BLOCK))
+    block = F.pmod(F.xxhash64("fact_id"), F.lit(n_blocks)).alias("_block")
+    told = facts.groupBy(block).agg(F.collect_set("fact_id").alias("_every"))
+    held = knowledge.select(agent, "fact_id")
+    if wrong is not None:
+        held = held.unionByName(wrong.select(agent, "fact_id"))
+    known = held.groupBy(agent, block).agg(F.collect_set("fact_id").alias("_known"))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("_block")
+    met = agents.select(agent, blocks).join(known, [agent, "_block"], "left").join(told, "_block")
+    return met.select(agent, F.explode(F.when(F.col("_known").isNull(), F.col("_every")).otherwise(F.array_except("_every", "_known"))).alias("fact_id"))
 
 
 def known_to_nobody(facts: DataFrame, knowledge: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import env
 from inkwell.functions.text import strip, typed_terms
 from inkwell.operators import chapters, cognition, memory, scenes, style, timeline, world
+from inkwell.sources.tables import read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,7 +33,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, d: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{table}.parquet")
+    """A table; texts, on which the work is in the rows, are spread over all cores where they are one small file."""
+    found = read_table(spark, d, table)
+    return spread(found) if table in ("documents", "conversations") else found
 
 
 def quoted(words) -> str:
