@@ -65,19 +65,6 @@ def tokens(text: Column, stop_words: Sequence[str] = params.STOP_WORDS) -> Colum
     return F.filter(F.split(F.coalesce(text, F.lit("")), params.SEPARATORS), lambda t: (F.length(t) >= 2) & ~t.isin(*stop_words))
 
 
-def ngrams(text: Column, *sizes: int) -> Column:
-    """All substrings of each of ``sizes`` characters.
-
-    The text is cut into characters once: finding the i-th character of a UTF-8 string takes i steps.
-    """
-
-    def of(chars: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(chars) - (n - 1))
-        return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.array_join(F.slice(chars, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
-
-    return let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda chars: F.concat(*[of(chars, n) for n in sizes]))
-
-
 def terms(text: Column, stop_words: Sequence[str] = params.STOP_WORDS, stop_ngrams: Sequence[str] = params.STOP_NGRAMS) -> Column:
     """struct(shorts, bigrams, trigrams): tokens of 2 to 4 characters, and n-grams of longer ones.
 

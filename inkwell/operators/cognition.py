@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell import params
 from inkwell.functions.text import hashed_terms, normalised, strip, term_hash, typed_terms
-from inkwell.operators.joins import if_small
+from inkwell.operators.joins import BLOCK_ROWS, BROADCAST_ROWS, if_small
 
 
 #: A fact of up to so many terms is touched by any one of them, whatever its kind.
@@ -148,6 +148,13 @@ def merged_knowledge(entries: DataFrame, agent: str = "agent") -> DataFrame:
     )
 
 
+def deciding_entries(entries: DataFrame, agent: str = "agent") -> DataFrame:
+    """Of each (agent, fact) the entries that ``merged_knowledge`` rests on: the best and the first."""
+    row = F.struct(*entries.columns)
+    held = entries.groupBy(agent, "fact_id").agg(F.max_by(row, F.struct(F.col("confidence"), -F.col("seq"))).alias("best"), F.min_by(row, "seq").alias("first"))
+    return held.select(F.explode(F.array_distinct(F.array("best", "first"))).alias("e")).select("e.*")
+
+
 def new_knowledge(merged: DataFrame, before: DataFrame, agent: str = "agent") -> DataFrame:
     return merged.join(before, [agent, "fact_id"], "left_anti")
 
@@ -174,18 +181,15 @@ def wrong_beliefs(beliefs: DataFrame, facts: DataFrame, agent: str, **stops) ->
     return hits.join(active, "belief_id").select(agent, "fact_id", "seq", F.col("proposition").alias("believes"))
 
 
-#: Facts whose ids ride in one array.
-FACTS_BLOCK = 50_000
-
-
 def knowledge_gaps(agents: DataFrame, facts: DataFrame, knowledge: DataFrame, wrong: DataFrame | None = None, agent: str = "agent") -> DataFrame:
     """(agent, fact_id) of the facts that an agent neither knows nor holds a false belief of.
 
     The result is agents times facts by its nature, less what is known. Fact ids lie in blocks of about
-    ``FACTS_BLOCK``; an agent's row meets each block's array, takes away what the agent knows of that block and
+    ``BLOCK_ROWS``; an agent's row meets each block's array, takes away what the agent knows of that block and
     unfolds the rest, so pairs that are known are never made.
     """
-    n_blocks = max(1, -(-facts.count() // FACTS_BLOCK))
+    n_facts = facts.count()
+    n_blocks = max(1, -(-n_facts // BLOCK_ROWS))
     block = F.pmod(F.xxhash64("fact_id"), F.lit(n_blocks)).alias("_block")
     told = facts.groupBy(block).agg(F.collect_set("fact_id").alias("_every"))
     held = knowledge.select(agent, "fact_id")
@@ -193,7 +197,7 @@ def knowledge_gaps(agents: DataFrame, facts: DataFrame, knowledge: DataFrame, wr
         held = held.unionByName(wrong.select(agent, "fact_id"))
     known = held.groupBy(agent, block).agg(F.collect_set("fact_id").alias("_known"))
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("_block")
-    met = agents.select(agent, blocks).join(known, [agent, "_block"], "left").join(told, "_block")
+    met = agents.select(agent, blocks).join(known, [agent, "_block"], "left").join(F.broadcast(told) if n_facts <= BROADCAST_ROWS else told, "_block")
     return met.select(agent, F.explode(F.when(F.col("_known").isNull(), F.col("_every")).otherwise(F.array_except("_every", "_known"))).alias("fact_id"))
 
 
@@ -212,40 +216,65 @@ def newly_confirmed(now: DataFrame, before: DataFrame, facts: DataFrame, agent:
     return now.join(before, [agent, "fact_id"], "left_anti").join(tracked, agent, "left_semi").join(facts.select("fact_id"), "fact_id", "left_semi").select(agent, "fact_id")
 
 
-def co_presence(presence: DataFrame, scene: Sequence[str], agent: str = "agent") -> DataFrame:
-    """who, target for every ordered pair of different agents of a scene, once for each scene."""
-    a = presence.select(*scene, F.col(agent).alias("who")).distinct()
-    b = presence.select(*scene, F.col(agent).alias("target")).distinct()
-    return a.join(b, list(scene)).where(F.col("who") != F.col("target"))
+#: Agents of a scene that a task pairs with all others of it.
+SCENE_SLICE = 1000
 
 
-def propagated(pairs: DataFrame, scene_facts: DataFrame, trust: DataFrame, facts: DataFrame, scene: Sequence[str], sensitive: Sequence[str] = params.SENSITIVE_CATEGORIES) -> DataFrame:
-    """who, target, fact_id, at, verdict for every scene in order of ``at``.
+def co_presence(presence: DataFrame, scene: Sequence[str], agent: str = "agent") -> DataFrame:
+    """scene, a, b for every pair a < b of agents of a scene, once for each scene.
 
-    ``trust(who, target, trust)``; a missing trust is 0.5. Facts of a sensitive category are uncertain
-    below a trust of 0.4.
+    Pairs are what is asked for, n * (n - 1) / 2 in a scene of n agents. A large scene is dealt out: slices of about
+    ``SCENE_SLICE`` agents each meet all others, in tasks of their own.
     """
-    seen = pairs.join(scene_facts, list(scene)).join(facts.select("fact_id", "category"), "fact_id").join(trust, ["who", "target"], "left")
-    doubt = F.col("category").isin(*sensitive) & (F.coalesce("trust", F.lit(params.DEFAULT_TRUST)) < params.SENSITIVE_TRUST)
-    return seen.select("who", "target", "fact_id", "at", F.when(doubt, "uncertain").otherwise("knows").alias("verdict"))
+    here = presence.select(*scene, F.col(agent).alias("a")).where(F.col(agent).isNotNull()).distinct()
+    slices = here.groupBy(*scene).agg(F.ceil(F.count("*") / SCENE_SLICE).alias("_slices"))
+    dealt = here.join(slices, list(scene))
+    one = dealt.withColumn("_slice", F.pmod(F.xxhash64("a"), F.col("_slices"))).drop("_slices")
+    other = dealt.withColumn("_slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_slices") - 1))).drop("_slices").withColumnRenamed("a", "b")
+    return one.join(other, [*scene, "_slice"]).where(F.col("a") < F.col("b")).drop("_slice")
 
 
-def verdicts(propagated_: DataFrame) -> DataFrame:
-    """The last verdict of each (who, target, fact)."""
-    return propagated_.groupBy("who", "target", "fact_id").agg(F.max_by("verdict", "at").alias("verdict"))
+def theory_of_mind(
+    presence: DataFrame, scene_facts: DataFrame, facts: DataFrame, trust: DataFrame, scene: Sequence[str], agent: str = "agent", sensitive: Sequence[str] = params.SENSITIVE_CATEGORIES
+) -> DataFrame:
+    """who, target, fact_id, verdict, first_at: what each agent takes the others of its scenes to know.
 
+    ``scene_facts``: scene, fact_id, at. ``trust(who, target, trust)``; a missing trust is 0.5. Facts of a
+    sensitive category are uncertain below a trust of 0.4. Trust holds for the whole run, so a verdict is reached
+    once, with the first shared scene.
 
-def verdict_changes(propagated_: DataFrame) -> DataFrame:
-    """Verdicts that differ from the one before; the first always does."""
-    before = F.lag("verdict").over(Window.partitionBy("who", "target", "fact_id").orderBy("at"))
-    return propagated_.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") != F.col("verdict"))).drop("_before")
+    A scene's facts are one array and trust is looked up by pairs, so that a pair and its scene are one row until
+    facts are counted. What comes up between two agents goes both ways, so that is done once for each pair a < b.
+    """
+    told = if_small(facts.select("fact_id", F.col("category").isin(*sensitive).alias("_sensitive")))
+    once = scene_facts.join(told, "fact_id").groupBy(*scene, "fact_id", "_sensitive").agg(F.min("at").alias("at"))
+    arrays = once.groupBy(*scene).agg(F.collect_list(F.struct("fact_id", "_sensitive", "at")).alias("_facts"))
+    pairs = co_presence(presence.join(arrays.select(*scene), list(scene), "left_semi"), scene, agent)
+    least, most, forward = F.least("who", "target"), F.greatest("who", "target"), F.col("who") < F.col("target")
+    low = F.col("trust") < params.SENSITIVE_TRUST
+    trusts = trust.groupBy(least.alias("a"), most.alias("b")).agg(F.max(F.when(forward, low)).alias("_low_ab"), F.max(F.when(~forward, low)).alias("_low_ba"))
+    unknown = F.lit(params.DEFAULT_TRUST < params.SENSITIVE_TRUST)
+    held = pairs.join(trusts, ["a", "b"], "left").withColumns({c: F.coalesce(c, unknown) for c in ("_low_ab", "_low_ba")})
+    met = held.join(arrays, list(scene)).select("a", "b", "_low_ab", "_low_ba", F.explode("_facts").alias("f"))
+    shared = met.groupBy("a", "b", "_low_ab", "_low_ba", "f.fact_id", "f._sensitive").agg(F.min("f.at").alias("first_at"))
+    ways = F.array(*[F.struct(F.col(x).alias("who"), F.col(y).alias("target"), F.when(F.col("_sensitive") & F.col(low_), "uncertain").otherwise("knows").alias("verdict")) for x, y, low_ in (("a", "b", "_low_ab"), ("b", "a", "_low_ba"))])
+    return shared.select(F.explode(ways).alias("w"), "fact_id", "first_at").select("w.who", "w.target", "fact_id", "w.verdict", "first_at")
+
+
+def verdict_changes(tom: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """who, target, fact_id, at, verdict of ``theory_of_mind`` that are new, or differ from ``before(who, target, fact_id, verdict)``."""
+    found = tom.withColumnRenamed("first_at", "at")
+    return found if before is None else found.join(before.select("who", "target", "fact_id", "verdict"), ["who", "target", "fact_id", "verdict"], "left_anti")
 
 
 def tom_rollup(tom: DataFrame, facts: DataFrame) -> DataFrame:
-    """who, target, knows, uncertain, not_knows (sorted ids); facts without a verdict aren't known."""
-    ids = facts.agg(F.sort_array(F.collect_set("fact_id")).alias("every"))
-    held = tom.groupBy("who", "target").agg(*[F.sort_array(F.collect_set(F.when(F.col("verdict") == v, F.col("fact_id")))).alias(v) for v in ("knows", "uncertain")])
-    return held.join(F.broadcast(ids)).select("who", "target", "knows", "uncertain", F.array_except("every", F.array_union("knows", "uncertain")).alias("not_knows"))
+    """who, target, n_knows, n_uncertain, n_not_knows; facts without a verdict aren't known.
+
+    The ids of what isn't known are ``knowledge_gaps`` of the pair; here the number of facts, one value, goes to
+    every row.
+    """
+    counts = tom.groupBy("who", "target").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("knows", "uncertain")])
+    return counts.withColumn("n_not_knows", F.lit(facts.select("fact_id").distinct().count()) - F.col("n_knows") - F.col("n_uncertain"))
 
 
 def info_gaps_text(per_character: DataFrame) -> DataFrame:

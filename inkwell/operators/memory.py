@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,28 +30,28 @@ def revised_beliefs(updates: DataFrame, agent: str = "agent") -> DataFrame:
     """Beliefs after updates (agent, seq, subject, proposition, confidence, revises, evidence) in order of seq.
 
     An update that revises marks the first belief of equal proposition that is still active as revised;
-    every update with a proposition adds an active belief. A belief is revised by its own turn among the
-    revisions of its proposition: the k-th revision hits the k-th belief, counting only those that
-    were there before it. That is a queue, replayed for each (agent, proposition) by itself.
+    every update with a proposition adds an active belief. So beliefs of a proposition wait in a queue and
+    a revision takes the first of them, or is lost if none waits. A revision is lost where the running balance
+    of beliefs and revisions reaches a new low below zero; the k-th of the others takes the k-th belief.
     """
     used = updates.where(F.length("proposition") > 0)
-    born = used.select(agent, F.col("proposition").alias("about"), "seq", F.lit(True).alias("is_belief"), F.lit(None).cast("string").alias("note"))
-    hit = used.where(F.length("revises") > 0).select(agent, F.col("revises").alias("about"), "seq", F.lit(False).alias("is_belief"), F.coalesce(F.nullif("evidence", F.lit("")), "proposition").alias("note"))
-    kinds = dict(used.dtypes)
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        waiting, notes = [], {}
-        # at one step the revision acts before the new belief is added
-        for row in group.sort_values(["seq", "is_belief"]).itertuples(index=False):
-            if row.is_belief:
-                waiting.append(row.seq)
-            elif waiting:
-                notes[waiting.pop(0)] = row.note
-        return pd.DataFrame({agent: [group[agent].iloc[0]] * len(notes), "seq": list(notes), "revised_evidence": list(notes.values())}, dtype=object)
-
-    revised = born.unionByName(hit).groupBy(agent, "about").applyInPandas(replay, f"{agent} {kinds[agent]}, seq {kinds['seq']}, revised_evidence string")
-    out = used.select(agent, "seq", F.coalesce(F.nullif("subject", F.lit("")), F.lit("?")).alias("subject"), "proposition", F.coalesce("confidence", F.lit(0.5)).alias("confidence"))
-    return out.join(revised, [agent, "seq"], "left").withColumn("status", F.when(F.col("revised_evidence").isNull(), "active").otherwise("revised"))
+    held = [c for c in ("seq", "subject", "proposition", "confidence")]
+    born = used.select(agent, F.col("proposition").alias("_about"), F.lit(1).alias("_step"), F.lit(None).cast("string").alias("_note"), *held)
+    note = F.coalesce(F.nullif("evidence", F.lit("")), "proposition")
+    hit = used.where(F.length("revises") > 0).select(agent, F.col("revises").alias("_about"), F.lit(-1).alias("_step"), note.alias("_note"), *held)
+    # at one step the revision acts before the new belief is added
+    order = Window.partitionBy(agent, "_about").orderBy("seq", "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    balance = born.unionByName(hit).withColumn("_balance", F.sum("_step").over(order))
+    low = F.least(F.lit(0), F.coalesce(F.min("_balance").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counted = balance.withColumn("_lost", (F.col("_step") < 0) & (F.col("_balance") < low))
+    turn = F.sum(F.when(F.col("_lost"), 0).otherwise(1)).over(order.partitionBy(agent, "_about", "_step").orderBy("seq"))
+    numbered = counted.withColumn("_turn", turn).where(~F.col("_lost"))
+    belief = F.when(F.col("_step") > 0, F.struct(*held))
+    met = numbered.groupBy(agent, "_about", "_turn").agg(F.max(belief).alias("b"), F.max("_note").alias("revised_evidence"))
+    return met.select(
+        agent, "b.seq", F.coalesce(F.nullif("b.subject", F.lit("")), F.lit("?")).alias("subject"), "b.proposition", F.coalesce("b.confidence", F.lit(0.5)).alias("confidence"), "revised_evidence",
+        F.when(F.col("revised_evidence").isNull(), "active").otherwise("revised").alias("status"),
+    )
 
 
 def superseded(events: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -25,9 +25,10 @@ def brief_of(action: Column, inner: Column, warm: Column) -> Column:
 
 def split_by_visibility(actions: DataFrame, agent: str = "agent", visible: str = "visible") -> DataFrame:
     """``actions`` with ``pov``: private where the agent marks visibility anywhere and this action isn't visible."""
-    marks = F.max(F.col(visible).isNotNull()).over(Window.partitionBy(agent))
-    private = marks & ~F.coalesce(F.col(visible), F.lit(True))
-    return actions.withColumn("is_private", private).withColumn("pov", F.concat(F.col(agent).cast("string"), F.when(private, "_private").otherwise("")))
+    marks = actions.where(F.col(visible).isNotNull()).select(F.col(agent).alias("_marks")).distinct()
+    private = F.col("_marks").isNotNull() & ~F.coalesce(F.col(visible), F.lit(True))
+    marked = actions.join(marks, F.col(agent).eqNullSafe(F.col("_marks")), "left")
+    return marked.withColumn("is_private", private).drop("_marks").withColumn("pov", F.concat(F.col(agent).cast("string"), F.when(F.col("is_private"), "_private").otherwise("")))
 
 
 def observation_events(observations: DataFrame) -> DataFrame:
@@ -188,11 +189,19 @@ def mechanical_sections(events: DataFrame, chapter: str, sections: int = 3, most
     tail = F.when(F.col("at") >= F.col("n") - F.col("per"), F.filter(F.sequence(F.lit(0), F.lit(sections - 1)), lambda s: s * F.col("per") >= F.col("n"))).otherwise(F.array().cast("array<int>"))
     homes = F.concat(F.when(own < sections, F.array(own.cast("int"))).otherwise(F.array().cast("array<int>")), tail)
     dealt = placed.withColumn("section", F.explode(homes))
-    ordered = F.sort_array(F.collect_list(F.struct("at", "location", F.concat(F.lit("- "), F.col("pov"), F.lit(": "), F.left("brief", F.lit(brief_chars))).alias("said"))))
-    return dealt.groupBy(chapter, (F.col("section") + 1).alias("section")).agg(F.count("*").alias("n_events"), ordered.alias("all")).select(
-        chapter, "section", "n_events",
-        F.array_join(F.slice(F.array_distinct(F.transform("all", lambda e: e["location"])), 1, most_places), " / ").alias("locations"),
-        F.array_join(F.slice(F.transform("all", lambda e: e["said"]), 1, most_briefs), "\n").alias("briefs"),
+    place = F.when(F.col("section") * F.col("per") < F.col("n"), F.col("at") - F.col("section") * F.col("per")).otherwise(F.col("at") - F.col("n") + F.col("per"))
+    said = F.concat(F.lit("- "), F.col("pov"), F.lit(": "), F.left("brief", F.lit(brief_chars)))
+    # no list holds more than what is shown of it
+    shown = F.collect_list(F.when(F.col("place") < most_briefs, F.struct("place", said.alias("said"))))
+    by_place = dealt.withColumn("place", place).groupBy(chapter, "section", "location").agg(F.min("at").alias("at"), F.count("*").alias("n"), shown.alias("first"))
+    ranked = by_place.withColumn("k", F.row_number().over(Window.partitionBy(chapter, "section").orderBy("at")))
+    held = ranked.groupBy(chapter, "section").agg(
+        F.sum("n").alias("n_events"), F.sort_array(F.flatten(F.collect_list(F.when(F.size("first") > 0, F.col("first"))))).alias("first"),
+        F.sort_array(F.collect_list(F.when(F.col("k") <= most_places, F.struct("at", "location")))).alias("few"),
+    )
+    return held.select(
+        chapter, (F.col("section") + 1).alias("section"), "n_events",
+        F.array_join(F.transform("few", lambda e: e["location"]), " / ").alias("locations"), F.array_join(F.transform("first", lambda e: e["said"]), "\n").alias("briefs"),
     )
 
 

@@ -108,8 +108,8 @@ UNION ALL SELECT doc_id, 'warn', 'simile', 'density', CAST({SQL_SIMILE} AS DOUBL
 UNION ALL SELECT doc_id, CASE WHEN ratio < 0.5 THEN 'error' WHEN ratio < 0.7 THEN 'warn' ELSE 'info' END, 'length', 'ratio', round(ratio, 6), ratio <= 1 FROM r WHERE ratio < 0.7 OR ratio > 1.5""")
 def quality_issues(spark, d):
     docs = read(spark, d, "documents")
-    mean = docs.groupBy("lang").agg(F.floor(F.avg("n_chars")).alias("target"))
-    return style.quality_issues(docs.join(mean, "lang"), "doc_id", FORBIDDEN, SIMILES)
+    mean = docs.groupBy(F.col("lang").alias("_lang")).agg(F.floor(F.avg("n_chars")).alias("target"))
+    return style.quality_issues(docs.join(mean, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang"), "doc_id", FORBIDDEN, SIMILES)
 
 
 @query("quality_fixed", f"""WITH t AS (SELECT doc_id, {SQL_SIMILE} AS n, length(text) AS before, length(replace(text, 'an', '')) AS after, (""" + " + ".join(sql_count("replace(text, 'an', '')", w) for w in SIMILES) + """) AS m FROM documents)
@@ -328,31 +328,29 @@ pr AS (SELECT a.agent AS who, b.agent AS target, fact_id, day, location, CASE WH
 vb AS (SELECT *, row_number() OVER (PARTITION BY who, target, fact_id ORDER BY day DESC, location DESC) AS n FROM pr)"""
 
 
-def _propagated(spark: SparkSession, d: str) -> DataFrame:
+def _tom(spark: SparkSession, d: str) -> DataFrame:
     actions = _actions(spark, d)
-    facts = _facts(spark, d)
     number = F.regexp_extract("brief", r'"k": (\d+)', 1).cast("long") % 20
     scene_facts = actions.where("value > 20").select("day", "location", number.alias("fact_id"), F.struct("day", "location").alias("at")).distinct()
-    pairs = cognition.co_presence(actions, ["day", "location"])
     kind = (F.col("who") + F.col("target")) % 3
-    trust = pairs.select("who", "target").distinct().where(kind != 2).withColumn("trust", F.when(kind == 0, 0.2).otherwise(0.9))
-    return cognition.propagated(pairs, scene_facts, trust, facts, ["day", "location"], sensitive=("secret",))
+    pairs = cognition.co_presence(actions, ["day", "location"]).select(F.col("a").alias("who"), F.col("b").alias("target")).distinct()
+    trust = pairs.unionByName(pairs.select(F.col("target").alias("who"), F.col("who").alias("target"))).where(kind != 2).withColumn("trust", F.when(kind == 0, 0.2).otherwise(0.9))
+    return cognition.theory_of_mind(actions, scene_facts, _facts(spark, d), trust, ["day", "location"], sensitive=("secret",))
 
 
 @query("co_presence_tom", f"{SQL_TOM} SELECT who, target, fact_id, verdict FROM vb WHERE n = 1")
 def co_presence_tom(spark, d):
-    return cognition.verdicts(_propagated(spark, d))
+    return _tom(spark, d).drop("first_at")
 
 
 @query("tom_changes", f"{SQL_TOM}, c AS (SELECT *, lag(verdict) OVER (PARTITION BY who, target, fact_id ORDER BY day, location) AS b FROM pr) SELECT who, target, fact_id, day, location, verdict FROM c WHERE b IS NULL OR b <> verdict")
 def tom_changes(spark, d):
-    return cognition.verdict_changes(_propagated(spark, d)).select("who", "target", "fact_id", "at.day", "at.location", "verdict")
+    return cognition.verdict_changes(_tom(spark, d)).select("who", "target", "fact_id", "at.day", "at.location", "verdict")
 
 
 @query("tom_rollup", f"{SQL_TOM} SELECT who, target, count(*) FILTER (verdict = 'knows') AS n_knows, count(*) FILTER (verdict = 'uncertain') AS n_uncertain, (SELECT count(*) FROM benchmark) - count(*) AS n_not_knows FROM vb WHERE n = 1 GROUP BY 1, 2")
 def tom_rollup(spark, d):
-    rolled = cognition.tom_rollup(cognition.verdicts(_propagated(spark, d)), _facts(spark, d))
-    return rolled.select("who", "target", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("knows", "uncertain", "not_knows")])
+    return cognition.tom_rollup(_tom(spark, d), _facts(spark, d))
 
 
 # --- scenes ------------------------------------------------------------------------------------------

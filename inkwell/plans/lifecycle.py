@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from inkwell import params
 from inkwell.operators import chapters, cognition, memory, scenes, style, world
+from inkwell.operators.joins import each_with_all
 from inkwell.plans import generate, prompts
 from inkwell.sources import config as cf
 
@@ -47,23 +48,23 @@ def write_sections(sections: DataFrame, model: generate.Model = generate.stub, s
 
 
 def gate_chapters(docs: DataFrame, key: str, lexicon: Sequence[tuple[str, str]], limits: Mapping[str, int | None], target: str = "target", model: generate.Model | None = None, rules: str = "", **words) -> Gated:
-    """Scan, fix what may be deleted, scan again; then quality, liveliness and at most one rewrite.
+    """Fix what may be deleted, rewrite at most once for quality, then scan what came out.
 
     docs: ``key``, ``text`` and a length target.
     """
     by_severity = style.split_lexicon(lexicon)
     fatal, high = by_severity.get("fatal", []), by_severity.get("high", [])
     clean = style.fix_violations(docs, key)
-    lines = style.line_violations(clean, key, fatal, high).select(key, "line", "word", "severity")
-    counts = style.overused(clean, key, dict(limits)).select(key, F.lit(0).alias("line"), "word", F.lit("medium").alias("severity"))
-    issues = style.quality_issues(clean, key, target=target)
-    fixed = None
+    issues, fixed = style.quality_issues(clean, key, target=target), None
     if model is not None:
         bad = issues.where("fixable").select(key).distinct()
         rewritten = generate.repaired(clean.join(bad, key, "left_semi"), model, rules, key)
-        clean = clean.join(bad, key, "left_anti").unionByName(rewritten)
+        # a model may answer anew each time it is asked: all that follows is about the one answer written here
+        clean = clean.join(bad, key, "left_anti").unionByName(rewritten).checkpoint()
         after = style.quality_issues(clean, key, target=target)
         fixed, issues = style.fixed_issues(issues, after, [key, "category", "subject"]), after
+    lines = style.line_violations(clean, key, fatal, high).select(key, "line", "word", "severity")
+    counts = style.overused(clean, key, dict(limits)).select(key, F.lit(0).alias("line"), "word", F.lit("medium").alias("severity"))
     return Gated(clean, lines.unionByName(counts), issues, style.liveliness(clean, key, **words), fixed)
 
 
@@ -123,7 +124,7 @@ def run_tick(actions: DataFrame, belief_updates: DataFrame, facts: DataFrame, kn
     scene_text = events.groupBy("day", "location").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "brief"))), lambda e: e["brief"]), " ").alias("text"))
     keyed = scene_text.withColumn("scene_id", F.concat_ws("@", F.col("day").cast("string"), "location"))
     hits = cognition.matched_facts(keyed, facts, "scene_id", "text", **stops).join(keyed, "scene_id").select("day", "location", "fact_id", F.struct("day", "location").alias("at"))
-    tom = cognition.verdicts(cognition.propagated(cognition.co_presence(actions, ["day", "location"]), hits, trust, facts, ["day", "location"]))
+    tom = cognition.theory_of_mind(actions, hits, facts, trust, ["day", "location"]).drop("first_at")
     agents = actions.select("agent").distinct()
     return Tick(
         events, found, scopes, merged, cognition.new_knowledge(merged, knowledge), tom, cognition.knowledge_gaps(agents, facts, merged),
@@ -157,7 +158,7 @@ def coordinate(config: Mapping, chapter: int, facts: DataFrame | None, knowledge
             cast = cf.cast_frame(spark, config).select(F.col("key").alias("agent"))
             text = sections.select(F.concat_ws("#", F.col("doc").cast("string"), F.col("ord").cast("string")).alias("frag_id"), F.col("ord").cast("long").alias("seq"), F.col("description").alias("text"))
             hits = cognition.matched_facts(text, facts, "frag_id", "text").join(facts.where("truth").select("fact_id"), "fact_id").join(text, "frag_id").select("fact_id", "seq")
-            seen = cast.withColumn("_one", F.lit(1)).join(hits.withColumn("_one", F.lit(1)), "_one").select("agent", "fact_id", "seq", F.lit(params.OBSERVED_CONFIDENCE).alias("confidence"), F.lit("observed").alias("source"), F.lit(chapter).alias("chapter"))
+            seen = each_with_all(cast, hits).select("agent", "fact_id", "seq", F.lit(params.OBSERVED_CONFIDENCE).alias("confidence"), F.lit("observed").alias("source"), F.lit(chapter).alias("chapter"))
             old = knowledge.select("agent", "fact_id", F.lit(-1).cast("long").alias("seq"), "confidence", "source", F.col("confirmed_at_chapter").alias("chapter"))
             out.knowledge = cognition.merged_knowledge(old.unionByName(seen))
     return out

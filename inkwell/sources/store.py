@@ -63,11 +63,17 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
-def save_snapshot(rows: DataFrame, folder: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``rows`` as a new snapshot and point to it; the path is returned."""
+def save_snapshot(rows: DataFrame, folder: str, partition_by: Sequence[str] = (), keep: int = 2) -> str:
+    """Write ``rows`` as a new snapshot and point to it; the path is returned. The last ``keep`` snapshots stay, the new one among them."""
+    spark = rows.sparkSession
     path = f"{folder}/snapshot-{uuid.uuid4().hex}"
     rows.write.partitionBy(*partition_by).parquet(path)
-    _write_text(rows.sparkSession, _pointer(folder), path)
+    _write_text(spark, _pointer(folder), path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = [f for f in files.listStatus(place) if f.getPath().getName().startswith("snapshot-") and not path.endswith(f.getPath().getName())]
+    for old in sorted(held, key=lambda f: f.getModificationTime(), reverse=True)[keep - 1 :]:
+        files.delete(old.getPath(), True)
     return path
 
 
@@ -85,10 +91,10 @@ def upsert_snapshot(rows: DataFrame, folder: str, keys: Sequence[str], partition
 
 
 def clear(spark: SparkSession, folder: str, agent: str | None = None) -> None:
-    """Forget one agent or all of them."""
+    """Forget one agent or all of them, in older snapshots too."""
     old = load_snapshot(spark, folder)
     if old is not None:
-        save_snapshot(old.where(F.col("agent") != agent) if agent is not None else old.limit(0), folder)
+        save_snapshot(old.where(F.col("agent") != agent) if agent is not None else old.limit(0), folder, keep=1)
 
 
 def as_json(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -39,14 +39,14 @@ def keep_violations(docs: DataFrame, key: str, fatal: Sequence[str], high: Seque
 def keep_knowledge(entries: DataFrame, folder: str, checkpoint: str):
     """Fold arriving knowledge entries (agent, fact_id, confidence, source, chapter, seq) into the stored table.
 
-    Folding an entry again changes nothing, so a batch may be repeated.
+    What is stored of a key is the best and the first of its entries, so it grows with the keys, not with
+    their history. Folding an entry again changes nothing, so a batch may be repeated.
     """
-    from inkwell.operators.cognition import merged_knowledge
+    from inkwell.operators.cognition import deciding_entries, merged_knowledge
 
     def fold(batch: DataFrame, number: int) -> None:
         old = store.load_snapshot(batch.sparkSession, folder)
-        store.save_snapshot(batch if old is None else old.unionByName(batch).distinct(), folder)
-        merged = merged_knowledge(store.load_snapshot(batch.sparkSession, folder))
-        store.save_snapshot(merged, f"{folder}/merged")
+        store.save_snapshot(deciding_entries(batch if old is None else old.unionByName(batch)), folder)
+        store.save_snapshot(merged_knowledge(store.load_snapshot(batch.sparkSession, folder)), f"{folder}/merged")
 
     return entries.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Operators on small frames whose right answer is plain to see, and against loops over random input."""
 
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell.functions import env
 from inkwell.functions import text as tx
-from inkwell.operators import chapters, cognition, memory, scenes, style, timeline, world
+from inkwell.operators import chapters, cognition, joins, memory, scenes, style, timeline, world
 
 
 def rows(df, *columns):
@@ -163,8 +164,8 @@ def test_tom_doubts_sensitive_facts_without_trust(spark):
     presence = spark.createDataFrame([(1, "x", "a"), (1, "x", "b")], "day int, location string, agent string")
     hits = spark.createDataFrame([(1, "x", "T2", 1), (1, "x", "T1", 1)], "day int, location string, fact_id string, at int")
     trust = spark.createDataFrame([("a", "b", 0.2)], "who string, target string, trust double")
-    found = cognition.propagated(cognition.co_presence(presence, ["day", "location"]), hits, trust, facts, ["day", "location"])
-    assert rows(cognition.verdicts(found), "who", "target", "fact_id", "verdict") == [("a", "b", "T1", "knows"), ("a", "b", "T2", "uncertain"), ("b", "a", "T1", "knows"), ("b", "a", "T2", "knows")]
+    found = cognition.theory_of_mind(presence, hits, facts, trust, ["day", "location"])
+    assert rows(found, "who", "target", "fact_id", "verdict") == [("a", "b", "T1", "knows"), ("a", "b", "T2", "uncertain"), ("b", "a", "T1", "knows"), ("b", "a", "T2", "knows")]
 
 
 def test_perception(spark):
@@ -200,3 +201,54 @@ def test_spec_rules(spark):
     assert found == [(1, "empty_description"), (1, "missing_expanded_direction"), (1, "missing_tension"), (2, "negative_tension")]
     specs = spark.createDataFrame([(1, 5, 100), (2, 5, 0)], "spec_id int, chapter int, target_chars int")
     assert rows(chapters.spec_issues(sections, specs, spark.createDataFrame([(3,)], "chapter int")), "spec_id", "rule") == [(1, "chapter_order"), (2, "no_sections")]
+
+
+def test_containment_against_brute_force(spark, monkeypatch):
+    """Texts and facts of all lengths around the piece's, with repeats, overlaps, punctuation only and stretches shorter than a text."""
+    monkeypatch.setattr(cognition, "STRETCH", 16)
+    r = random.Random(7)
+    facts = ["", "!!", " a ", "ab", "abab", "abababababababab", "a" * 12, "a" * 13, "a" * 30, "月亮", "b c.d"]
+    facts += ["".join(r.choice("ab") for _ in range(r.randint(1, 40))) for _ in range(30)]
+    texts = [*facts, "!! ", "x" + "ab" * 30, "a" * 100, "他看月 亮", "b,cd"] + ["".join(r.choice("ab ,") for _ in range(r.randint(0, 90))) for _ in range(60)]
+
+    def norm(t):
+        return re.sub("[^0-9A-Za-z一-鿿]", "", t)
+
+    def met(t, f):
+        return (t.strip() == f.strip() != "") or (norm(t) != "" != norm(f) and (norm(t) in norm(f) or norm(f) in norm(t)))
+
+    expected = sorted((i, j) for i, t in enumerate(texts) for j, f in enumerate(facts) if met(t, f))
+    a = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    b = spark.createDataFrame(list(enumerate(facts)), "fact_id int, proposition string")
+    assert rows(cognition.contained(a, b, "id", "text"), "id", "fact_id") == expected
+
+
+def test_revisions_against_a_queue(spark):
+    r = random.Random(8)
+    updates = [(r.choice("xy"), k, "s", r.choice(["p", "q", ""]), 0.5, r.choice(["p", "q", "", "z"]), r.choice(["", f"e{k}"])) for k in range(120)]
+    waiting, notes = {}, {}
+    for agent, seq, _, prop, _, revises, evidence in updates:
+        if prop:
+            if revises and waiting.get((agent, revises)):
+                notes[agent, waiting[agent, revises].pop(0)] = evidence or prop
+            waiting.setdefault((agent, prop), []).append(seq)
+    df = spark.createDataFrame(updates, "agent string, seq int, subject string, proposition string, confidence double, revises string, evidence string")
+    found = memory.revised_beliefs(df).collect()
+    assert sorted((x.agent, x.seq, x.revised_evidence) for x in found if x.status == "revised") == sorted((*k, v) for k, v in notes.items())
+    assert sorted((x.agent, x.seq) for x in found) == sorted((u[0], u[1]) for u in updates if u[3])
+
+
+def test_each_with_all(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 3)
+    a, b = spark.createDataFrame([(1,), (2,)], "x int"), spark.createDataFrame([(k % 4,) for k in range(8)], "y int")
+    for most in (0, 100):
+        assert rows(joins.each_with_all(a, b, most), "x", "y") == sorted((x, k % 4) for x in (1, 2) for k in range(8))
+    assert joins.each_with_all(a, b.limit(0)).count() == 0
+
+
+def test_deciding_entries_keep_the_merge(spark):
+    r = random.Random(9)
+    df = spark.createDataFrame([("a", r.choice("fg"), r.randint(1, 4) / 4, f"s{k}", k % 5, k) for k in range(40)], "agent string, fact_id string, confidence double, source string, chapter int, seq int")
+    few = cognition.deciding_entries(df)
+    assert few.count() <= 4 and few.columns == df.columns
+    assert sorted(cognition.merged_knowledge(few).collect()) == sorted(cognition.merged_knowledge(df).collect())
