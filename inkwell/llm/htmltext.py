@@ -1,13 +1,16 @@
 """Main text of web pages by a minimum cut.
 
-A page is cut into blocks: the text between block-level tags. Each block gets log-odds of being content
-from a logistic model of its text (length, links, punctuation) and from the nearest element around it
-that says what it holds (an article, a menu, an advert). Positive odds are the block's capacity to the
-content terminal, negative ones to the boilerplate terminal; neighbouring blocks and blocks that follow
-each other under the same parent are joined by smoothness edges. The minimum cut labels all blocks.
+A page is cut into blocks: the text between block-level tags. A block's log-odds of being content are a
+logistic model of the block by itself (length, links, punctuation, kind of element), bounded by
+``TEXT_LIMIT``, and what the nearest element around it that says what it holds adds (an article, a menu, an
+advert). Positive odds are the block's capacity to the content terminal, negative ones to the boilerplate
+terminal. Blocks that follow each other, and blocks of the same container, are joined by smoothness edges that
+halve with each further step between them in the DOM. The minimum cut labels all blocks: a heading or a word or
+two among paragraphs goes with them, and so does a paragraph whose class misleads; a menu or an advert keeps its
+label, because few edges lead to it or because it is named and its text doesn't speak for it.
 
 The logistic model is fitted on a bounded sample of pages (``SAMPLE_PAGES``), with the elements' evidence
-as labels; where a sample has one kind of block only, texts don't count.
+as labels, and drawn towards ``PRIOR``, which is all there is where a sample has one kind of block only.
 
 Defined results: null or empty html, or a page without content blocks, gives an empty text. Character
 references are decoded; white space inside a block becomes one space; blocks are joined by one newline in
@@ -31,10 +34,16 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import pieces, table, texts, tidy, unsigned_share
 
 SAMPLE_PAGES = 400
-#: Log-odds from the nearest element that says what it holds.
-CONTENT_EVIDENCE, BOILER_EVIDENCE = 3.0, -6.0
-#: The text's log-odds stay within this; capacities of the edges between blocks.
-TEXT_LIMIT, NEXT_TO, SAME_PARENT = 2.0, 0.4, 0.6
+#: What the nearest element that says what it holds adds to the log-odds: articles, names of boilerplate, tags of it.
+CONTENT_EVIDENCE, BOILER_NAMED, BOILER_TAGGED = 2.0, -4.0, -5.0
+#: The text's log-odds stay within this.
+TEXT_LIMIT = 3.0
+#: Capacity of the edge between siblings that follow each other and between other blocks of a container; DOM steps beyond which there is none.
+NEXT_TO, SAME_PARENT, FAR = 1.0, 0.5, 8
+#: Weights of ``features`` that the fit is drawn to.
+PRIOR = np.array([-0.5, 0.8, -4.0, 0.5, 0.0, 0.5, 1.0, 1.0, -0.5])
+#: How strongly, as a share of the sample's blocks: no element of a sample that is all of one make decides alone.
+RIDGE = 0.005
 SCALE = 100
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
@@ -62,9 +71,30 @@ BOILER_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article body content entry main post story text".split())
 
 
+class Element:
+    """An open or closed element: where it hangs and how deep."""
+
+    __slots__ = ("parent", "depth")
+
+    def __init__(self, parent: Element | None = None):
+        self.parent, self.depth = parent, parent.depth + 1 if parent else 0
+
+
+def steps(a: Element, b: Element, most: int = FAR) -> int:
+    """Steps from ``a`` to ``b`` through the DOM; ``most`` + 1 for all that are farther."""
+    n = 0
+    while a is not b and n <= most:
+        if a.depth >= b.depth:
+            a = a.parent
+        else:
+            b = b.parent
+        n += 1
+    return n
+
+
 @dataclass
 class Block:
-    parent: int
+    holder: Element
     evidence: float
     tag: str
     parts: list[str] = field(default_factory=list)
@@ -75,7 +105,7 @@ class Block:
 def _evidence(tag: str, attributes: str, inside_article: bool) -> float:
     """What an element says about what it holds: above 0 content, below 0 boilerplate, 0 nothing."""
     if tag in BOILER_TAGS and not (inside_article and tag == "header"):
-        return BOILER_EVIDENCE
+        return BOILER_TAGGED
     names: set[str] = set()
     if attributes:
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -84,7 +114,7 @@ def _evidence(tag: str, attributes: str, inside_article: bool) -> float:
             else:
                 names |= set(_NAMES.findall((a or b or c).lower()))
     if tag not in ("body", "html") and names & BOILER_NAMES and not (inside_article and names & {"header"} and not names & (BOILER_NAMES - {"header"})):
-        return BOILER_EVIDENCE
+        return BOILER_NAMED
     if tag in CONTENT_TAGS or (tag not in ("body", "html") and names & CONTENT_NAMES):
         return CONTENT_EVIDENCE
     return 0.0
@@ -93,8 +123,8 @@ def _evidence(tag: str, attributes: str, inside_article: bool) -> float:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, bool]] = [("", 0, 0.0, False)]  # tag, number, nearest evidence, inside an article
-    number, links, at = 0, 0, 0
+    stack: list[tuple[str, Element, float, bool]] = [("", Element(), 0.0, False)]  # tag, element, nearest evidence, inside an article
+    links, at = 0, 0
     now: Block | None = None
 
     def end() -> None:
@@ -164,32 +194,36 @@ def blocks_of(page: str) -> list[Block]:
                 del stack[k:]
             elif stack[k][0] in HOLDS:
                 break
-        number += 1
-        _, _, before, article = stack[-1]
+        _, parent, before, article = stack[-1]
         own = _evidence(tag, found[3], article)
-        stack.append((tag, number, own if own and not (before < 0 < own) else before, article or tag == "article"))
+        stack.append((tag, Element(parent), own if own and not (before < 0 < own) else before, article or tag == "article"))
         links += tag == "a"
     end()
     return out
 
 
 def features(block: Block) -> list[float]:
-    text = block.text
+    """What a block by itself tells; its neighbours speak through the cut."""
+    text, tag = block.text, block.tag
     n = len(text)
     words = text.count(" ") + 1
     marks = text.count(".") + text.count(",") + text.count("?") + text.count("!")
-    return [1.0, math.log1p(n) - 4.0, min(1.0, block.linked / n), min(1.0, 10.0 * marks / n), n / words / 6.0 - 1.0, float(text[-1] in ".!?\"”»"), float(block.tag[:1] == "h" and block.tag[1:].isdigit())]
+    return [
+        1.0, math.log1p(n) - 4.0, min(1.0, block.linked / n), min(1.0, 10.0 * marks / n), min(3.0, n / words / 6.0) - 1.0, float(text[-1] in ".!?\"”»"),
+        float(tag[:1] == "h" and tag[1:].isdigit()), float(tag in ("p", "pre", "blockquote", "dd", "td")), float(tag in ("li", "option", "dt", "th")),
+    ]
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Logistic regression by Newton steps, classes weighted alike; zeros if one class is missing."""
-    w = np.zeros(x.shape[1] if x.ndim == 2 else 7)
+def fit(x: np.ndarray, y: np.ndarray, share: float = RIDGE, prior: np.ndarray = PRIOR) -> np.ndarray:
+    """Logistic regression by Newton steps, classes weighted alike and weights drawn to ``prior`` (by ``share`` of the rows); that itself if one class is missing."""
+    w = prior.copy()
     if not len(y) or y.min() == y.max():
         return w
+    ridge = share * len(y)
     heft = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (heft * (y - p)) - ridge * w
+        slope = x.T @ (heft * (y - p)) - ridge * (w - prior)
         curve = (x.T * (heft * p * (1 - p))) @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w = w + step
@@ -261,31 +295,34 @@ class Network:
                     break
 
 
-def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
-    """Which blocks are content."""
-    n = len(blocks)
-    if not n:
+def odds_of(blocks: list[Block], weights: np.ndarray) -> list[int]:
+    """Each block's own log-odds, in ``SCALE``."""
+    if not blocks:
         return []
     from_text = np.clip(np.array([features(b) for b in blocks]) @ weights, -TEXT_LIMIT, TEXT_LIMIT)
-    odds = np.rint(SCALE * (from_text + [b.evidence for b in blocks])).astype(int).tolist()
+    return np.rint(SCALE * (from_text + [b.evidence for b in blocks])).astype(int).tolist()
+
+
+def label(blocks: list[Block], weights: np.ndarray) -> list[bool]:
+    """Which blocks are content."""
+    odds, n = odds_of(blocks, weights), len(blocks)
     if all(o > 0 for o in odds) or all(o <= 0 for o in odds):
         return [o > 0 for o in odds]
     net, source, sink = Network(n + 2), n, n + 1
-    last: dict[int, int] = {}
+    last: dict[Element | None, int] = {}  # the last block of each container
     for k, o in enumerate(odds):
         if o > 0:
             net.edge(source, k, o)
         elif o < 0:
             net.edge(k, sink, -o)
-        pull = int(SCALE * NEXT_TO) if k else 0
-        before = last.get(blocks[k].parent)
-        if before is not None and before == k - 1:
-            pull += int(SCALE * SAME_PARENT)
-        elif before is not None:
-            net.edge(before, k, int(SCALE * SAME_PARENT), int(SCALE * SAME_PARENT))
-        if pull:
+        holder = blocks[k].holder
+        if k and (far := steps(blocks[k - 1].holder, holder)) <= FAR:
+            pull = round(SCALE * NEXT_TO * 0.5 ** max(0, far - 2))
             net.edge(k - 1, k, pull, pull)
-        last[blocks[k].parent] = k
+        before = last.get(holder.parent)
+        if before is not None and before < k - 1:
+            net.edge(before, k, int(SCALE * SAME_PARENT), int(SCALE * SAME_PARENT))
+        last[holder.parent] = k
     return net.source_side(source, sink)[:n]
 
 

@@ -563,6 +563,44 @@ def test_pages_give_their_articles(spark):
         assert " ".join(r.text.split()) == plain and r.n_chars == len(r.text)
 
 
+def test_labels_without_names_and_with_wrong_ones():
+    """Fitted on some pages, tried on others: without classes, without telling elements, and with paragraphs that are called boilerplate."""
+    pages = [r["html"] for r in pq.read_table(f"{SF.replace('0.001', '0.01')}/pages.parquet").to_pylist()]
+    said = [b for p in pages[:100] for b in htmltext.blocks_of(p) if b.evidence]
+    weights = htmltext.fit(np.array([htmltext.features(b) for b in said]), np.array([float(b.evidence > 0) for b in said]))
+    r = random.Random(1)
+    bare = lambda p: re.sub(r' class="[^"]*"', "", p)
+    divs = lambda p: re.sub(r"<(/?)(nav|article|footer)\b[^>]*>", r"<\1div>", bare(p))
+    wrong = lambda p: re.sub("<p>", lambda m: '<p class="share">' if r.random() < 0.2 else "<p>", p)
+
+    def measured(change):
+        right = {True: 0, False: 0}  # with the cut, by each block's own odds
+        total = changed = 0
+        for page in pages[100:]:
+            truth = [b.evidence > 0 for b in htmltext.blocks_of(page)]
+            blocks = htmltext.blocks_of(change(page))
+            labels, own = htmltext.label(blocks, weights), [o > 0 for o in htmltext.odds_of(blocks, weights)]
+            assert len(truth) == len(blocks)
+            right[True] += sum(map(bool.__eq__, truth, labels))
+            right[False] += sum(map(bool.__eq__, truth, own))
+            total, changed = total + len(truth), changed + sum(map(bool.__ne__, labels, own))
+        return right[True] / total, right[False] / total, changed
+
+    assert measured(lambda p: p)[0] == measured(bare)[0] == 1.0 and measured(divs)[0] > 0.99
+    cut, alone, changed = measured(wrong)
+    assert changed > 50 and cut > 0.94 and cut > alone + 0.03
+
+
+def test_pages_that_name_nothing(spark):
+    """Without any telling element in the sample the prior and the cut decide."""
+    menu = "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(8))
+    text = "".join(f"<p>This is paragraph {k}, which says one thing, and then another one.</p>" for k in range(5))
+    page = f"<div><ul>{menu}</ul></div><div><h2>On things</h2>{text}<p>So.</p></div>"
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    got = htmltext.extract_pages(df, ["page_id"], htmltext.learn(df)).first().text.split("\n")
+    assert got[0] == "On things" and got[-1] == "So." and len(got) == 7
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.integers(2, 6), st.randoms(use_true_random=False))
 def test_cut_is_minimal(n, r):
@@ -584,4 +622,4 @@ def test_cut_is_minimal(n, r):
 
 def test_length_of_results_is_checked_by_spark(spark):
     df = spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string")
-    assert htmltext.extract_pages(df, ["page_id"], np.zeros(7)).select(F.length("text")).first() is not None
+    assert htmltext.extract_pages(df, ["page_id"], htmltext.PRIOR).select(F.length("text")).first() is not None
