@@ -5,10 +5,10 @@ the vectors that have it among theirs, with its rank. A query accumulates, over
 what its footrule distance to each posted vector falls below that to a stranger; the ``SHARE`` of a block
 with the least footrule distances is reranked by the exact inner product.
 
-Pivots (at most ``PIVOTS``) are a hash sample. Vectors are dealt by hash into blocks of about ``BLOCK``
-rows, each with its own inverted files, and queries into blocks too; a task serves one block of queries
-from a few blocks of vectors (their number's root, ``BLOCKS`` at most) and returns at most k rows for each
-query from all of them. Vectors of unequal length are told
+Pivots (at most ``PIVOTS``) are a hash sample. Vectors are dealt by hash into blocks, each with its own
+inverted files, built once; the queries go past every block in batches, and a block returns at most k rows for
+each query. So vectors are shuffled once, queries once for each block. Blocks grow with the root of the table
+from ``BLOCK`` rows to ``BLOCK_MOST``, whose files take some 150 MB of a worker. Vectors of unequal length are told
 apart by one more coordinate (what a vector lacks to the longest one), so that the nearest by angle is
 the largest by inner product.
 
@@ -20,18 +20,19 @@ the query with that id. Ties go to the smaller vec_id. With fewer than k candida
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, table, unsigned_share
+from inkwell.llm.common import cut, table, tidy, unsigned_share
 
-PIVOTS, PREFIX, SHARE = 64, 24, 0.5
-#: Times k that are reranked at least, for blocks with few vectors.
+PIVOTS, PREFIX, SHARE = 512, 64, 0.05
+#: Times k that are reranked at least, for tables with few vectors.
 LEAST = 20
-BLOCK, QUERY_BLOCK, BLOCKS = 2048, 2048, 16
+BLOCK, BLOCK_MOST = 4096, 1 << 17
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -43,8 +44,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return fine.where(F.size(v) == (common.d if common else 0))
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    values = column.combine_chunks()
+def _matrix(values: pa.ListArray) -> np.ndarray:
     flat = values.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
 
@@ -70,21 +70,21 @@ class Block:
         flat = order.ravel()
         by_pivot = np.argsort(flat, kind="stable")
         rows, ranks = np.divmod(by_pivot, self.prefix)
-        bounds = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
+        bounds = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1)).tolist()
+        rows, ranks = rows.astype(np.int32), ranks.astype(np.int16)
         self.files = [(rows[a:b], ranks[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
 
     def nearness(self, order: np.ndarray) -> np.ndarray:
         """Half of what each vector's footrule distance to a query of pivots ``order`` lies below a stranger's."""
-        out = np.zeros(len(self.ids), np.int64)
-        for rank, pivot in enumerate(order.tolist()):
-            rows, ranks = self.files[pivot]
-            out[rows] += self.prefix - np.maximum(ranks, rank)
-        return out
+        files = [self.files[pivot] for pivot in order.tolist()]
+        rows = np.concatenate([f[0] for f in files])
+        worth = np.concatenate([self.prefix - np.maximum(f[1], rank) for rank, f in enumerate(files)])
+        return np.bincount(rows, worth, len(self.ids)).astype(np.int64)
 
-    def search(self, own: int, q: np.ndarray, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int, q: np.ndarray, order: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the k best ids and their scores; rows that repeat an id count once, by the best of them."""
         n = len(self.names)
-        most = min(n, max(math.ceil(share * n), LEAST * k))
+        most = min(n, max(math.ceil(share * n), least * k))
         near = np.maximum.reduceat(self.nearness(order), self.firsts)
         key = near * n + np.arange(n - 1, -1, -1)  # ties: the smaller id first
         chosen = np.argpartition(-key, most - 1)[:most] if most < n else np.arange(n)
@@ -99,8 +99,8 @@ class Block:
             chosen = self.firsts[chosen]
         rough = self.x[chosen] @ q
         if len(chosen) > k and n == len(self.ids):
-            least = np.partition(rough, len(rough) - k)[len(rough) - k]
-            chosen = chosen[rough >= least - 1e-9 * max(1.0, abs(least))]
+            lowest = np.partition(rough, len(rough) - k)[len(rough) - k]
+            chosen = chosen[rough >= lowest - 1e-9 * max(1.0, abs(lowest))]
         score = (self.x[chosen] * q).sum(axis=1)
         best = best_of(self.ids[chosen], score, k)
         return chosen[best], score[best]
@@ -113,45 +113,56 @@ def best_of(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     return order[np.sort(first)[:k]]
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
+def block_rows(n: int) -> int:
+    return int(min(BLOCK_MOST, max(BLOCK, 16 * math.sqrt(n))))
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each vector whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
-    held = cut(usable(vectors))
+    held = cut(usable(vectors).dropDuplicates())
     n, n_ids, longest = held.agg(F.count("*"), F.countDistinct("vec_id"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    n_queries = held.where(F.col("vec_id") % every == 0).count()
-    result = "query_id long, vec_id long, score double"
-    if not n_queries:
+    asked = held.where(F.col("vec_id") % every == 0)
+    if asked.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sample = held.where(unsigned_share(F.col("vec_id"), 7) < 4.0 * pivots / n_ids).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()
     sample = sample or held.orderBy("vec_id").limit(1).collect()
     shared = spark.sparkContext.broadcast(lifted(np.unique(np.array([r.v for r in sample]), axis=0), longest))
-    together = min(BLOCKS, math.ceil(math.sqrt(-(-n // BLOCK))))
-    blocks, query_blocks = -(-n // (BLOCK * together)), -(-n_queries // QUERY_BLOCK)
-    vb = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).alias("vb")
-    qb = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).alias("qb")
-    every_vb, every_qb = (F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(name) for m, name in ((blocks, "vb"), (query_blocks, "qb")))
-    files = held.select(vb, every_qb, "vec_id", "v")
-    asked = held.where(F.col("vec_id") % every == 0).select(qb, every_vb, "vec_id", "v")
-
-    def serve(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            left = left.sort_by("vec_id")
-            ids, x = left["vec_id"].to_numpy(), _matrix(left["v"])
-            parts = -(-len(ids) // BLOCK)
-            held = [Block(ids[part::parts], x[part::parts], shared.value, longest, prefix) for part in range(parts)]
-            q = _matrix(right["v"])
-            unit = q / np.linalg.norm(q, axis=1)[:, None]
-            orders = prefixes(np.hstack([unit, np.zeros((len(q), 1))]), shared.value, prefix)
-            for own, one, order in zip(right["vec_id"].to_pylist(), q, orders):
-                each = [(block.ids[rows], score) for block in held for rows, score in [block.search(own, one, order, k, share)]]
-                found, score = (np.concatenate(v) for v in zip(*each))
-                best = best_of(found, score, k)
-                out.append((np.full(len(best), own), found[best], score[best]))
-        columns = [np.concatenate([o[i] for o in out]) if out else np.empty(0) for i in range(3)]
-        return pa.table({"query_id": pa.array(columns[0].astype(np.int64)), "vec_id": pa.array(columns[1].astype(np.int64)), "score": pa.array(columns[2].astype(np.float64))})
-
-    found = files.groupBy("vb", "qb").cogroup(asked.groupBy("vb", "qb")).applyInArrow(serve, result)
+    blocks = -(-n // block_rows(n))
+    one = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))
+    every_one = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    dealt = held.select(one.alias("block"), F.lit(False).alias("asks"), "vec_id", "v").unionByName(asked.select(every_one.alias("block"), F.lit(True).alias("asks"), "vec_id", "v"))
+
+    def answers(block: Block, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
+        unit = q / np.linalg.norm(q, axis=1)[:, None]
+        orders = prefixes(np.hstack([unit, np.zeros((len(q), 1))]), shared.value, block.prefix)
+        out = [(own, *block.search(own, v, order, k, share, least)) for own, v, order in zip(ids.tolist(), q, orders)]
+        asking = np.repeat(ids, [len(rows) for _, rows, _ in out])
+        rows, score = (np.concatenate([o[i] for o in out]) for i in (1, 2))
+        return pa.RecordBatch.from_arrays([pa.array(asking), pa.array(block.ids[rows.astype(np.int64)]), pa.array(score.astype(np.float64))], names=["query_id", "vec_id", "score"])
+
+    @tidy
+    def serve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by block: its vectors by id, then all queries."""
+        now, waiting, block = None, [], None
+        for batch in batches:
+            number, asks, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asks", "vec_id"))
+            edges = [0, *(np.flatnonzero((np.diff(number) != 0) | (asks[1:] != asks[:-1])) + 1).tolist(), len(ids)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if a == b:
+                    continue
+                if number[a] != now:
+                    now, waiting, block = number[a], [], None
+                x = _matrix(batch.column("v").slice(a, b - a))
+                if not asks[a]:
+                    waiting.append((ids[a:b], x))
+                    continue
+                if block is None and waiting:
+                    block = Block(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]), shared.value, longest, prefix)
+                if block is not None:
+                    yield answers(block, ids[a:b], x)
+
+    found = dealt.repartition("block").sortWithinPartitions("block", "asks", "vec_id").mapInArrow(serve, "query_id long, vec_id long, score double")
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return once.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

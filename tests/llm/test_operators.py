@@ -366,6 +366,23 @@ def test_recall_of_nearest(spark):
     assert hit / (20 * len(found)) >= 0.9
 
 
+def test_recall_of_the_index(spark):
+    """20,000 vectors, of which 5 % of each block are reranked: copies of the given ones with noise."""
+    given = np.array(pq.read_table(f"{SF.replace('0.001', '0.1')}/embeddings.parquet")["embedding"].to_pylist(), float)
+    r = np.random.default_rng(11)
+    x = np.concatenate([given + r.normal(scale=0.1, size=given.shape) for _ in range(10)])
+    df = spark.createDataFrame(pa.table({"vec_id": range(len(x)), "embedding": pa.array(x.tolist())}))
+    found = {}
+    for row in ann.nearest(df, every=100, least=1).collect():
+        found.setdefault(row.query_id, set()).add(row.vec_id)
+    hit = 0
+    for q, mine in found.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hit += len(mine & set(np.argsort(-score)[:20].tolist()))
+    assert len(found) == 200 and ann.SHARE <= 0.05 and hit / (20 * len(found)) >= 0.9
+
+
 def test_unequal_lengths_and_ties(spark):
     data = [(k, [float(k % 3), 1.0, 0.0]) for k in range(1, 40)] + [(0, [1.0, 0.0, 0.0]), (100, [50.0, 0.0, 0.0])]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
