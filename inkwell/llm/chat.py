@@ -12,9 +12,9 @@ between them: together they give the path that Viterbi finds over the whole conv
 A row's ``rendered`` is what it adds to the canonical text: joined in order of turn, the rows of a
 conversation give a ``<|role|>`` header and the lines of each turn, with ``<|end|>`` between turns.
 
-Defined results: a null text is an empty line; a null role gives no marker; a null conv_id is one
-conversation; repeated turns stand in order of role and text. Without training rows roles are guessed
-from markers alone.
+Defined results: a null text is an empty line; a null role gives no marker; a row without conv_id is a
+conversation by itself; repeated turns stand in order of role and text, rows without a turn before all others in
+order of their text's hash. Without training rows roles are guessed from markers alone.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ _ROLE_OF = {name: role for role, names in MARKERS.items() for name in names}
 _MARK = re.compile(r"\s*(?:#{1,4}\s*|\*\*|\[|<\|?|>\s*)?(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")(?:\*\*|\]|\|?>)?\s*(?:[:>\]]\s?|$)", re.I)
 STATES = len(ROLES) * 2  # opening states first, then the inner ones
 SAMPLE_ROWS, CHUNK = 4000, 512
+#: Chunks that a conversation's rows without a turn are dealt to.
+UNTOLD = 1024
 LENGTHS = (0, 20, 60, 120, 240, 480, 960)
 
 
@@ -174,8 +176,9 @@ def parse(transcripts: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame
     """
     spark = transcripts.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    number = F.coalesce(F.floor(F.col("turn") / chunk), F.lit(-1)).cast("long")
-    key = F.coalesce(F.col("conv_id").cast("string"), F.lit("\0"))
+    untold = -1 - F.pmod(F.xxhash64("raw"), F.lit(UNTOLD))
+    number = F.coalesce(F.floor(F.col("turn") / chunk).cast("long"), untold)
+    key = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
     rows = cut(transcripts.select(key.alias("key"), number.alias("chunk"), "conv_id", "turn", "role", "raw"))
     order = ("key", "chunk", "turn", "role", "raw")
     several = rows.groupBy("key").agg(F.countDistinct("chunk").alias("n")).where("n > 1").select("key")

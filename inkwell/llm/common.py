@@ -13,26 +13,55 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.tables import read_table, spread
+
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which executors and the driver share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset (tests on one
-    machine), a temporary folder is used.
+    Where it is unset a session on one machine gets a temporary folder; on a cluster that would be lost data.
     """
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    global _own_folder
+    _own_folder = _own_folder or tempfile.mkdtemp(prefix="checkpoint-")
+    return _own_folder
+
+
+_own_folder: str | None = None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in ``shared_folder`` and cut its lineage."""
     spark = df.sparkSession
-    context = spark.sparkContext._jsc.sc()
-    if context.getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def let_go(df: DataFrame) -> None:
+    """Delete what ``cut`` has written for ``df``, which nothing may read any more."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.nodeName() == "LogicalRDD":
+        written = plan.rdd().getCheckpointFile()
+        if written.isDefined():
+            delete(df.sparkSession, written.get())
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one small file is spread over all cores."""
+    return spread(read_table(spark, sf_dir, name))
 
 
 def unsigned_share(column, seed: int = 0):

@@ -18,7 +18,6 @@ Repeated rows are predicted alike; other columns of the input don't matter.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,26 +28,30 @@ from pyspark.sql import functions as F
 from inkwell.llm.common import pieces, plain_names, table, texts, tidy, unsigned_share
 
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+WORDS = re.compile(r"[^\W\d_]+")
 #: (bytes of the dictionary, compression level); all but the first serve close calls.
 DICTIONARIES = ((100_000, 4), (32_000, 9), (8_000, 9))
 #: Bytes of the dictionary's end that lead a text in close calls.
 LEAD = 300
-#: The fit reads at most so many distinct texts of each language, and so many characters of each.
-SAMPLE_TEXTS, SAMPLE_CHARS = 600, 4000
+#: The fit reads at most so many distinct texts of each language, each of them whole.
+SAMPLE_TEXTS = 600
 CLOSE, MIN_MARGIN = 0.05, 0.001
 
 
 def words_of(text: str) -> list[str]:
-    """Distinct lower-cased words of letters, in order of appearance."""
-    return list(dict.fromkeys(LETTERS.findall(text.lower())))
+    """Distinct lower-cased words of letters, in order of appearance. What ``\\w`` has besides (fractions, raised digits, Roman numerals) is none."""
+    found = dict.fromkeys(WORDS.findall(text.lower()))
+    if all(map(str.isalpha, found)):
+        return list(found)
+    return list(dict.fromkeys(part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()))
 
 
-def training_words(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
+def training_words(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, most_bytes: int = DICTIONARIES[0][0]) -> dict[str, list[str]]:
     """Each language's words by falling document frequency, from a bounded sample of ``labelled(doc_id, text, lang)``.
 
     The sample is the ``sample_texts`` distinct texts of a language with the smallest hash. Rows are
-    thinned by hash before they are ranked, by the language's count, so no language is gathered whole.
+    thinned by hash before they are ranked, by the language's count, so no language is gathered whole. Words are
+    counted where the texts are; the driver gets as many of a language as fill ``most_bytes``.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
@@ -56,15 +59,25 @@ def training_words(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, sample
     chosen = (
         known.join(F.broadcast(counts), "lang")
         .where(share < F.lit(4.0 * sample_texts) / F.col("n"))
-        .select("lang", F.substring("text", 1, sample_chars).alias("part"), F.xxhash64("text").alias("key"))
+        .select("lang", "text", F.xxhash64("text").alias("key"))
         .dropDuplicates(["lang", "key"])
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")))
         .where(F.col("place") <= sample_texts)
     )
-    frequency: dict[str, Counter] = {}
-    for row in chosen.select("lang", "part").toLocalIterator():
-        frequency.setdefault(row.lang, Counter()).update(words_of(row.part))
-    return {lang: sorted(seen, key=lambda w: (-seen[w], w)) for lang, seen in frequency.items() if seen}
+
+    @tidy
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            rows = [(lang, word) for lang, text in zip(texts(batch, "lang"), texts(batch, "text")) for word in words_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["lang", "word"])
+
+    counted = chosen.select("lang", "text").mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    fitting = counted.withColumn("bytes", F.sum(F.octet_length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("bytes") <= most_bytes)
+    found: dict[str, list[str]] = {}
+    for row in fitting.select("lang", "n", "word").orderBy("lang", F.desc("n"), "word").collect():
+        found.setdefault(row.lang, []).append(row.word)
+    return found
 
 
 def dictionaries(words: dict[str, list[str]], sizes=DICTIONARIES) -> list[dict[str, bytes]]:

@@ -51,17 +51,18 @@ class Vocabulary:
     kinds: np.ndarray
 
     @classmethod
-    def read(cls, path: str, zipf: bool = True) -> Vocabulary:
+    def read(cls, path: str) -> Vocabulary:
+        """A model file's pieces with their scores; where these are ranks (0, -1, -2 and so on) Zipf's law gives the scores."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         kinds = np.array([1 if model.is_byte(i) else 2 if model.is_control(i) or model.is_unknown(i) or model.is_unused(i) else 0 for i in range(n)])
-        if zipf:
+        score = np.array([model.get_score(i) for i in range(n)])
+        ranks = score[kinds == 0]
+        if np.array_equal(ranks, -np.arange(len(ranks))):
             rank = np.cumsum(kinds == 0) - 1
             score = -np.log(np.maximum(rank, 0) + 2.7) - math.log(math.log(n + 2.7))
-        else:
-            score = np.array([model.get_score(i) for i in range(n)])
         return cls([model.id_to_piece(i) for i in range(n)], score, kinds)
 
 

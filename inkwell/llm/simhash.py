@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkwell.llm.common import cut, pieces, table, tidy, utf8
+from inkwell.llm.common import cut, let_go, pieces, table, tidy, utf8
 
 RADIUS = 2
 SHARD = 512
@@ -233,8 +233,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = cut(tidy(small))
+        edges, gone = cut(tidy(small)), edges
         after = stamp(edges)
+        let_go(gone)
         if after == before:
             break
         before = after
