@@ -334,12 +334,12 @@ class NearSets:
 
 @tidy
 def _near_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, root) of the components inside each run of equal ``part``; rows (part, n, fp, held) come sorted."""
+    """(a, b) that connect the components inside each run of equal ``part``; rows (part, n, fp, held) come sorted."""
     now, names, sets = None, [], NearSets()
 
     def tree() -> pa.RecordBatch:
         pairs = [(names[k], names[sets.root(k)]) for k in range(len(names)) if sets.parent[k] != k]
-        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["node", "root"])
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
         for part, fp, held in zip(batch.column("part").to_pylist(), batch.column("fp").to_pylist(), batch.column("held")):
@@ -354,6 +354,25 @@ def _near_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield tree()
 
 
+#: Sets of a group of candidates that are checked by one task against as many others of it.
+SLICE = 1000
+
+
+def _dealt(parts: DataFrame) -> DataFrame:
+    """part, fp of ``parts(group, fp)``: a group of up to ``SLICE`` sets is one part.
+
+    A larger one is cut into slices by hash, and every two slices meet in a part of their own: each pair of sets
+    lies in some part, and no part has more than about two slices.
+    """
+    slices = parts.groupBy("group").agg(F.ceil(F.count("*") / SLICE).alias("m"))
+    own = F.pmod(F.xxhash64("fp"), F.col("m"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
+    met = parts.join(slices, "group").select("group", "fp", "m", own.alias("own"), other.alias("other"))
+    # a slice meets itself in its part with the next one
+    met = met.where((F.col("m") == 1) | (F.col("own") != F.col("other")))
+    return met.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "fp")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fp (a hash of the shingle set) and component_id of each row of ``docs(doc_id, text)``: components of all
     pairs with a five-word Jaccard similarity of ``NEAR`` or more. Rows without doc_id link only to equal sets."""
@@ -368,24 +387,24 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     @tidy
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(part, n, fp, held) of rows (part, fp, text) whose text has that fp; another text may go by the same doc_id."""
+        """(parts, n, fp, held) of rows (parts, fp, text) whose text has that fp; another text may go by the same doc_id."""
         for batch in pieces(batches, "text"):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(shingle_set, utf8(batch, "text")))
-            fit = [(part, len(held), fp, held.tobytes()) for part, fp, held in rows if _set_name(held) == fp]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in fit], kind) for k, kind in enumerate(kinds)], names=["part", "n", "fp", "held"])
+            fit = [(parts, len(held), fp, held.tobytes()) for parts, fp, held in rows if _set_name(held) == fp]
+            kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in fit], kind) for k, kind in enumerate(kinds)], names=["parts", "n", "fp", "held"])
 
     marked = cut(docs.select("doc_id", "text").mapInArrow(mark, id_type.add("fp", "long").add("bands", T.ArrayType(T.LongType()))))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands")))
     keyed = distinct.where(F.col("least_doc").isNotNull()).select(F.explode("bands").alias("key"), "fp")
     least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1")
     candidates = components(keyed.join(least, "key").select(F.col("fp").alias("a"), F.col("first").alias("b")))
-    parts = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct())
-    asked = distinct.select("fp", "least_doc").join(parts, F.col("fp") == F.col("node")).select(F.col("root").alias("part"), "fp", "least_doc")
-    texts_of = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("least_doc")).select("part", "fp", "text")
-    held = texts_of.mapInArrow(sets_of, "part long, n long, fp long, held binary")
-    dealt = held.repartition("part").sortWithinPartitions("part", "n", "fp")
-    tree = cut(dealt.mapInArrow(_near_trees, "node long, root long"))
+    grouped = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct()).select(F.col("root").alias("group"), F.col("node").alias("fp"))
+    asked = distinct.select("fp", "least_doc").join(_dealt(grouped).groupBy("fp").agg(F.collect_list("part").alias("parts")), "fp")
+    texts_of = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("least_doc")).select("parts", "fp", "text")
+    held = texts_of.mapInArrow(sets_of, "parts array<long>, n long, fp long, held binary").withColumn("part", F.explode("parts"))
+    dealt = held.select("part", "n", "fp", "held").repartition("part").sortWithinPartitions("part", "n", "fp")
+    tree = components(dealt.mapInArrow(_near_trees, "a long, b long"))
     return _named(marked, distinct.select("fp", "least_doc"), tree)
 
 

@@ -319,8 +319,10 @@ def test_bk_tree_finds_what_a_scan_finds(values, query):
 # --- near copies in the pipeline ---------------------------------------------------------------------------
 
 
-def test_stage_removes_near_copies(spark):
+@pytest.mark.parametrize("slice_", [1000, 2])
+def test_stage_removes_near_copies(spark, monkeypatch, slice_):
     """Copies with 1 to 8 words replaced: what stays is the least id of each component of exact pairs at 0.8."""
+    monkeypatch.setattr(simhash, "SLICE", slice_)
     r = random.Random(9)
     texts = {}
     for k in range(60):
