@@ -134,3 +134,13 @@ def merge_rows(rows: DataFrame, key: str, line: Column, order: Sequence[str], na
     """key and its lines joined in order."""
     held = F.sort_array(F.collect_list(F.struct(*order, line.alias("_line"))))
     return rows.groupBy(key).agg(F.array_join(F.transform(held, lambda r: r["_line"]), separator).alias(name))
+
+
+def first_of(rows: DataFrame, key: str, order: Sequence[str], most: int) -> DataFrame:
+    """``rows`` with place, the ``most`` first of each key; what a context has room for. Spark cuts them down before the shuffle."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= most)
+
+
+def day_spans(events: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, first_day, last_day, n_events: the days that a chapter covers."""
+    return events.groupBy(*keys).agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n_events"))

@@ -409,13 +409,6 @@ def day_ranges(spark, d):
     return scenes.days_by_range(_actions(spark, d).select("day").distinct(), 7)
 
 
-@query("repaired_split")
-def repaired_split(spark, d):
-    events = _events(spark, d)
-    found = events.select("arc", "day").distinct().join(scenes.strong_days(_scenes(spark, d), 6), "day")
-    return scenes.repaired_chapters(found, 7)
-
-
 @query("chapter_scopes", f"""WITH {SQL_SCENES}, dy AS (SELECT DISTINCT day FROM actions), n AS (SELECT *, row_number() OVER (ORDER BY day) AS r, count(*) OVER () AS n, ntile(7) OVER (ORDER BY day DESC) AS t FROM dy),
 a AS (SELECT day, CAST(CASE WHEN n <= 7 THEN r ELSE 8 - t END AS INT) AS chapter FROM n)
 SELECT c.chapter, coalesce(count(sw.day), 0) AS n_scenes, coalesce(CAST(sum(n_events) AS BIGINT), 0) AS n_events, coalesce(max(CAST(weight >= 3 AS INT)), 0) = 1 AS has_strong, count(DISTINCT location) AS n_locations
@@ -491,10 +484,9 @@ def timeline_markdown(spark, d):
     return timeline.timeline_markdown(timeline.timeline_entries(_events(spark, d), "ch1-7")).select("day", F.md5("markdown").alias("markdown_md5"))
 
 
-@query("hook_ids", """SELECT user_id, event_id, 'hook_' || lpad(CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + 4 AS VARCHAR), 3, '0') AS id FROM events WHERE event_type = 'signup'""")
+@query("hook_ids", """SELECT user_id, event_id, 'hook_' || lpad(CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + 4 AS VARCHAR), 3, '0') AS id FROM events""")
 def hook_ids(spark, d):
-    events = read(spark, d, "events").where("event_type = 'signup'")
-    return timeline.numbered_in_groups(events, "user_id", ["ts", "event_id"], start=4).select("user_id", "event_id", "id")
+    return timeline.numbered_in_groups(read(spark, d, "events"), "user_id", ["ts", "event_id"], start=4).select("user_id", "event_id", "id")
 
 
 @query("hook_ledger", """WITH h AS (SELECT item_id AS seq, CASE WHEN item_id % 3 = 0 THEN 'h' || CAST(item_id AS VARCHAR) ELSE '' END AS id, text AS description FROM benchmark), n AS (SELECT *, row_number() OVER (ORDER BY seq) + 5 AS k FROM h)
@@ -505,10 +497,10 @@ def hook_ledger(spark, d):
     return timeline.numbered_hooks(hooks, existing).select("seq", "id", "description", "created_at")
 
 
-@query("new_hooks", """SELECT text AS description, 3 AS created_at_chapter, 'open' AS status FROM benchmark UNION ALL SELECT left(text, CAST(doc_id % 12 AS INT)), 3, 'open' FROM documents WHERE doc_id % 12 > 5 AND length(text) > 5""")
+@query("new_hooks", """SELECT text AS description, 3 AS created_at_chapter, 'open' AS status FROM benchmark UNION ALL SELECT text, 3, 'open' FROM documents WHERE length(text) > 5 UNION ALL SELECT r_name, 3, 'open' FROM region WHERE length(r_name) > 5""")
 def new_hooks(spark, d):
     hidden = read(spark, d, "benchmark").select(F.col("text").alias("description"))
-    traces = read(spark, d, "documents").select(F.left("text", (F.col("doc_id") % 12).cast("int")).alias("description"))
+    traces = read(spark, d, "documents").select(F.col("text").alias("description")).unionByName(read(spark, d, "region").select(F.col("r_name").alias("description")))
     return world.new_hooks(hidden, traces, 3)
 
 
@@ -637,9 +629,9 @@ def character_clamp(spark, d):
     return chapters.clamped(impacts, ["user_id", "event_type"], F.lit(3))
 
 
-@query("turn_context", """SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 100), '') AS context FROM conversations""")
+@query("turn_context", """SELECT conv_id, turn, coalesce(right(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 4000), '') AS context FROM conversations""")
 def turn_context(spark, d):
-    return chapters.chained_context(read(spark, d, "conversations"), "conv_id", "turn", window=100).select("conv_id", "turn", "context")
+    return chapters.chained_context(read(spark, d, "conversations"), "conv_id", "turn").select("conv_id", "turn", "context")
 
 
 @query("length_hints", """SELECT doc_id, CAST(greatest(150, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 2 = 0 THEN 700 ELSE 2 * (n_chars // 5) END ELSE n_chars // 5 END) AS BIGINT) AS hint FROM documents""")
@@ -723,20 +715,20 @@ def chapter_upsert(spark, d):
     return timeline.upserted(old, old.where("o_orderkey % 2 = 0").withColumn("state", F.lit("new")), ["o_custkey", "o_orderkey"])
 
 
-@query("cast_names", """SELECT CAST(o_custkey AS VARCHAR) AS key, coalesce(c_name, CAST(o_custkey AS VARCHAR)) AS name, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 2 = 0 GROUP BY 1, 2""")
+@query("cast_names", """SELECT CAST(o_custkey AS VARCHAR) AS key, coalesce(c_name, CAST(o_custkey AS VARCHAR)) AS name, count(*) AS n FROM orders LEFT JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2""")
 def cast_names(spark, d):
     from inkwell.sources.config import resolved_names
 
-    cast = read(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"))
+    cast = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.col("c_name").alias("name"))
     uses = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("key"))
     return resolved_names(uses, cast).groupBy("key", "name").agg(F.count("*").alias("n"))
 
 
-@query("term_overlap", f"""WITH {FACTS_SQL}, a AS (SELECT a.key AS left_id, b.key AS right_id, count(DISTINCT a.term) AS n_shared FROM fact_terms a JOIN fact_terms b ON a.term = b.term AND a.key < b.key WHERE a.kind = 's' AND b.kind = 's' GROUP BY 1, 2) SELECT * FROM a""")
+@query("term_overlap", f"""WITH {FACTS_SQL}, a AS (SELECT a.key AS left_id, b.key AS right_id, count(*) AS n_shared FROM fact_terms a JOIN fact_terms b ON a.kind = b.kind AND a.term = b.term AND a.key < b.key GROUP BY 1, 2) SELECT * FROM a""")
 def term_overlap(spark, d):
-    terms = cognition.exploded_terms(read(spark, d, "benchmark"), "item_id", "text", **STOP_LISTS).where("kind = 's'").select("item_id", "term")
+    terms = cognition.exploded_terms(read(spark, d, "benchmark"), "item_id", "text", **STOP_LISTS)
     a, b = terms.withColumnRenamed("item_id", "left_id"), terms.withColumnRenamed("item_id", "right_id")
-    return a.join(b, "term").where("left_id < right_id").groupBy("left_id", "right_id").agg(F.countDistinct("term").alias("n_shared"))
+    return a.join(b, ["kind", "term"]).where("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("n_shared"))
 
 
 @query("table_rows", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents),

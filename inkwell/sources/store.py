@@ -26,8 +26,12 @@ def load_states(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each agent file; missing keys get defaults, files that aren't JSON are left out."""
     if not exists(spark, f"{folder}/*.json"):
         return spark.createDataFrame([], STATE)
-    whole = spark.read.text(f"{folder}/*.json", wholetext=True)
-    read = whole.select(F.from_json("value", STATE + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("s")).select("s.*").where("_broken is null")
+    return states_of(spark.read.text(f"{folder}/*.json", wholetext=True))
+
+
+def states_of(texts: DataFrame, text: str = "value") -> DataFrame:
+    """States from JSON texts; missing keys get defaults, texts that aren't JSON are left out."""
+    read = texts.select(F.from_json(text, STATE + ", _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("s")).select("s.*").where("_broken is null")
     return read.drop("_broken").withColumns({
         "emotional_state": F.coalesce("emotional_state", F.lit("平静")), "mutation_phase": F.coalesce("mutation_phase", F.lit(0)),
         "perception_stage": F.coalesce("perception_stage", F.lit("")), "location": F.coalesce("location", F.lit("")),
