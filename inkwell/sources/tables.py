@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 #: Files of at most so many bytes together are dealt out to all cores.
-SMALL_BYTES = 32 << 20
+SMALL_BYTES = 16 << 20
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
