@@ -9,7 +9,7 @@ The bins stand in a balanced tree ordered by remaining capacity.
 
 Rows find their bin by their rank among groups of the same weight. Ranks and slots are row numbers
 inside hash buckets of bounded size plus the buckets' running totals, so no weight, group or shard is
-sorted in one task.
+sorted in one task. A group with more than a ``PARTS``-th of all rows meets its shard in several parts.
 
 Defined results: a null text weighs 1 byte, has crc 0 and groups with other nulls, not with empty
 texts. Repeated rows are members of one group. An empty table gives no rows. A group heavier than an
@@ -29,6 +29,8 @@ from inkwell.llm.common import cut, table
 
 #: Rows of a hash bucket that one task numbers.
 BUCKET_ROWS = 20_000
+#: A part of a group that is joined to its shard has at most this share of all rows; so there are fewer groups in parts than that.
+PARTS = 1000
 
 
 class Bins:
@@ -151,16 +153,19 @@ def assign(members: DataFrame, plan) -> DataFrame:
     plan: gives the runs for a histogram [(weight, groups)] of the groups' total sizes.
     """
     spark = members.sparkSession
-    groups = cut(members.groupBy("group").agg(F.sum("size").alias("weight")))
+    rows = members.count()
+    parts = F.ceil(F.count("*") * PARTS / F.lit(max(1, rows)))
+    groups = cut(members.groupBy("group").agg(F.sum("size").alias("weight"), parts.alias("parts")))
     counted = groups.groupBy("weight").agg(F.count("*").alias("groups"))
     histogram = [(r.weight, r.groups) for r in counted.toLocalIterator()]
     runs = spark.createDataFrame(plan(histogram), "weight long, low long, high long, shard int")
     split = groups.join(counted, "weight").withColumn("bucket", _buckets("group", F.col("groups"))).drop("groups")
     ranked = _numbered(split, ["weight"], "bucket", ["group"], "rank")
     where = (ranked.weight == runs.weight) & (ranked["rank"] >= runs.low) & (ranked["rank"] < runs.high)
-    homes = ranked.join(runs, where).select("group", "shard")
-    rows = members.count()
-    placed = members.join(homes, "group").withColumn("bucket", _buckets("row", F.lit(max(1.0, rows / 8))))
+    homes = ranked.join(runs, where).select("group", "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    large = F.broadcast(groups.where("parts > 1").select("group", "parts"))  # fewer than PARTS groups
+    dealt = members.join(large, "group", "left").withColumn("part", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    placed = dealt.join(homes, ["group", "part"]).drop("part").withColumn("bucket", _buckets("row", F.lit(max(1.0, rows / 8))))
     return _numbered(cut(placed), ["shard"], "bucket", ["row"], "slot").drop("bucket")
 
 

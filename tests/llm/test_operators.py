@@ -86,6 +86,21 @@ def test_shards(spark, documents):
     assert all(len(h) == 1 for h in homes.values())
 
 
+@pytest.mark.parametrize("parts", [3, 1000])
+def test_a_text_of_a_third_of_all_rows_stays_together(spark, monkeypatch, parts):
+    monkeypatch.setattr(sharding, "PARTS", parts)
+    said = [(k, "same" if k % 3 == 0 else None if k % 3 == 1 and k < 200 else f"text {k} " * (k % 7 + 1)) for k in range(1200)]
+    members = sharding.members_of(spark.createDataFrame(said, "doc_id long, text string"))
+    rows = sharding.assign(members, lambda histogram: sharding.pack_equal(histogram, 4)).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(1200))
+    homes = {}
+    for r in rows:
+        homes.setdefault(said[r.doc_id][1], set()).add(r.shard)
+    assert all(len(h) == 1 for h in homes.values()) and {r.shard for r in rows} == {0, 1, 2, 3}
+    for s in range(4):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_fixed_capacity(spark, documents):
     df = spark.createDataFrame([(d["doc_id"], d["text"], 0) for d in documents], "doc_id long, text string, x int")
     rows = sharding.pack_fixed(sharding.members_of(df), 50_000).collect()
