@@ -4,7 +4,8 @@ A state is a role and whether the line opens a turn. A line shows which speaker
 long it is and how it ends. Transitions and emissions are counted (add-one) on a bounded sample of
 conversations with known roles. The most probable path is found by Viterbi.
 
-A conversation is cut into chunks of ``CHUNK`` rows, however long it is. A chunk's effect on path scores is
+A conversation is cut into chunks of ``CHUNK`` turns, however long it is, and a chunk in which turns repeat
+so often that it has over ``DENSE`` times as many rows is cut again, into parts of single turns. A chunk's effect on path scores is
 a max-plus matrix over the states, so pass one reduces each chunk to its matrix, a scan over a
 conversation's matrices fixes the states at the chunks' borders, and pass two finds each chunk's path
 between them: together they give the path that Viterbi finds over the whole conversation.
@@ -14,7 +15,8 @@ conversation give a ``<|role|>`` header and the lines of each turn, with ``<|end
 
 Defined results: a null text is an empty line; a null role gives no marker; a row without conv_id is a
 conversation by itself; repeated turns stand in order of role and text, rows without a turn before all others in
-order of their text's hash. Without training rows roles are guessed from markers alone.
+order of their text's hash; in a chunk that is cut again a turn's rows stand in parts by their place in
+the input. Without training rows roles are guessed from markers alone.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import cut, table, unsigned_share
+from inkwell.operators.joins import if_small
 
 ROLES = ("system", "user", "assistant")
 #: Speaker markers by role.
@@ -40,7 +43,7 @@ MARKERS = {
 _ROLE_OF = {name: role for role, names in MARKERS.items() for name in names}
 _MARK = re.compile(r"\s*(?:#{1,4}\s*|\*\*|\[|<\|?|>\s*)?(" + "|".join(sorted(_ROLE_OF, key=len, reverse=True)) + r")(?:\*\*|\]|\|?>)?\s*(?:[:>\]]\s?|$)", re.I)
 STATES = len(ROLES) * 2  # opening states first, then the inner ones
-SAMPLE_ROWS, CHUNK = 4000, 512
+SAMPLE_ROWS, CHUNK, DENSE = 4000, 512, 8
 #: Chunks that a conversation's rows without a turn are dealt to.
 UNTOLD = 1024
 LENGTHS = (0, 20, 60, 120, 240, 480, 960)
@@ -157,11 +160,11 @@ def render(lines: list[str], states: list[int], opening: bool) -> str:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-    """Rows of each (key, chunk); they come sorted."""
+    """Rows of each (key, chunk, part); they come sorted."""
     held: list[dict] = []
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (held[0]["key"], held[0]["chunk"]) != (row["key"], row["chunk"]):
+            if held and any(held[0][c] != row[c] for c in ("chunk", "part", "key")):
                 yield held
                 held = []
             held.append(row)
@@ -172,33 +175,39 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 def parse(transcripts: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame:
     """conv_id, turn, role, role_pred and rendered of each row of ``transcripts(conv_id, turn, role, raw)``.
 
-    ``role`` is carried for comparison only. A chunk holds the rows of ``chunk`` consecutive turn numbers.
+    ``role`` is carried for comparison only. A chunk holds the rows of ``chunk`` consecutive turn numbers. Those with
+    too many rows are broadcast if they are few, which is counted first.
     """
     spark = transcripts.sparkSession
     shared = spark.sparkContext.broadcast(model)
     untold = -1 - F.pmod(F.xxhash64("raw"), F.lit(UNTOLD))
     number = F.coalesce(F.floor(F.col("turn") / chunk).cast("long"), untold)
     key = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
-    rows = cut(transcripts.select(key.alias("key"), number.alias("chunk"), "conv_id", "turn", "role", "raw"))
-    order = ("key", "chunk", "turn", "role", "raw")
-    several = rows.groupBy("key").agg(F.countDistinct("chunk").alias("n")).where("n > 1").select("key")
-    sums = "key string, chunk long, m array<double>, begun array<double>"
+    given = cut(transcripts.select(key.alias("key"), number.alias("chunk"), "conv_id", "turn", "role", "raw", F.monotonically_increasing_id().alias("row")))
+    place = ("key", "chunk", "part")
+    order = (*place, "turn", "role", "raw")
+    dense = given.groupBy("key", "chunk").agg(F.ceil(F.count("*") / chunk).alias("parts")).where(F.col("parts") > DENSE)
+    part = F.coalesce(F.pmod("turn", F.lit(chunk)), F.lit(0)) * F.col("parts") + F.pmod(F.xxhash64("row"), F.col("parts"))
+    rows = given.join(if_small(dense), ["key", "chunk"], "left").withColumn("part", F.coalesce(part, F.lit(0)).cast("long")).drop("parts", "row")
+    each = rows.select(*place).distinct()
+    several = each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi")
+    sums = "key string, chunk long, part long, m array<double>, begun array<double>"
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in _chunks(batches):
             emitted = shared.value.emit([line for row in one for line in rows_lines(row["raw"])])
-            values = (one[0]["key"], one[0]["chunk"], shared.value.matrix(emitted).ravel().tolist(), shared.value.begun(emitted).tolist())
-            kinds = (pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["key", "chunk", "m", "begun"])
+            values = (*[one[0][c] for c in place], shared.value.matrix(emitted).ravel().tolist(), shared.value.begun(emitted).tolist())
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[*place, "m", "begun"])
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("chunk")
+        group = group.sort_values(["chunk", "part"])
         found = borders([(np.array(m).reshape(STATES, STATES), np.array(b)) for m, b in zip(group["m"], group["begun"])])
-        return pd.DataFrame({"key": group["key"].to_numpy(), "chunk": group["chunk"].to_numpy(), "before": [-1 if a is None else a for a, _ in found], "at_end": [b for _, b in found]})
+        return pd.DataFrame({**{c: group[c].to_numpy() for c in place}, "before": [-1 if a is None else a for a, _ in found], "at_end": [b for _, b in found]})
 
-    long_ones = rows.join(several, "key", "left_semi").repartition("key", "chunk").sortWithinPartitions(*order)
-    ends = cut(long_ones.mapInArrow(reduce, sums).groupBy("key").applyInPandas(scan, "key string, chunk long, before int, at_end int"))
-    dealt = rows.join(ends, ["key", "chunk"], "left").repartition("key", "chunk").sortWithinPartitions(*order)
+    long_ones = rows.join(several, list(place), "left_semi").repartition(*place).sortWithinPartitions(*order)
+    ends = cut(long_ones.mapInArrow(reduce, sums).groupBy("key").applyInPandas(scan, "key string, chunk long, part long, before int, at_end int"))
+    dealt = rows.join(ends, list(place), "left").repartition(*place).sortWithinPartitions(*order)
     names = ["conv_id", "turn", "role", "role_pred", "rendered"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +243,7 @@ def parse(transcripts: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame
             yield flushed()
 
     schema = transcripts.select("conv_id", "turn", "role").schema.add("role_pred", "string").add("rendered", "string")
-    return dealt.select("conv_id", "key", "chunk", "turn", "role", "raw", "before", "at_end").mapInArrow(run, schema)
+    return dealt.select("conv_id", *place, "turn", "role", "raw", "before", "at_end").mapInArrow(run, schema)
 
 
 def as_transcripts(conversations: DataFrame) -> DataFrame:

@@ -442,6 +442,21 @@ def test_chunks_give_the_whole_path(spark):
         assert {r.turn: (r.role_pred, r.rendered) for r in chat.parse(raw, model, chunk).collect()} == whole
 
 
+def test_chunks_of_repeated_turns_are_cut_again(spark):
+    said = [(1, t, "user" if t % 2 else "assistant", f"word {t}" + "?" * (t % 3)) for t in range(6) for _ in range(50 if t in (2, 3) else 1)]
+    said += [(1, None, "user", "untold")] * 30 + [(2, 0, "user", "alone")]
+    raw = chat.as_transcripts(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))
+    model = chat.learn(chat.as_transcripts(spark.read.parquet(f"{SF}/conversations.parquet")))
+
+    def parsed(chunk):
+        return sorted((r.conv_id, -1 if r.turn is None else r.turn, r.role_pred, r.rendered) for r in chat.parse(raw, model, chunk).collect())
+
+    whole = parsed(1000)
+    assert len(whole) == len(said)
+    for chunk in (1, 2, 5):
+        assert parsed(chunk) == whole
+
+
 def test_viterbi_is_the_best_path():
     model = chat.Model([[(0, (0, 1, 1)), (1, (1, 2, 2)), (4, (3, 3, 1)), (2, (2, 5, 1))]])
     emitted = model.emit(["System: x", "q?", "ok"])
