@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.operators import chapters, render, scenes, timeline, world
+from inkwell.functions import env, text
+from inkwell.operators import chapters, cognition, render, scenes, timeline, world
 from inkwell.plans import specs
 from inkwell.plans.bindings import SQL_EVENTS, SQL_SCENES, _events, _scenes, query, read
 from inkwell.sources import store, vault
@@ -206,3 +207,66 @@ SELECT arc, day, CAST(list_position(list_transform(ends, lambda e: e > i), true)
 def repaired_split(spark, d):
     found = _events(spark, d).select("arc", "day").distinct().join(scenes.strong_days(_scenes(spark, d), 6), "day")
     return scenes.repaired_chapters(found, 7)
+
+
+# --- scalar functions, clocks and places ----------------------------------------------------------------------
+
+WHITE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+@query("stripped_texts", f"SELECT doc_id, md5(regexp_replace(text, '^{WHITE}|{WHITE}$', '', 'g')) AS text_md5, regexp_replace(lang, '^{WHITE}|{WHITE}$', '', 'g') AS lang FROM documents")
+def stripped_texts(spark, d):
+    """White space of every kind at either end goes; what is inside stays."""
+    docs = read(spark, d, "documents")
+    wrapped = F.concat(F.lit("\u3000 \t"), F.col("text"), F.lit("\n\u00a0\u3000"))
+    return docs.select("doc_id", F.md5(text.strip(wrapped)).alias("text_md5"), text.blank_to_null(F.concat(F.lit("\u2003"), F.col("lang"))).alias("lang"))
+
+
+@query("first_numbers", "SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '([0-9]+)', 1), '') AS BIGINT) AS number, TRY_CAST(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS BIGINT) AS of_source FROM documents")
+def first_numbers(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.first_number(F.col("text")).alias("number"), text.first_number(F.col("source"), r"(\d+)$").alias("of_source"))
+
+
+@query("scalar_kinds", """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN 'null' WHEN 1 THEN 'boolean' WHEN 4 THEN 'long' WHEN 5 THEN 'double' WHEN 7 THEN 'double' ELSE 'string' END AS kind,
+CASE c_custkey % 8 WHEN 0 THEN NULL WHEN 1 THEN 'true' WHEN 2 THEN c_name WHEN 3 THEN CAST(c_custkey AS VARCHAR) WHEN 4 THEN CAST(-c_custkey AS VARCHAR) WHEN 5 THEN CAST(c_custkey AS VARCHAR) || '.25' WHEN 6 THEN c_mktsegment ELSE '1e5' END AS value FROM customer""")
+def scalar_kinds(spark, d):
+    k = F.col("c_custkey")
+    kinds = ["  null ", "True", _text("'", F.col("c_name"), "'"), _text('"', k, '"'), _text("-", k), _text(" ", k, ".25"), F.col("c_mktsegment"), "1e5"]
+    raw = F.coalesce(*[F.when(k % 8 == i, v) for i, v in enumerate(kinds)])
+    return read(spark, d, "customer").select("c_custkey", text.typed_scalar(raw).alias("s")).select("c_custkey", "s.kind", "s.value")
+
+
+_PERIOD = "CASE " + " ".join(f"WHEN hour < {limit} THEN '{name}'" for limit, name in env.PERIODS) + f" ELSE '{env.NIGHT}' END"
+
+
+@query("clock_views", f"""WITH c AS (SELECT event_id, 1 + event_id // 48 AS absolute_day, (event_id % 48) / 2.0 AS hour FROM events)
+SELECT event_id, absolute_day, {_PERIOD} AS period, CAST(hour AS DOUBLE) AS hour, hour < 6 OR hour >= 19 AS is_night, '第' || CAST(absolute_day AS VARCHAR) || '天 ' || {_PERIOD} || ' (' || CAST(CAST(round_even(hour, 0) AS INT) AS VARCHAR) || ':00)' AS formatted FROM c""")
+def clock_views(spark, d):
+    day, hour = (F.floor(F.col("event_id") / 48) + 1).cast("long"), F.col("event_id") % 48 / 2.0
+    return read(spark, d, "events").select("event_id", render.clock_struct(day, hour).alias("c")).select("event_id", "c.*")
+
+
+@query("place_states", f"""SELECT n_name AS region, CASE WHEN n_nationkey % 2 = 0 THEN 'cut' ELSE '{env.NORMAL}' END AS power, CASE WHEN n_nationkey % 2 = 0 THEN 'slow' ELSE '{env.NORMAL}' END AS communication, n_nationkey % 2 <> 0 AS accessible,
+CASE WHEN n_nationkey % 2 = 0 THEN 'low' ELSE '{env.PLENTY}' END AS supply_status, CAST(CASE WHEN n_nationkey % 2 = 0 THEN least(10, n_nationkey) ELSE 0 END AS INT) AS panic_level,
+CAST(CASE WHEN n_nationkey % 2 <> 0 THEN 0 WHEN n_nationkey % 4 = 0 THEN greatest(3, n_regionkey) ELSE n_regionkey END AS INT) AS mutation_level FROM nation""")
+def place_states(spark, d):
+    """Places that nothing is known about are fresh; one whose infrastructure is down counts as level 3 at least."""
+    k = F.col("n_nationkey")
+    nations = read(spark, d, "nation")
+    level = env.level_from_status(F.when(k % 4 == 0, "down").otherwise("normal"), F.col("n_regionkey").cast("int"))
+    known = nations.where(k % 2 == 0).select(
+        F.col("n_name").alias("region"), F.lit("cut").alias("power"), F.lit("slow").alias("communication"), F.lit(False).alias("accessible"), F.lit("low").alias("supply_status"),
+        F.least(F.lit(10), k).cast("int").alias("panic_level"), level.cast("int").alias("mutation_level"),
+    )
+    return render.places(known, nations.select(F.col("n_name").alias("region")))
+
+
+_PARTS = ", ".join(f"'{title}：' || string_agg(n_name, '；' ORDER BY n_name) FILTER (WHERE n_nationkey % 4 = {part})" for part, title in enumerate(("已知", "错误信念", "未知")))
+
+
+@query("gap_texts", f"""SELECT name, '### ' || name || chr(10) || body AS block FROM (SELECT r_name AS name, concat_ws(chr(10), {_PARTS}) AS body FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1) WHERE body <> ''""")
+def gap_texts(spark, d):
+    """What each character knows, takes wrongly and lacks, as a block; empty parts, and empty blocks, are left out."""
+    held = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    parts = [F.array_sort(F.collect_list(F.when(F.col("n_nationkey") % 4 == i, F.col("n_name")))).alias(c) for i, c in enumerate(("known", "wrong", "gaps"))]
+    return cognition.info_gaps_text(held.groupBy(F.col("r_name").alias("name")).agg(*parts))

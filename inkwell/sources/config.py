@@ -151,6 +151,7 @@ LEXICON_SCHEMA = "category string, word string, severity string, allowed int"
 
 def lexicon(spark: SparkSession, path: str) -> DataFrame:
     """category, word, severity, allowed of a lexicon file; an entry's severity beats its category's."""
-    words = ((json.loads(read_text(spark, path) or "{}").get("anti_ai") or {}).get("words")) or json.loads(read_text(spark, path) or "{}").get("words") or {}
+    held = json.loads(read_text(spark, path) or "{}")
+    words = (held.get("anti_ai") or {}).get("words") or held.get("words") or {}
     rows = [(name, e["word"], e.get("severity") or part.get("severity"), e.get("allowedCount")) for name, part in words.items() for e in part.get("entries", []) if e.get("word")]
     return spark.createDataFrame(rows, LEXICON_SCHEMA)
