@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from inkwell.llm.ann import op6_ann
 from inkwell.llm.chat import op7_chat
+from inkwell.llm.collocations import COLLOCATIONS_SQL, op11_collocations
 from inkwell.llm.htmltext import op10_htmltext
 from inkwell.llm.langid import op1_langid
 from inkwell.llm.mixing import op8_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_pieces": op9_pieces,
     "op10_htmltext": op10_htmltext,
+    "op11_collocations": op11_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_collocations": COLLOCATIONS_SQL}
