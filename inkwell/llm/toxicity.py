@@ -42,6 +42,8 @@ from inkwell.llm.langid import held_out
 SAMPLE_TEXTS = 8000
 #: An entry's least weight, texts of label 1 and different places in them; the most entries and exceptions.
 MIN_WEIGHT, MIN_DOCS, MIN_PLACES, MOST_ENTRIES = 1.6, 3, 4, 20_000
+#: A whole word of so little weight may still be an entry, once its exceptions are left out.
+MAYBE_WEIGHT = 0.3
 #: Standard errors below the log odds where the weight lies.
 CAUTION = 1.64
 SHORTEST, LONGEST = 3, 12
@@ -212,7 +214,8 @@ def counts_of(texts_of: DataFrame) -> DataFrame:
 
 def candidates(counts: DataFrame, sizes: Sizes) -> dict[str, float]:
     """Entries that are told by their words alone, with their weights; the most telling ``MOST_ENTRIES``."""
-    weighed = counts.withColumn("weight", lower_odds(F.col("toxic"), F.col("clean"), sizes)).where((F.col("toxic") >= MIN_PLACES) & (F.col("weight") >= MIN_WEIGHT) & (F.col("entry") != ""))
+    weighed = counts.withColumn("weight", lower_odds(F.col("toxic"), F.col("clean"), sizes)).where((F.col("toxic") >= MIN_PLACES) & (F.col("entry") != ""))
+    weighed = weighed.where((F.col("weight") >= MIN_WEIGHT) | F.col("entry").endswith(" ") & (F.col("weight") >= MAYBE_WEIGHT))
     return {r.entry: r.weight for r in weighed.orderBy(F.desc(F.col("weight") * F.col("toxic")), "entry").limit(MOST_ENTRIES).select("entry", "weight").collect()}
 
 
@@ -229,7 +232,7 @@ def seen(texts_of: DataFrame, lexicon: Lexicon) -> DataFrame:
                 words = words_of(text)
                 starts = dict(zip(itertools.accumulate((len(w) + 1 for w in words), initial=0), range(len(words))))
                 key = hash(text)
-                for start, entry, _ in own.hits(words):
+                for start, entry, _ in own.hits(words):  # one for each entry: here they may lie in each other
                     k = starts[start]
                     rows.add((entry, toxic, key, words[k - 1] if k else "", words[k], words[k + 1] if k + 1 < len(words) else ""))
             found = list(rows)
@@ -304,10 +307,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_TEXTS) -> Lexic
     sizes = Sizes(all_words.toxic, all_words.clean) if all_words else Sizes(0, 0)
     lexicon = Lexicon({})
     if all(sizes):
-        first = Lexicon(apart(weighed(texts_of, Lexicon(candidates(counts, sizes)), sizes)))
+        first = Lexicon(candidates(counts, sizes))
         free = exceptions(texts_of, first)
-        final = Lexicon({e: w for e, w, _ in weighed(texts_of, Lexicon(first.entries, free), sizes)}, free)
-        lexicon = Lexicon(final.entries, free, curve(texts_of, final, share_toxic))
+        final = Lexicon(apart(weighed(texts_of, Lexicon(first.entries, free), sizes)))
+        final = Lexicon(final.entries, [f for f in free if any(map(final.knows, f.split(" ")))])
+        lexicon = Lexicon(final.entries, final.exceptions, curve(texts_of, final, share_toxic))
     let_go(counts)
     let_go(texts_of)
     return lexicon

@@ -30,6 +30,10 @@ def folder(request, spark, tmp_path_factory):
     spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("text", F.lit("x")).write.parquet(f"{path}/pages.parquet")
     talks = [] if empty else [(1, 0, "user", "hello?"), (1, 1, "assistant", None), (1, 1, "assistant", None), (2, None, None, "x"), (None, 0, "user", ""), (3, 0, "odd", "y\nz"), (4, 0, "user", LONG)]
     spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").withColumn("raw", F.lit("x")).write.parquet(f"{path}/conversations.parquet")
+    items = [] if empty else [(1, "The CAT, the dog"), (1, "The CAT, the dog"), (2, None), (3, "?!"), (None, "chat")]
+    spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("x")).withColumn("score", F.lit(1)).write.parquet(f"{path}/benchmark.parquet")
+    marks = [] if empty else [(1, 1, 0), (1, 1, 1), (2, None, 1), (4, 0, 0), (None, 0, 1), (7, 1, None), (99, 1, 1)]
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("text", F.lit("x")).withColumn("score", F.lit(1)).write.parquet(f"{path}/labels.parquet")
     return str(path), empty
 
 
@@ -37,7 +41,7 @@ def folder(request, spark, tmp_path_factory):
 def test_query_survives(spark, folder, name):
     path, empty = folder
     rows = QUERIES[name](spark, path).collect()
-    expected = 0 if empty else {"op6_ann": None, "op7_chat": 7, "op10_htmltext": 5}.get(name, len(documents()))
+    expected = 0 if empty else {"op6_ann": None, "op7_chat": 7, "op10_htmltext": 5, "op11_collocations": 6, "op12_lexical": None}.get(name, len(documents()))
     assert expected is None or len(rows) == expected
     by_id = {r.doc_id: r for r in rows} if rows and "doc_id" in rows[0] else {}
     if name == "op1_langid" and not empty:
@@ -54,6 +58,12 @@ def test_query_survives(spark, folder, name):
         assert all(r.taken <= 3 * r["size"] for r in rows) and by_id[2].taken == 0 and by_id[8].source_size == by_id[10].source_size == 4
     if name == "op9_pieces" and not empty:
         assert by_id[2].ids is None and by_id[3].ids == [] and all(r.round_trip for r in rows)
+    if name == "op11_collocations" and not empty:  # the long text's cycle of four words, and one phrase of another text
+        assert [(r.phrase, r.a, r.n, r.score) for r in rows if r["rank"] in (1, 6)] == [("of it", 60_001, 300_015, 5000), ("word and of it the", 59_999, 300_015, 4999)]
+    if name == "op12_lexical" and not empty:
+        assert {r.item_id for r in rows} == {1, None} and [r.doc_id for r in sorted(rows, key=lambda r: r["rank"]) if r.item_id is None] == [4, 5, 5]
+    if name == "op13_toxicity" and not empty:
+        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows) and by_id[None].held_out is False
     if name == "op10_htmltext" and not empty:
         assert sorted(r.text for r in rows)[0] == "" and any(r.text == "One two three, four." for r in rows)
 
