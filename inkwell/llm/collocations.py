@@ -41,6 +41,7 @@ RANGES = 1024
 #: Bytes of text of one language that are handled at once; words whose hashes a worker remembers.
 SLICE_BYTES, REMEMBERED = 4 << 20, 1 << 20
 GROUP_CHARS = 4 << 20
+BUCKETS, KEYS_A_ROW = 256, 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -219,7 +220,10 @@ def phrase_bounds(docs: DataFrame, shared_words, min_count: int, cells: int, lon
 
 
 def candidate_phrases(docs: DataFrame, shared_words, shared_phrases, longest: int) -> DataFrame:
-    """``phrase``: each once, in whatever language: those that both sketches let pass, as do the phrases inside them."""
+    """``phrase``: in whatever language; those that both sketches let pass, as do the phrases inside them.
+
+    A slice's phrases travel in one row for each bucket of their hash; a bucket's task leaves each once.
+    """
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +231,7 @@ def candidate_phrases(docs: DataFrame, shared_words, shared_phrases, longest: in
         for lang, text in reader.slices(batches):
             words, hashes = reader.words(lang, text)
             known = has(shared_words.value, hashes) & (hashes != 1)
-            passing, out = None, []
+            passing, out = None, {}
             for n, found, whole in phrases(hashes, known, longest):
                 passes = whole.copy() if passing is None else passing[:-1] & passing[1:]
                 places = np.flatnonzero(passes)
@@ -238,22 +242,36 @@ def candidate_phrases(docs: DataFrame, shared_words, shared_phrases, longest: in
                 for h, i in zip(distinct.tolist(), places[first].tolist()):
                     if h not in told:
                         told.add(h)
-                        out.append(b" ".join(words[i : i + n]))
+                        phrase = b" ".join(words[i : i + n])
+                        out.setdefault(xxhash.xxh32_intdigest(phrase) % BUCKETS, []).append(phrase)
                 if not len(places):
                     break
             if len(told) > 4 * REMEMBERED:
                 told = set()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()).cast(pa.string())], names=["phrase"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([BREAK.join(found) for found in out.values()], pa.binary())], names=["bucket", "phrases"])
+
+    @tidy
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, told = None, set()
+        for batch in batches:
+            for bucket, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != at and told:
+                    yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in told], pa.string())], names=["phrase"])
+                    told = set()
+                at = bucket
+                told.update(found.split(BREAK))
+        yield pa.RecordBatch.from_arrays([pa.array([t.decode() for t in told], pa.string())], names=["phrase"])
 
-    return docs.mapInArrow(run, "phrase string").distinct()
+    dealt = docs.mapInArrow(run, "bucket int, phrases binary").repartition(F.col("bucket")).sortWithinPartitions("bucket")
+    return dealt.mapInArrow(once, "phrase string")
 
 
 def automaton(keys: Iterable[str]) -> ahocorasick.Automaton:
-    """Of phrases with a space at both ends; the value of a key is the phrase."""
+    """Of phrases with a space at both ends; the value of a key is its place."""
     found = ahocorasick.Automaton()
-    for key in keys:
-        found.add_word(f" {key} ", key)
+    for k, key in enumerate(keys):
+        found.add_word(f" {key} ", k)
     if len(found):
         found.make_automaton()
     return found
@@ -270,13 +288,24 @@ def shared_automaton(keys: list[str]) -> ahocorasick.Automaton:
     return _built[1]
 
 
-def matches(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``lang, phrase, f``: overlapping occurrences of ``keys`` in each language of ``docs(lang, text)``."""
+def matches(docs: DataFrame, keys: list[str], min_count: int) -> DataFrame:
+    """``lang, phrase, f``: overlapping occurrences of ``keys`` in each language of ``docs(lang, text)``, from ``min_count`` on.
+
+    A task's counts travel in one row for each language and ``KEYS_A_ROW`` keys, and are summed by those.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(keys)
+    kinds = {"lang": pa.string(), "part": pa.int32(), "at": pa.binary(), "n": pa.binary()}
 
     def batch(counts: dict[str, Counter]) -> pa.RecordBatch:
-        rows = [(lang, phrase, n) for lang, found in counts.items() for phrase, n in found.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "phrase", "f"])
+        rows = []
+        for lang, found in counts.items():
+            at, n = np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found))
+            order = np.argsort(at)
+            at, n = at[order], n[order]
+            part, starts = np.unique(at // KEYS_A_ROW, return_index=True)
+            for k, a, b in zip(part.tolist(), starts.tolist(), [*starts[1:].tolist(), len(at)]):
+                rows.append((lang, k, (at[a:b] - k * KEYS_A_ROW).astype(np.uint16).tobytes(), n[a:b].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], names=list(kinds))
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +318,27 @@ def matches(docs: DataFrame, keys: list[str]) -> DataFrame:
                 counts = {}
         yield batch(counts)
 
-    return docs.mapInArrow(run, "lang string, phrase string, f long")
+    @tidy
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = None, np.zeros(KEYS_A_ROW, np.int64)
+
+        def told() -> pa.RecordBatch:
+            places = np.flatnonzero(sums >= min_count)
+            names = [shared.value[at[1] * KEYS_A_ROW + k] for k in places.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([at[0]] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(sums[places], pa.int64())], names=["lang", "phrase", "f"])
+
+        for batch in batches:
+            for lang, part, where, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if (lang, part) != at:
+                    if at is not None:
+                        yield told()
+                    at, sums = (lang, part), np.zeros(KEYS_A_ROW, np.int64)
+                sums[np.frombuffer(where, np.uint16)] += np.frombuffer(counts, np.int64)
+        if at is not None:
+            yield told()
+
+    dealt = docs.mapInArrow(run, "lang string, part int, at binary, n binary").repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return dealt.mapInArrow(summed, "lang string, phrase string, f long")
 
 
 def counted(docs: DataFrame, candidates: DataFrame, min_count: int, group_chars: int = GROUP_CHARS) -> DataFrame:
@@ -298,17 +347,12 @@ def counted(docs: DataFrame, candidates: DataFrame, min_count: int, group_chars:
     keys = cut(candidates.unionByName(words).distinct())
     size = keys.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
     groups = max(1, -(-size // group_chars))
-    found = []
+    every = docs.sparkSession.createDataFrame([], "lang string, phrase string, f long")
     for k in range(groups):
         own = keys.where(F.pmod(F.xxhash64("phrase"), F.lit(groups)) == k)
         if chosen := [r.phrase for r in own.collect()]:
-            found.append(matches(docs, sorted(chosen)))
-    if not found:
-        return docs.sparkSession.createDataFrame([], "lang string, phrase string, f long")
-    every = found[0]
-    for one in found[1:]:
-        every = every.unionByName(one)
-    kept = cut(every.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count))
+            every = every.unionByName(matches(docs, sorted(chosen), min_count))
+    kept = cut(every)
     let_go(keys)
     return kept
 
