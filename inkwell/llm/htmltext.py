@@ -14,7 +14,9 @@ as labels, and drawn towards ``PRIOR``, which is all there is where a sample has
 
 Defined results: null or empty html, or a page without content blocks, gives an empty text. Character
 references are decoded; white space inside a block becomes one space; blocks are joined by one newline in
-page order. Tags that are never closed end with their parent. Repeated rows give repeated results.
+page order. Tags that are never closed end with their parent; of elements that hold no text of the page (buttons,
+pictures, selections) one without an end goes to the next block. ``/>`` closes nothing but void and SVG elements, and a
+script that no other tag closes. Formulas are text. Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -49,9 +51,12 @@ SCALE = 100
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=\s|/|$)""", re.I)
 _NAMES = re.compile(r"[a-z]+")
-#: Elements whose contents aren't text of the page.
-RAW = frozenset("script style template noscript iframe object svg math canvas textarea select button title head audio video".split())
+#: Elements whose contents are no markup, and those whose contents are but aren't text of the page; of these some may lie in their like.
+RAW = frozenset("script style iframe textarea title noframes noembed xmp".split())
+MUTE = frozenset("button select svg video audio object canvas template noscript datalist annotation annotation-xml".split())
+NESTING = frozenset("svg object template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_MUTED = re.compile(rf"<(/?)({'|'.join(sorted(MUTE, key=len, reverse=True))})(?=[\s/>])", re.I)
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -102,6 +107,31 @@ class Block:
     text: str = ""
 
 
+def _said(name: str) -> set[str]:
+    """The words of a class or id that tell what is held. A name that begins with content and doesn't end with boilerplate
+    (``article-footer-note``) is about a part of the content: boilerplate within it says nothing, nor does the content then."""
+    words = _NAMES.findall(name)
+    if len(words) > 1 and words[0] in CONTENT_NAMES and words[-1] not in BOILER_NAMES and BOILER_NAMES.intersection(words):
+        return set(words) - BOILER_NAMES - CONTENT_NAMES
+    return set(words)
+
+
+def _closed(page: str) -> set[int]:
+    """Where the ``MUTE`` elements begin that have an end of their own."""
+    found: set[int] = set()
+    waiting: dict[str, list[int]] = {}
+    for m in _MUTED.finditer(page):
+        tag = m[2].lower()
+        begun = waiting.setdefault(tag, [])
+        if not m[1]:
+            if tag not in NESTING:
+                begun.clear()
+            begun.append(m.start())
+        elif begun:
+            found.add(begun.pop())
+    return found
+
+
 def _evidence(tag: str, attributes: str, inside_article: bool) -> float:
     """What an element says about what it holds: above 0 content, below 0 boilerplate, 0 nothing."""
     if tag in BOILER_TAGS and not (inside_article and tag == "header"):
@@ -112,7 +142,8 @@ def _evidence(tag: str, attributes: str, inside_article: bool) -> float:
             if name.lower() in ("hidden", "aria-hidden"):
                 names |= {"hidden"} if (a or b or c).lower() != "false" else set()
             else:
-                names |= set(_NAMES.findall((a or b or c).lower()))
+                for one in (a or b or c).lower().split():
+                    names |= _said(one)
     if tag not in ("body", "html") and names & BOILER_NAMES and not (inside_article and names & {"header"} and not names & (BOILER_NAMES - {"header"})):
         return BOILER_NAMED
     if tag in CONTENT_TAGS or (tag not in ("body", "html") and names & CONTENT_NAMES):
@@ -123,8 +154,9 @@ def _evidence(tag: str, attributes: str, inside_article: bool) -> float:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks that have text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, Element, float, bool]] = [("", Element(), 0.0, False)]  # tag, element, nearest evidence, inside an article
-    links, at = 0, 0
+    stack: list[tuple[str, Element, float, bool, int]] = [("", Element(), 0.0, False, 0)]  # tag, element, nearest evidence, inside an article, mute
+    links, mute, at = 0, 0, 0
+    closed: set[int] | None = None
     now: Block | None = None
 
     def end() -> None:
@@ -137,6 +169,8 @@ def blocks_of(page: str) -> list[Block]:
 
     def say(text: str) -> None:
         nonlocal now
+        if mute:
+            return
         if now is None:
             if not text.strip():
                 return
@@ -146,6 +180,26 @@ def blocks_of(page: str) -> list[Block]:
         if links:
             now.linked += len(text)
 
+    def leave(k: int) -> None:
+        """Close all that is open from ``k`` on."""
+        nonlocal links, mute
+        for gone in stack[k:]:
+            links -= gone[0] == "a"
+            mute -= gone[4] > 0
+        del stack[k:]
+
+    def after_raw(tag: str, attributes: str) -> int:
+        """Where the page goes on after an element whose contents are no markup."""
+        close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+        if attributes.rstrip().endswith("/") and (close is None or re.compile(rf"<{tag}[\s/>]", re.I).search(page, at, close.start())):
+            return at  # written as if it could close itself, and nothing else closes it
+        if close:
+            return close.end()
+        for s in reversed(stack[1:]):  # never closed: it ends with its parent
+            if over := re.compile(rf"</{re.escape(s[0])}[\s>]", re.I).search(page, at):
+                return over.start()
+        return size
+
     size = len(page)
     while at < size:
         found = _TOKEN.search(page, at)
@@ -158,31 +212,36 @@ def blocks_of(page: str) -> list[Block]:
         tag = (found[2] or "").lower()
         if not tag:
             continue
+        if mute and tag in BLOCK and tag not in ("option", "optgroup"):  # a mute element without an end ends here
+            k = next((k for k, s in enumerate(stack) if s[4]), 0)
+            if stack[k][4] == 2:
+                leave(k)
         if found[1]:
             if tag in BLOCK:
                 end()
             if any(s[0] == tag for s in stack):
-                while True:
-                    gone = stack.pop()[0]
-                    links -= gone == "a"
-                    if gone == tag:
-                        break
+                leave(max(k for k, s in enumerate(stack) if s[0] == tag))
             elif tag == "br":
                 say(" ")
             continue
         if tag == "body" and any(s[0] == "head" for s in stack):
-            del stack[1:]
-        if tag in RAW and tag != "head":
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if not found[3].rstrip().endswith("/"):
-                at = close.end() if close else size
+            leave(1)
+        if tag in RAW:
+            at = after_raw(tag, found[3])
             continue
         if tag == "head":
             close = re.compile(r"</head\s*>|<body[\s>]", re.I).search(page, at)
             if close:
                 at = close.start() if close[0].lower().startswith("<body") else close.end()
             continue
-        if tag in BLOCK:
+        if tag in MUTE:
+            if tag == "svg" and found[3].rstrip().endswith("/"):
+                continue
+            closed = _closed(page) if closed is None else closed
+            stack.append((tag, Element(stack[-1][1]), stack[-1][2], stack[-1][3], 1 if found.start() in closed else 2))
+            mute += 1
+            continue
+        if tag in BLOCK and not mute:
             end()
         elif tag == "br":
             say(" ")
@@ -190,13 +249,12 @@ def blocks_of(page: str) -> list[Block]:
             continue
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in CLOSES.get(tag, ()):
-                links -= sum(s[0] == "a" for s in stack[k:])
-                del stack[k:]
-            elif stack[k][0] in HOLDS:
+                leave(k)
+            elif stack[k][0] in HOLDS or stack[k][4]:
                 break
-        _, parent, before, article = stack[-1]
+        _, parent, before, article, _ = stack[-1]
         own = _evidence(tag, found[3], article)
-        stack.append((tag, Element(parent), own if own and not (before < 0 < own) else before, article or tag == "article"))
+        stack.append((tag, Element(parent), own if own and not (before < 0 < own) else before, article or tag == "article", 0))
         links += tag == "a"
     end()
     return out
