@@ -7,7 +7,8 @@ the text itself also goes by its bytes, so decoding gives back every text exactl
 
 No piece of a vocabulary of this kind has a marker after another character, so the segmentation of a
 text is that of its chunks (markers and what follows up to the next marker). Distinct chunks of a batch
-are segmented together, one byte position of all of them at a time, and kept for later batches. A
+are segmented together, one byte position of all of them at a time, and kept for later batches. A long chunk (a text
+without spaces) is walked by itself in time that is linear in its bytes, and takes six bytes of memory for each. A
 vocabulary that breaks the rule is segmented by whole texts.
 
 The tokenizer isn't trained here. A vocabulary file of the BPE kind carries merge ranks, not log scores;
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +36,10 @@ from inkwell.llm.common import table, texts, tidy
 
 MARKER = "▁"
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
-#: Chunks that a task remembers, in each of two generations.
-REMEMBERED = 150_000
+#: Chunks that a task remembers, in each of two generations, and their bytes with their ids.
+REMEMBERED, REMEMBERED_BYTES = 150_000, 24 << 20
+#: Chunks of more bytes (texts without spaces) are segmented by themselves, byte by byte.
+LONG = 256
 #: What an unknown character costs beyond the least score.
 UNKNOWN_PENALTY = 10.0
 #: Cells (chunks times bytes) of one Viterbi table.
@@ -142,11 +146,16 @@ class Encoder:
         alone = not any("\n" in p for p in ordinary)
         self.chunk = re.compile(f".+" if whole else f"\n|{MARKER}*[^{MARKER}\n]+|{MARKER}+" if alone else f"{MARKER}*[^{MARKER}]+|{MARKER}+", re.S)
         self.out = pa.array([bytes([int(p[1:-1], 16)]) if k == 1 else b"" if k == 2 else p.replace(MARKER, " ").encode() for p, k in zip(vocabulary.pieces, vocabulary.kinds)], pa.binary())
+        self.forget()
+
+    def forget(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_bytes = 0
+        self.lists: tuple[list, ...] | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "young": {}, "old": {}}
+        return {**self.__dict__, "young": {}, "old": {}, "young_bytes": 0, "lists": None}
 
     def viterbi(self, chunks: list[bytes]) -> tuple[list[bytes], np.ndarray]:
         """Ids (int32 bytes) and score of each non-empty chunk."""
@@ -223,9 +232,67 @@ class Encoder:
             out.append(mine.tobytes())
         return out, best[np.arange(n), lengths]
 
+    def walk(self, chunk: bytes) -> bytes:
+        """Ids (int32 bytes) of a chunk of any length: what ``viterbi`` gives, one byte after the other.
+
+        Scores are kept for as many places as the longest piece has bytes; of the others what ends there and how long it is.
+        """
+        if self.lists is None:
+            self.lists = tuple(a.tolist() for a in (self.trie.base, self.trie.check, self.trie.value, self.score))
+        base, check, value, score = self.lists
+        size, longest, nothing = len(chunk), max(self.longest, 4), -math.inf
+        came, piece = array("H", bytes(2 * (size + 1))), array("i", [-1]) * (size + 1)
+        ring = longest + 1
+        best = [nothing] * ring
+        best[0] = 0.0
+        for p in range(size):
+            here = best[p % ring]
+            best[p % ring] = nothing  # the place of p + ring from now on
+            if here == nothing:
+                continue
+            first = chunk[p]
+            char = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            state, alone, end = 0, True, p
+            for byte in chunk[p : p + longest]:
+                step = base[state] + byte + 1
+                if check[step] != state:
+                    break
+                state = step
+                end += 1
+                number = value[state]
+                if number >= 0:
+                    if end - p == char:
+                        alone = False
+                    found = here + score[number]
+                    if found > best[end % ring]:
+                        best[end % ring] = found
+                        came[end] = end - p
+                        piece[end] = number
+            if alone:
+                end = min(p + char, size)
+                found = here + self.unknown
+                if found > best[end % ring]:
+                    best[end % ring] = found
+                    came[end] = end - p
+                    piece[end] = -1
+        out, at = array("i"), size
+        while at > 0:
+            start = at - came[at]
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out.extend(self.byte_id[list(chunk[start:at])][::-1].tolist())
+            at = start
+        out.reverse()
+        return out.tobytes()
+
     def _learn(self, chunks: list[str]) -> None:
         """Segment chunks that aren't remembered, those of like length together."""
         held = sorted(((c.encode(), c) for c in chunks), key=lambda x: len(x[0]))
+        self.young_bytes += sum(6 * len(b) for b, _ in held)
+        while held and len(held[-1][0]) > LONG:
+            long, c = held.pop()
+            self.young[c] = self.walk(long)
         start = 0
         while start < len(held):
             end, most = start + 1, CELLS // (len(held[start][0]) + 1)
@@ -252,8 +319,9 @@ class Encoder:
                 split.append(parts)
             else:
                 split.append([self._chunks(text)])
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
+        if len(self.young) > REMEMBERED or self.young_bytes > REMEMBERED_BYTES:
+            self.old, self.young = self.young if self.young_bytes <= 2 * REMEMBERED_BYTES else {}, {}
+            self.young_bytes = 0
         seen = {c for one in split if one for part in one if part for c in part}
         missing = []
         for c in seen:
@@ -301,7 +369,8 @@ def encode_documents(docs: DataFrame, carry: list[str], encoder: Encoder) -> Dat
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Encoder.__new__(Encoder)
-        model.__dict__.update(shared.value.__dict__, young={}, old={})
+        model.__dict__.update(shared.value.__dict__)
+        model.forget()
         for batch in slices(batches, shown, 1 << 20):
             held = texts(batch, shown)
             ids = model.encode(held)
