@@ -358,13 +358,13 @@ def _near_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 SLICE = 1000
 
 
-def _dealt(parts: DataFrame) -> DataFrame:
-    """part, fp of ``parts(group, fp)``: a group of up to ``SLICE`` sets is one part.
+def _dealt(parts: DataFrame, size: int = SLICE) -> DataFrame:
+    """part, fp of ``parts(group, fp)``: a group of up to ``size`` sets is one part.
 
     A larger one is cut into slices by hash, and every two slices meet in a part of their own: each pair of sets
     lies in some part, and no part has more than about two slices.
     """
-    slices = parts.groupBy("group").agg(F.ceil(F.count("*") / SLICE).alias("m"))
+    slices = parts.groupBy("group").agg(F.ceil(F.count("*") / size).alias("m"))
     own = F.pmod(F.xxhash64("fp"), F.col("m"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))
     met = parts.join(slices, "group").select("group", "fp", "m", own.alias("own"), other.alias("other"))
@@ -373,9 +373,28 @@ def _dealt(parts: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("part"), "fp")
 
 
+def _checked(grouped: DataFrame, keyed: DataFrame, size: int = SLICE) -> DataFrame:
+    """part, fp: where sets are checked against each other, from ``grouped(group, fp)`` and the bands ``keyed(key, fp)``.
+
+    A group of up to ``size`` sets is one part. A larger one, which may hang together by chains only, is checked band key
+    by band key, so that a set is written once for each of its bands at most; or, where that is less (its sets share
+    large buckets), by slices of the whole group.
+    """
+    sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > size)
+    large = grouped.join(sizes, "group")
+    buckets = keyed.join(large, "fp").groupBy("group", "key").agg(F.count("*").alias("b")).where("b > 1")
+    cost = buckets.groupBy("group").agg(F.sum(F.col("b") * F.ceil(F.col("b") / size)).alias("by_key"))
+    chained = cut(sizes.join(cost, "group").where(F.col("by_key") < F.col("n") * F.ceil(F.col("n") / size)).select("group"))
+    whole = grouped.join(chained, "group", "left_anti")
+    by_key = keyed.join(grouped.join(chained, "group", "left_semi"), "fp").select(F.xxhash64("group", "key").alias("group"), "fp")
+    shared = by_key.groupBy("group").agg(F.count("*").alias("b")).where("b > 1").select("group")
+    return _dealt(whole.select("group", "fp").unionByName(by_key.join(shared, "group", "left_semi")), size)
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (a hash of the shingle set) and component_id of each row of ``docs(doc_id, text)``: components of all
-    pairs with a five-word Jaccard similarity of ``NEAR`` or more. Rows without doc_id link only to equal sets."""
+    """doc_id, fp (a hash of the shingle set) and component_id of each row of ``docs(doc_id, text)``: components of the
+    pairs with a five-word Jaccard similarity of ``NEAR`` or more that share a band (at exactly ``NEAR`` up to 4 pairs in
+    10,000 share none). Rows without doc_id link only to equal sets. Different texts may go by one doc_id."""
     id_type = docs.select("doc_id").schema
 
     @tidy
@@ -383,25 +402,26 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         for batch in pieces(batches, "text"):
             sets = [shingle_set(t) for t in utf8(batch, "text")]
             columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "fp", "bands"])
 
     @tidy
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(parts, n, fp, held) of rows (parts, fp, text) whose text has that fp; another text may go by the same doc_id."""
+        """(parts, n, fp, held) of rows (parts, fp, text)."""
         for batch in pieces(batches, "text"):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(shingle_set, utf8(batch, "text")))
-            fit = [(parts, len(held), fp, held.tobytes()) for parts, fp, held in rows if _set_name(held) == fp]
+            fit = [(parts, len(held), fp, held.tobytes()) for parts, fp, held in rows]
             kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in fit], kind) for k, kind in enumerate(kinds)], names=["parts", "n", "fp", "held"])
 
-    marked = cut(docs.select("doc_id", "text").mapInArrow(mark, id_type.add("fp", "long").add("bands", T.ArrayType(T.LongType()))))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.first("bands").alias("bands")))
+    given = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    marked = cut(given.mapInArrow(mark, id_type.add("text_key", "long").add("fp", "long").add("bands", T.ArrayType(T.LongType()))))
+    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.min_by("text_key", "doc_id").alias("least_key"), F.first("bands").alias("bands")))
     keyed = distinct.where(F.col("least_doc").isNotNull()).select(F.explode("bands").alias("key"), "fp")
     least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1")
     candidates = components(keyed.join(least, "key").select(F.col("fp").alias("a"), F.col("first").alias("b")))
     grouped = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct()).select(F.col("root").alias("group"), F.col("node").alias("fp"))
-    asked = distinct.select("fp", "least_doc").join(_dealt(grouped).groupBy("fp").agg(F.collect_list("part").alias("parts")), "fp")
-    texts_of = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("least_doc")).select("parts", "fp", "text")
+    asked = distinct.select("fp", "least_doc", "least_key").join(_checked(grouped, keyed, SLICE).groupBy("fp").agg(F.collect_set("part").alias("parts")), "fp")
+    texts_of = given.join(asked, (F.col("doc_id") == F.col("least_doc")) & (F.col("text_key") == F.col("least_key"))).select("parts", "fp", "text")
     held = texts_of.mapInArrow(sets_of, "parts array<long>, n long, fp long, held binary").withColumn("part", F.explode("parts"))
     dealt = held.select("part", "n", "fp", "held").repartition("part").sortWithinPartitions("part", "n", "fp")
     tree = components(dealt.mapInArrow(_near_trees, "a long, b long"))

@@ -363,6 +363,49 @@ def test_stage_removes_near_copies(spark, monkeypatch, slice_):
     assert len(near) > 150 and kept == {i for i in texts if root(i) == i}
 
 
+def test_different_texts_under_one_doc_id(spark):
+    """400 near copies under one id and as many under their own: their components are found, each text is read once."""
+    r = random.Random(4)
+    words = [f"w{r.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for k in range(400):
+        changed = list(words)
+        changed[r.randrange(120)] = f"x{k}"
+        texts.append(" ".join(changed))
+    docs = spark.createDataFrame([(7, t) for t in texts] + [(1000 + k, t + " and one more") for k, t in enumerate(texts)] + [(8, "something else entirely, with more than five words")], "doc_id long, text string")
+    found = simhash.similar_documents(docs).collect()
+    assert len(found) == 801 and {(r.component_id) for r in found} == {7, 8}
+
+
+def test_chains_are_checked_by_bands(spark, monkeypatch):
+    """A chain of texts, each near the next alone: components as they are, and each text in as many parts as it has bands at most."""
+    monkeypatch.setattr(simhash, "SLICE", 20)
+    parts_of = []
+    checked = simhash._checked
+    monkeypatch.setattr(simhash, "_checked", lambda *given: parts_of.append(out := checked(*given)) or out)
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(1400)]
+    texts = {k: " ".join(words[3 * k : 3 * k + 90]) for k in range(420)}
+    texts |= {1000 + k: " ".join(f"y{r.randrange(10**6)}" for _ in range(50)) for k in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {row.doc_id: row.component_id for row in simhash.similar_documents(docs).collect()}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    parent = {i: i for i in texts}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(range(420), 2):
+        if b - a < 4 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            x, y = root(a), root(b)
+            parent[max(x, y)] = min(x, y)
+    assert found == {i: root(i) for i in texts} and max(found.values()) >= 1000 and len(set(found.values())) < 60
+    most = parts_of[0].groupBy("fp").count().agg({"count": "max"}).first()[0]
+    assert most <= simhash.BANDS
+
+
 # --- nearest neighbours ----------------------------------------------------------------------------------
 
 
@@ -672,3 +715,52 @@ def test_cut_is_minimal(n, r):
 def test_length_of_results_is_checked_by_spark(spark):
     df = spark.createDataFrame([(1, "<p>a</p>")], "page_id long, html string")
     assert htmltext.extract_pages(df, ["page_id"], htmltext.PRIOR).select(F.length("text")).first() is not None
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        ("<article><p>First sentence, here. <button>Share<p>x</p><p>Second sentence, too.</p></article>", ["First sentence, here.", "x", "Second sentence, too."]),
+        ("<p>A <button><span>Share</span></button> b.</p><p>c</p>", ["A b.", "c"]),
+        ("<div><button>One<div>a</div><button>Two</button>b</div>", ["a", "b"]),
+        ('<script src="x.js"/>var q=1;</script><p>t</p>', ["t"]),
+        ("<p>a</p><script src=/a/b/>var q=1;</script><p>t</p>", ["a", "t"]),
+        ('<p>a</p><script src="x.js"/><p>t</p><script>var z</script><p>u</p>', ["a", "t", "u"]),
+        ("<div><script>var q=1;</div><p>t</p>", ["t"]),
+        ("<p>Energy is <math><mi>E</mi>=mc2</math> in all.</p>", ["Energy is E=mc2 in all."]),
+        ("<p>x <select><option>A<option>B</p><p>y</p>", ["x", "y"]),
+        ("<p>x <select><option>A<option>B</select> z</p><p>y</p>", ["x z", "y"]),
+        ("<p>a <svg><title>T</title><svg><text>no</text></svg><path/></svg> b</p>", ["a b"]),
+        ("<p>a <svg viewBox=0 /> b</p>", ["a b"]),
+        ("<p>a <svg><path d=1> no</p><p>c</p>", ["a", "c"]),
+        ("<video src=x><p>after</p>", ["after"]),
+        ("<p>a<textarea>no <b></p><p>after</p>", ["a", "after"]),
+        ("<template><p>no</p></template><noscript><p>no</p></noscript><object><p>no</p></object><p>z</p>", ["z"]),
+        ("<p>a<svg><svg><svg>" * 3000 + "<p>z</p>", ["a"] * 3000 + ["z"]),
+    ],
+)
+def test_elements_without_text_lose_no_text_around_them(page, expected):
+    assert [b.text for b in htmltext.blocks_of(page)] == expected
+
+
+def test_a_name_about_a_part_of_the_content_is_no_boilerplate():
+    page = "<article><p>One, two, three and four.</p><div class='article-footer-note'><p>A note on that, at length.</p></div><div class='entry-footer'><p>Filed under x</p></div></article>"
+    assert htmltext.extract(page, htmltext.PRIOR) == "One, two, three and four.\nA note on that, at length."
+
+
+@pytest.mark.parametrize("alphabet", ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=", "的一是不了人我在有他这为之大来以个中上们", "x", "aé日🙂\x00"])
+def test_long_texts_without_spaces_have_the_best_segmentation(encoder, alphabet):
+    chance = random.Random(8)
+    text = "".join(chance.choices(alphabet, k=1200))
+    chunk = (pieces.MARKER + text).encode()
+    assert encoder.walk(chunk) == encoder.viterbi([chunk])[0][0]
+    long = "".join(chance.choices(alphabet, k=60_000))
+    ids = encoder.encode([long, "a b"])
+    assert encoder.decode(ids) == [long, "a b"]
+
+
+def test_what_is_remembered_is_bounded_in_bytes(encoder, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED_BYTES", 2000)
+    for k in range(40):
+        encoder.encode([f"{k}x" * 90])
+        assert sum(len(c.encode()) for held in (encoder.young, encoder.old) for c in held) <= 8000
