@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.operators.numbering import numbered
+
 
 def timeline_entries(events: DataFrame, source: str) -> DataFrame:
     """day, time, event, source, seq in order of (day, time, seq)."""
@@ -17,12 +19,10 @@ def timeline_entries(events: DataFrame, source: str) -> DataFrame:
 def numbered_hooks(hooks: DataFrame, existing: DataFrame, order: str = "seq") -> DataFrame:
     """New ledger entries: hooks whose id isn't there yet; one without an id gets ``hook_%03d``.
 
-    The number counts every given hook, skipped ones too, after the existing ones. Hooks of one arc are few,
-    so their order is one window.
+    The number counts every given hook, skipped ones too, after the existing ones, however many a ledger has.
     """
     before = existing.count()
-    number = F.row_number().over(Window.orderBy(order)) + before
-    named = hooks.withColumn("_id", F.nullif("id", F.lit(""))).withColumn("_n", number)
+    named = numbered(hooks, [order], "_n").withColumn("_id", F.nullif("id", F.lit(""))).withColumn("_n", F.col("_n") + before)
     fresh = named.join(existing.select(F.col("id").alias("_id")).where("_id is not null"), "_id", "left_anti")
     made = F.coalesce("_id", F.format_string("hook_%03d", F.col("_n")))
     touched = F.concat(F.lit("ch"), F.coalesce("created_at_chapter", F.lit(1)).cast("string"))

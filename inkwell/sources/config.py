@@ -155,3 +155,18 @@ def lexicon(spark: SparkSession, path: str) -> DataFrame:
     words = (held.get("anti_ai") or {}).get("words") or held.get("words") or {}
     rows = [(name, e["word"], e.get("severity") or part.get("severity"), e.get("allowedCount")) for name, part in words.items() for e in part.get("entries", []) if e.get("word")]
     return spark.createDataFrame(rows, LEXICON_SCHEMA)
+
+
+_ENTRIES = "map<string,struct<severity:string,entries:array<struct<word:string,severity:string,allowedCount:int>>>>"
+
+
+def lexicon_rows(files: DataFrame, value: str = "value") -> DataFrame:
+    """category, word, severity, allowed of lexicon files, one text a row, parsed where the rows are.
+
+    An entry's severity beats its category's; a file that isn't JSON, and an entry without a word, give no rows.
+    """
+    held = F.from_json(value, f"anti_ai struct<words:{_ENTRIES}>, words {_ENTRIES}")
+    parts = files.select(F.explode(F.coalesce(held["anti_ai"]["words"], held["words"])).alias("category", "part"))
+    entries = parts.select("category", F.col("part.severity").alias("usual"), F.explode("part.entries").alias("e"))
+    found = entries.select("category", F.col("e.word").alias("word"), F.coalesce("e.severity", "usual").alias("severity"), F.col("e.allowedCount").alias("allowed"))
+    return found.where(F.length("word") > 0)

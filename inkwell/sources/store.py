@@ -145,3 +145,30 @@ def tick_events(spark: SparkSession, tick: dict) -> DataFrame:
 def chapter_note(markdown: DataFrame, novel: str, folder: str) -> str:
     """Upsert chapters' sections (chapter, markdown) of a novel's state note."""
     return upsert_snapshot(markdown.withColumn("novel", F.lit(novel)), folder, ["novel", "chapter"])
+
+
+#: Buckets of a table that is upserted in part.
+BUCKETS = 64
+
+
+def upsert_buckets(rows: DataFrame, folder: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Replace the rows of ``rows``' keys in the table at ``folder``, and add those of new keys; only the buckets of these keys are read and written.
+
+    A bucket is a hash of the keys. The new files of all touched buckets are complete before any old one goes (dynamic partition
+    overwrite), and the other buckets' files stay as they are. Readers of a table between both see the old or the new files of a bucket.
+    ``rows`` must not read the table; keys that repeat in ``rows`` all stay.
+    """
+    spark = rows.sparkSession
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    if exists(spark, f"{folder}/bucket=*"):
+        old = spark.read.schema(placed.schema).option("basePath", folder).parquet(folder)
+        touched = [r.bucket for r in placed.select("bucket").distinct().collect()]  # no more than ``buckets``
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+        kept = old.where(F.col("bucket").isin(touched)).alias("o").join(placed.select(*keys).distinct().alias("n"), same, "left_anti")
+        placed = kept.select(*placed.columns).unionByName(placed)
+    placed.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder)
+
+
+def bucketed(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The table that ``upsert_buckets`` has written; None before the first."""
+    return spark.read.option("basePath", folder).parquet(folder).drop("bucket") if exists(spark, f"{folder}/bucket=*") else None

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Files of at most so many bytes together are dealt out to all cores.
@@ -20,3 +22,19 @@ def spread(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
     """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
+
+
+_own_folder: str | None = None
+
+
+def shared_place(spark: SparkSession) -> str:
+    """Where executors and the driver may write: ``spark.checkpoint.dir``. A session on one machine may do without it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    global _own_folder
+    _own_folder = _own_folder or tempfile.mkdtemp(prefix="shared-")
+    return _own_folder

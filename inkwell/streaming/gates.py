@@ -1,4 +1,4 @@
-"""Gates and knowledge over streams. The batch operators carry no state between rows of different keys, so most run as they are."""
+"""Gates over streams. The batch operators carry no state between rows of different keys, so most run as they are."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.operators import style
-from inkwell.sources import store
 
 
 def document_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int = 64) -> DataFrame:
@@ -34,19 +33,3 @@ def keep_violations(docs: DataFrame, key: str, fatal: Sequence[str], high: Seque
         style.line_violations(batch, key, fatal, high).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def keep_knowledge(entries: DataFrame, folder: str, checkpoint: str):
-    """Fold arriving knowledge entries (agent, fact_id, confidence, source, chapter, seq) into the stored table.
-
-    What is stored of a key is the best and the first of its entries, so it grows with the keys, not with
-    their history. Folding an entry again changes nothing, so a batch may be repeated.
-    """
-    from inkwell.operators.cognition import deciding_entries, merged_knowledge
-
-    def fold(batch: DataFrame, number: int) -> None:
-        old = store.load_snapshot(batch.sparkSession, folder)
-        store.save_snapshot(deciding_entries(batch if old is None else old.unionByName(batch)), folder)
-        store.save_snapshot(merged_knowledge(store.load_snapshot(batch.sparkSession, folder)), f"{folder}/merged")
-
-    return entries.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from decimal import Decimal
 import duckdb
 import pytest
 
+import inkwell.plans.ledger_bindings  # noqa: F401
 import inkwell.plans.reader_bindings  # noqa: F401
 from inkwell.plans.bindings import ORACLE_SQL, QUERIES
 
