@@ -2,23 +2,28 @@
 
 A model is any picklable ``f(system, prompt) -> str``. Calls run in ``mapInPandas`` on the executors, so the
 client must be made inside the function or be picklable. Without one, a deterministic stub answers, and every
-plan can be run and checked offline. A retried task calls again; results are cached by the hash of what was
-asked where a cache table is given.
+plan can be run and checked offline. ``paid_once`` keeps answers: it calls once for each distinct question, also when
+tasks fail and in later runs. The others call for each row, and again where a task is retried.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkwell.functions.text import blank_to_null
 from inkwell.sources.model_json import extract_json
+from inkwell.sources.vault import exists
+from inkwell.sources.vault_source import opened
 
 Model = Callable[[str, str], str]
 #: Calls for a text, and for an object that must parse (each of which is retried once when it fails).
@@ -54,6 +59,62 @@ def answered(asks: DataFrame, model: Model = stub, name: str = "answer", cache:
     return _asked(hashed, model, name, TEXT_TRIES, False)
 
 
+ANSWERS = "asked string, answer string"
+#: Questions of a task and calls that it has under way at once.
+TASK_CALLS, CALLS_AT_ONCE = 200, 8
+
+
+def _noted(model: Model, journal: str, tries: int, at_once: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For mapInPandas over (asked, system, prompt): answers, each written to ``journal`` as it comes and read from there by a task that runs again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = opened(journal)
+
+        def one(asked: str, system: str, prompt: str) -> str | None:
+            place = f"{root}/{asked[:2]}/{asked}"
+            if store.get_file_info(place).type == pafs.FileType.File:
+                with store.open_input_stream(place) as file:
+                    return file.read().decode()
+            answer = _tried(model, system or "", prompt or "", tries)
+            if answer is not None:
+                store.create_dir(f"{root}/{asked[:2]}")
+                part = f"{place}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(answer.encode())
+                store.move(part, place)
+            return answer
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for batch in batches:
+                yield batch[["asked"]].assign(answer=pd.Series(list(pool.map(one, batch["asked"], batch["system"], batch["prompt"])), index=batch.index, dtype=object))
+
+    return run
+
+
+def paid_once(asks: DataFrame, folder: str, model: Model = stub, name: str = "answer", tries: int = TEXT_TRIES, at_once: int = CALLS_AT_ONCE) -> DataFrame:
+    """``asks(system, prompt, ...)`` with the model's text, null where every try failed; answers are kept in ``folder``.
+
+    Equal questions are one call. Questions whose answers are kept aren't asked; the others' answers are written before anything reads
+    them. Within a run each answer is also noted by itself as it comes, so that a task that is run again asks only what wasn't
+    answered; the notes go once the table is there. Failed questions are asked again in the next run. Two attempts of one task at the same
+    time (speculation) may both call. ``folder`` is one that executors share, used by one run at a time.
+    """
+    spark = asks.sparkSession
+    hashed = asks.withColumn("_asked", F.sha2(F.concat_ws("\0", F.coalesce("system", F.lit("")), F.coalesce("prompt", F.lit(""))), 256))
+    table, journal = f"{folder}/answers", f"{folder}/notes"
+    known = spark.read.schema(ANSWERS).parquet(table) if exists(spark, f"{table}/*.parquet") else spark.createDataFrame([], ANSWERS)
+    wanted = hashed.groupBy(F.col("_asked").alias("asked")).agg(F.first("system").alias("system"), F.first("prompt").alias("prompt")).join(known, "asked", "left_anti")
+    n = wanted.count()
+    if n:
+        dealt = wanted.repartition(max(1, -(-n // TASK_CALLS)), "asked")
+        dealt.mapInPandas(_noted(model, journal, tries, at_once), ANSWERS).where("answer IS NOT NULL").write.mode("append").parquet(table)
+        place = spark._jvm.org.apache.hadoop.fs.Path(journal)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        known = spark.read.schema(ANSWERS).parquet(table) if exists(spark, f"{table}/*.parquet") else known
+    answers = known.select(F.col("asked").alias("_asked"), F.col("answer").alias(name))
+    return hashed.join(answers, "_asked", "left").select(*[hashed[c] for c in asks.columns], name)
+
+
 def answered_objects(asks: DataFrame, model: Model = stub_object, name: str = "answer") -> DataFrame:
     """``asks(key, system, prompt)`` with an object as JSON; ``{}`` where no try gave one."""
     return _asked(asks.withColumn("asked", F.sha2(F.concat_ws("\0", "system", "prompt"), 256)), model, name, TEXT_TRIES, True)

@@ -8,7 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import asof, lexicon, numbering, timeline
-from inkwell.plans.bindings import CLOSES, OPENS, ORACLE_SQL, SQL_LINES, _entries, query, read
+from inkwell.plans import generate, specs
+from inkwell.plans.bindings import CLOSES, OPENS, ORACLE_SQL, SQL_EVENTS, SQL_LINES, _entries, _events, query, read
 from inkwell.sources import config, store, variants, vault_source
 from inkwell.sources.tables import shared_place
 from inkwell.streaming import knowledge
@@ -194,3 +195,39 @@ def ledger_hooks(spark, d):
     hooks = read(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("id"), F.col("o_orderpriority").alias("description"), F.year("o_orderdate").alias("created_at_chapter"))
     old = read(spark, d, "customer").select(F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("c"), F.col("c_custkey").cast("string"))).alias("id"))
     return timeline.numbered_hooks(hooks, old).select("seq", "id", "created_at")
+
+
+# --- specs and answers ------------------------------------------------------------------------------------
+
+
+@query("planned_sections", f"""WITH {SQL_EVENTS}, c AS (SELECT DISTINCT day(o_orderdate) + 3 AS chapter FROM orders),
+o AS (SELECT chapter, chapter % 5 = 0 AND chapter % 10 <> 0 AS designed FROM c),
+sc AS (SELECT o.chapter, 'scope' AS source, ev.* FROM o JOIN ev ON ev.day = o.chapter AND NOT designed AND o.chapter % 2 = 0 AND agent % 2 = 0),
+dy AS (SELECT o.chapter, 'days' AS source, ev.* FROM o JOIN ev ON ev.day = o.chapter AND NOT designed WHERE o.chapter NOT IN (SELECT chapter FROM sc)),
+e AS (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY time, pov, seq) - 1 AS pos, count(*) OVER (PARTITION BY chapter) AS n FROM (SELECT * FROM sc UNION ALL SELECT * FROM dy)),
+p AS (SELECT *, greatest(1, n // 3) AS per FROM e), s AS (SELECT *, unnest([0, 1, 2]) AS section FROM p),
+k AS (SELECT * FROM s WHERE CASE WHEN section * per < n THEN pos // per = section ELSE pos >= n - per END)
+SELECT chapter, source, CAST(section + 1 AS INT) AS ord, string_agg('- ' || pov || ': ' || left(brief, 60), chr(10) ORDER BY pos) FILTER (pos % per < 5) AS description, 'normal' AS weight, count(*) AS n_events FROM k GROUP BY ALL
+UNION ALL SELECT chapter, 'designed', CAST(i AS INT), 'd' || CAST(chapter AS VARCHAR), CASE WHEN i = 2 THEN 'expanded' ELSE 'normal' END, 0 FROM o, (SELECT unnest([1, 2]) AS i) WHERE designed
+UNION ALL SELECT chapter, 'blank', CAST(i AS INT), NULL, 'normal', 0 FROM o, (SELECT unnest([1, 2, 3]) AS i) WHERE NOT designed AND chapter NOT IN (SELECT chapter FROM sc) AND chapter NOT IN (SELECT chapter FROM dy)""")
+def planned_sections(spark, d):
+    """Days as chapters, of which a model has designed every tenth, and an unusable reply is there for others."""
+    chapters = read(spark, d, "orders").select((F.dayofmonth("o_orderdate") + 3).alias("chapter")).distinct()
+    text = F.concat(F.lit('{"sections": [{"subject": "s", "description": "d'), F.col("chapter").cast("string"), F.lit('"}, {"description": "d'), F.col("chapter").cast("string"), F.lit('", "weight": "expanded"}]}'))
+    replies = chapters.where("chapter % 5 = 0").select("chapter", F.when(F.col("chapter") % 10 == 0, "no reply").otherwise(text).alias("answer"))
+    events = _events(spark, d).withColumn("chapter", F.col("day"))
+    return specs.planned_sections(replies, events.where("chapter % 2 = 0 AND agent % 2 = 0"), events, chapters).drop("subject")
+
+
+@query("paid_answers", """SELECT o_orderkey, 'status ' || o_orderstatus || chr(10) || o_orderpriority AS prompt,
+'[' || left(sha256(encode('answer') || '\\x00'::BLOB || encode('status ' || o_orderstatus || chr(10) || o_orderpriority)), 8) || '] ' || o_orderpriority AS answer FROM orders""")
+def paid_answers(spark, d):
+    """A question for each order, of which few are different; the second run finds all answers."""
+    asks = read(spark, d, "orders").select("o_orderkey", F.lit("answer").alias("system"), F.concat(F.lit("status "), "o_orderstatus", F.lit("\n"), "o_orderpriority").alias("prompt"))
+    folder = _own_folder(spark)
+    generate.paid_once(asks, folder).count()
+    return generate.paid_once(asks, folder, model=_never).select("o_orderkey", "prompt", "answer")
+
+
+def _never(system: str, prompt: str) -> str:
+    raise RuntimeError("asked again")

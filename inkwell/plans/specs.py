@@ -63,3 +63,43 @@ def context_lines(ticks: DataFrame, beliefs: DataFrame, events: DataFrame, key:
     held = beliefs.withColumn("place", place).where(F.col("place") <= most_beliefs).select(key, F.lit(1).alias("part"), F.concat(F.col("agent").cast("string"), F.lit(": "), "proposition").alias("line"))
     public = events.groupBy(key, "event").agg(F.min("seq").alias("seq")).select(key, F.lit(2).alias("part"), F.col("event").alias("line"))
     return broken.unionByName(held).unionByName(public)
+
+
+def best_source(rows: DataFrame, key: str, rank: str = "rank") -> DataFrame:
+    """The rows of each key's best source (least ``rank``): one shuffle by key, whatever the number of sources."""
+    return rows.withColumn("_best", F.min(rank).over(Window.partitionBy(key))).where(F.col(rank) == F.col("_best")).drop("_best")
+
+
+#: Where a chapter's sections come from, the best first.
+SOURCES = ("designed", "scope", "days", "blank")
+
+
+def planned_sections(replies: DataFrame, scoped: DataFrame, ranged: DataFrame, chapters: DataFrame, sections: int = 3) -> DataFrame:
+    """chapter, source, ord, subject, description, weight, n_events of every chapter of ``chapters(chapter)``.
+
+    A chapter's sections are a model's (``replies(chapter, answer)``), else made from the events of its scope, else from those of its
+    range of days, else blanks to be filled in. ``scoped`` and ``ranged`` are (chapter, day, time, pov, seq, location, brief). The four sources
+    are one ranked union, of which the best of each chapter is kept; all steps after that keep its partitioning by chapter. Of replies that
+    repeat a chapter the one with the least answer counts; rows of no given chapter are left out.
+    """
+    event = F.struct("day", "time", "pov", "seq", "location", "brief")
+    kind = scoped.select(event.alias("e")).schema["e"].dataType
+    parsed = replies.groupBy("chapter").agg(F.min("answer").alias("answer")).select("chapter", F.from_json("answer", SPEC_SCHEMA)["sections"].alias("held")).where(F.size("held") > 0)
+    no_event, no_section = F.lit(None).cast(kind).alias("e"), F.lit(None).cast(parsed.schema["held"].dataType.elementType).alias("s")
+    designed = parsed.select("chapter", F.posexplode("held").alias("at", "s")).select("chapter", F.lit(0).alias("rank"), F.col("at") + 1, no_event, "s")
+    union = designed.toDF("chapter", "rank", "ord", "e", "s")
+    for rank, events in ((1, scoped), (2, ranged)):
+        union = union.unionByName(events.select("chapter", F.lit(rank).alias("rank"), F.lit(0).alias("ord"), event.cast(kind).alias("e"), no_section))
+    blank = chapters.select("chapter").distinct().select("chapter", F.lit(3).alias("rank"), F.lit(0).alias("ord"), no_event, no_section)
+    given = union.unionByName(blank).withColumn("_given", F.max(F.col("rank") == 3).over(Window.partitionBy("chapter"))).where("_given").drop("_given")
+    best = best_source(given, "chapter")
+    place = F.row_number().over(Window.partitionBy("chapter").orderBy("e.day", "e.time", "e.pov", "e.seq"))
+    events = best.where("e IS NOT NULL").select("chapter", "rank", place.alias("seq"), "e.pov", "e.location", "e.brief")
+    sources = F.array(*[F.lit(s) for s in SOURCES])
+    made = scenes.mechanical_sections(events.drop("rank"), "chapter", sections)
+    ranks = events.groupBy("chapter").agg(F.min("rank").alias("rank"))
+    by_events = made.join(ranks, "chapter").select("chapter", "rank", F.col("section").alias("ord"), F.col("locations").alias("subject"), F.col("briefs").alias("description"), F.lit("normal").alias("weight"), F.col("n_events").cast("long").alias("n_events"))
+    told = best.where("rank = 0").select("chapter", "rank", "ord", "s.subject", "s.description", F.coalesce("s.weight", F.lit("normal")).alias("weight"), F.lit(0).cast("long").alias("n_events"))
+    empty = best.where("rank = 3").select("chapter", "rank", F.explode(F.sequence(F.lit(1), F.lit(sections))).alias("ord"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("description"), F.lit("normal").alias("weight"), F.lit(0).cast("long").alias("n_events"))
+    every = told.unionByName(by_events).unionByName(empty)
+    return every.select("chapter", F.get(sources, F.col("rank")).alias("source"), "ord", "subject", "description", "weight", "n_events")

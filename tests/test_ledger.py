@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkwell.operators import asof, lexicon, numbering, style
+from inkwell.plans import generate, specs
 from inkwell.sources import config, store, variants, vault_source
 from inkwell.streaming import knowledge
 
@@ -247,3 +248,46 @@ def test_numbers_follow_the_order_of_the_whole_table(spark, range_rows):
     assert numbering.numbered(table.limit(0), ["a"]).count() == 0
     if range_rows == 40:
         assert "SinglePartition" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+# --- answers and specs ------------------------------------------------------------------------------------
+
+
+def test_answers_are_paid_for_once(spark, tmp_path):
+    calls, crash = str(tmp_path / "calls"), str(tmp_path / "crash")
+
+    def model(system, prompt):
+        with open(calls, "a") as out:
+            out.write(f"{prompt}\n")
+        if prompt == "q7" and not os.path.exists(crash):
+            open(crash, "w").close()
+            os._exit(1)  # the worker is lost with its task
+        if prompt == "bad":
+            raise ValueError("no")
+        return f"{system}:{prompt}"
+
+    asks = spark.createDataFrame([(k, "s", f"q{k % 12}") for k in range(120)] + [(200, "s", "bad"), (201, None, None)], "id int, system string, prompt string").withColumn("asked", F.lit("clash"))
+    folder = str(tmp_path / "kept")
+    with pytest.raises(Exception):
+        generate.paid_once(asks, folder, model, tries=1, at_once=1)
+    found = generate.paid_once(asks, folder, model, tries=1, at_once=3)
+    expected = [(k, "s", f"q{k % 12}", "clash", f"s:q{k % 12}") for k in range(120)] + [(200, "s", "bad", "clash", None), (201, None, None, "clash", ":")]
+    assert rows(found) == sorted(expected, key=repr)
+    told = open(calls).read().split("\n")[:-1]
+    assert all(told.count(f"q{k}") == (2 if k == 7 else 1) for k in range(12))  # the call under which the worker was lost has no answer
+    again = generate.paid_once(asks, folder, model, tries=1)
+    later = open(calls).read().split("\n")[:-1]
+    assert rows(again) == sorted(expected, key=repr) and set(later[len(told) :]) == {"bad"} and not os.path.exists(f"{folder}/notes")
+
+
+def test_sections_come_from_the_best_source(spark):
+    event = "chapter int, day int, time string, pov string, seq int, location string, brief string"
+    scoped = spark.createDataFrame([(2, 2, "08:00", "a", k, f"p{k}", f"s{k}") for k in range(4)] + [(1, 1, "", "a", 1, "p", "x"), (9, 9, "", "a", 1, "p", "x")], event)
+    ranged = spark.createDataFrame([(c, c, "08:00", "b", 1, "place", f"r{c}") for c in (1, 2, 3)], event)
+    replies = spark.createDataFrame([(1, '{"sections": [{"subject": "own", "description": "d", "weight": "expanded"}]}'), (2, "{}"), (3, None)], "chapter int, answer string")
+    chapters = spark.createDataFrame([(c,) for c in (1, 2, 3, 4, 4)], "chapter int")
+    found = specs.planned_sections(replies, scoped, ranged, chapters)
+    told = rows(found, "chapter", "source", "ord", "description", "weight", "n_events")
+    expected = [(1, "designed", 1, "d", "expanded", 0)] + [(2, "scope", k + 1, f"- a: s{k}", "normal", 1) for k in range(3)] + [(3, "days", k, "- b: r3", "normal", 1) for k in (1, 2, 3)] + [(4, "blank", k, None, "normal", 0) for k in (1, 2, 3)]
+    assert told == sorted(expected, key=repr)
+    assert rows(specs.planned_sections(replies, scoped.limit(0), ranged, chapters.limit(0))) == []
