@@ -3,7 +3,9 @@
 Every vector is represented by its ``PREFIX`` nearest pivots in order. Each pivot's inverted file posts
 the vectors that have it among theirs, with its rank. A query accumulates, over its own pivots' files,
 what its footrule distance to each posted vector falls below that to a stranger; the ``SHARE`` of a block
-with the least footrule distances is reranked by the exact inner product.
+with the least footrule distances, and twice as many as are asked for, is reranked by the exact inner product. With
+``PREFIX`` squared below ``PIVOTS`` a query's files hold fewer postings than the block has vectors, and the share is
+the same for a table of any size.
 
 Pivots (at most ``PIVOTS``) are a hash sample. Vectors are dealt by hash into blocks, each with its own
 inverted files, built once; the queries go past every block in batches, and a block returns at most k rows for
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import cut, table, tidy, unsigned_share
 
-PIVOTS, PREFIX, SHARE = 512, 64, 0.05
-#: Times k that are reranked at least, for tables with few vectors.
-LEAST = 20
+PIVOTS, PREFIX, SHARE = 2048, 45, 0.2
+#: Rows whose similarities to all pivots are held at once.
+CHUNK = 2048
 BLOCK, BLOCK_MOST = 4096, 1 << 17
 
 
@@ -57,7 +59,13 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
 
 def prefixes(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """Each row's nearest pivots in order."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :prefix]
+    out = np.empty((len(x), min(prefix, len(pivots))), np.int64)
+    for start in range(0, len(x), CHUNK):
+        far = -(x[start : start + CHUNK] @ pivots.T)
+        near = np.sort(np.argpartition(far, out.shape[1] - 1, axis=1)[:, : out.shape[1]], axis=1) if out.shape[1] < len(pivots) else np.broadcast_to(np.arange(len(pivots)), far.shape)
+        order = np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable")
+        out[start : start + CHUNK] = np.take_along_axis(near, order, axis=1)
+    return out
 
 
 class Block:
@@ -81,14 +89,14 @@ class Block:
         worth = np.concatenate([self.prefix - np.maximum(f[1], rank) for rank, f in enumerate(files)])
         return np.bincount(rows, worth, len(self.ids)).astype(np.int64)
 
-    def search(self, own: int, q: np.ndarray, order: np.ndarray, k: int, share: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, own: int, q: np.ndarray, order: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the k best ids and their scores; rows that repeat an id count once, by the best of them."""
         n = len(self.names)
-        most = min(n, max(math.ceil(share * n), least * k))
+        most = min(n, math.ceil(share * n) + 2 * k)
         near = np.maximum.reduceat(self.nearness(order), self.firsts)
         key = near * n + np.arange(n - 1, -1, -1)  # ties: the smaller id first
         chosen = np.argpartition(-key, most - 1)[:most] if most < n else np.arange(n)
-        chosen = chosen[self.names[chosen] != own]
+        chosen = np.sort(chosen[self.names[chosen] != own])
         if not len(chosen):
             return chosen, np.empty(0)
         if n < len(self.ids):
@@ -117,7 +125,7 @@ def block_rows(n: int) -> int:
     return int(min(BLOCK_MOST, max(BLOCK, 16 * math.sqrt(n))))
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVOTS, prefix: int = PREFIX, share: float = SHARE) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each vector whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     held = cut(usable(vectors).dropDuplicates())
@@ -136,7 +144,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = PIVO
     def answers(block: Block, ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
         unit = q / np.linalg.norm(q, axis=1)[:, None]
         orders = prefixes(np.hstack([unit, np.zeros((len(q), 1))]), shared.value, block.prefix)
-        out = [(own, *block.search(own, v, order, k, share, least)) for own, v, order in zip(ids.tolist(), q, orders)]
+        out = [(own, *block.search(own, v, order, k, share)) for own, v, order in zip(ids.tolist(), q, orders)]
         asking = np.repeat(ids, [len(rows) for _, rows, _ in out])
         rows, score = (np.concatenate([o[i] for o in out]) for i in (1, 2))
         return pa.RecordBatch.from_arrays([pa.array(asking), pa.array(block.ids[rows.astype(np.int64)]), pa.array(score.astype(np.float64))], names=["query_id", "vec_id", "score"])
