@@ -1,8 +1,8 @@
 """Chat formatting: roles of a raw transcript's lines by a hidden Markov model, then canonical turns.
 
 A state is a role and whether the line opens a turn. A line shows which speaker marker it starts with, how
-long it is and how it ends. Transitions and emissions are counted (add-one) on a bounded sample of
-conversations with known roles. The most probable path is found by Viterbi.
+long it is, how it begins and ends, and whether it is the first of its row. Transitions and emissions are counted (add-one) on a
+bounded sample of conversations with known roles. The most probable path is found by Viterbi.
 
 A conversation is cut into chunks of ``CHUNK`` turns, however long it is, and a chunk in which turns repeat
 so often that it has over ``DENSE`` times as many rows is cut again, into parts of single turns. A chunk's effect on path scores is
@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkwell.llm.common import cut, table, unsigned_share
 from inkwell.operators.joins import if_small
@@ -55,35 +56,57 @@ def marker(line: str) -> tuple[int, int]:
     return (ROLES.index(_ROLE_OF[found[1].lower()]), found.end()) if found else (3, 0)
 
 
-def observed(line: str) -> tuple[int, int, int]:
+def observed(line: str, first: bool) -> tuple[int, int, int, int, int]:
+    """What a line shows: marker, length, end, beginning and place in its row. The text behind a marker speaks as one without."""
     mark, at = marker(line)
-    text = line[at:].rstrip()
-    return mark, sum(len(text) > n for n in LENGTHS), 2 if text.endswith("?") else 1 if text.endswith((".", "!", "\"")) else 0
+    text = line[at:].strip()
+    begins = 0 if not text else 1 if text[0].isupper() else 2 if text[0].islower() else 3
+    return mark, sum(len(text) > n for n in LENGTHS), 2 if text.endswith("?") else 1 if text.endswith((".", "!", "\"")) else 0, begins, int(first)
 
 
-SHAPES = (4, len(LENGTHS) + 1, 3)
+SHAPES = (4, len(LENGTHS) + 1, 3, 4, 2)
+
+
+def shown_by(lines: list[str]) -> list[tuple[int, ...]]:
+    """``observed`` of a row's lines."""
+    return [observed(line, k == 0) for k, line in enumerate(lines)]
+
+
+class Counts:
+    """How often paths start in a state, go from one to another, and what is shown in each; sums of them are counts too."""
+
+    SIZE = STATES * (1 + STATES + sum(SHAPES))
+
+    def __init__(self, flat: np.ndarray | None = None):
+        flat = np.zeros(self.SIZE) if flat is None else flat
+        ends = np.cumsum([STATES, STATES * STATES, *(STATES * n for n in SHAPES)])
+        parts = np.split(flat, ends[:-1])
+        self.flat, self.start, self.move = flat, parts[0], parts[1].reshape(STATES, STATES)
+        self.shown = [p.reshape(STATES, n) for p, n in zip(parts[2:], SHAPES)]
+
+    def add(self, states: list[int], seen: list[tuple[int, ...]], before: int | None = None, within: bool = False) -> None:
+        """A path and what it shows; ``within`` leaves out how it begins."""
+        for state, values in zip(states, seen):
+            if before is not None:
+                self.move[before, state] += 1
+            elif not within:
+                self.start[state] += 1
+            before = state
+            for table_, value in zip(self.shown, values):
+                table_[state, value] += 1
 
 
 class Model:
     """Log probabilities."""
 
-    def __init__(self, sequences: list[list[tuple[int, tuple[int, int, int]]]]):
-        """sequences: for each conversation the (state, observation) of its lines."""
-        start, move = np.ones(STATES), np.ones((STATES, STATES))
-        shown = [np.ones((STATES, n)) for n in SHAPES]
+    def __init__(self, counts: Counts):
+        start, move = counts.start + 1, counts.move + 1
+        shown = [s + 1 for s in counts.shown]
         for role in range(3):  # what a marker says, even without training rows
             shown[0][role, role] += 5
             shown[0][3:, 3] += 5
-        for one in sequences:
-            before = None
-            for state, seen in one:
-                if before is None:
-                    start[state] += 1
-                else:
-                    move[before, state] += 1
-                for k, value in enumerate(seen):
-                    shown[k][state, value] += 1
-                before = state
+        shown[4][:3, 1] += 5
+        shown[4][3:, 0] += 5
         allowed = np.ones((STATES, STATES), bool)
         for a in range(STATES):
             for b in range(3, STATES):
@@ -94,9 +117,10 @@ class Model:
             self.move = np.log(np.where(allowed, move, 0) / np.where(allowed, move, 0).sum(axis=1, keepdims=True))
         self.shown = [np.log(s / s.sum(axis=1, keepdims=True)) for s in shown]
 
-    def emit(self, lines: list[str]) -> np.ndarray:
-        seen = [observed(line) for line in lines]
-        return sum(self.shown[k][:, [s[k] for s in seen]] for k in range(3)).T
+    def emit(self, rows: list[list[str]]) -> np.ndarray:
+        """Log probabilities of what the rows' lines show, by line and state."""
+        seen = [values for lines in rows for values in shown_by(lines)]
+        return sum(table_[:, [s[k] for s in seen]] for k, table_ in enumerate(self.shown)).T
 
     def matrix(self, emitted: np.ndarray) -> np.ndarray:
         """Best score from each state before the lines to each state at the last line."""
@@ -195,7 +219,7 @@ def parse(transcripts: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for one in _chunks(batches):
-            emitted = shared.value.emit([line for row in one for line in rows_lines(row["raw"])])
+            emitted = shared.value.emit([rows_lines(row["raw"]) for row in one])
             values = (*[one[0][c] for c in place], shared.value.matrix(emitted).ravel().tolist(), shared.value.begun(emitted).tolist())
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[*place, "m", "begun"])
@@ -226,7 +250,7 @@ def parse(transcripts: DataFrame, model: Model, chunk: int = CHUNK) -> DataFrame
 
         for one in _chunks(watched()):
             held = [rows_lines(row["raw"]) for row in one]
-            emitted = shared.value.emit([line for lines in held for line in lines])
+            emitted = shared.value.emit(held)
             before, last = one[0]["before"], one[0]["at_end"]
             opening = before is None or before < 0
             states = shared.value.path(emitted, None if opening else before, last)
@@ -268,17 +292,47 @@ def as_transcripts(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", raw.alias("raw"))
 
 
-def learn(transcripts: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Counts over about ``sample_rows`` rows: whole conversations chosen by hash, the turns below 64 of each."""
-    early = transcripts.where(F.col("role").isin(*ROLES) & (F.col("turn") < 64))
-    n = early.count()
-    rows = early.where(unsigned_share(F.col("conv_id"), 5) < sample_rows / max(n, 1)).collect()
-    talks: dict = {}
-    for r in sorted(rows, key=lambda r: (r.turn, r.role, r.raw)):
-        talks.setdefault(r.conv_id, []).extend((ROLES.index(r.role) + 3 * (k > 0), observed(line)) for k, line in enumerate(rows_lines(r.raw)))
-    return Model(list(talks.values()))
+def held_out():
+    """True where crc32 of the conv_id's digits leaves 1 modulo 3; false for a null id."""
+    return F.coalesce(F.crc32(F.col("conv_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def learn(transcripts: DataFrame, sample_rows: int = SAMPLE_ROWS, most_turn: int = 64) -> Model:
+    """Counts over about ``sample_rows`` turns: conversations chosen by hash, the turns below ``most_turn`` of each.
+
+    A turn that is repeated counts once; rows without conversation take no part. A turn is counted where its row
+    is: the driver gets fixed numbers of counts for each, never its text.
+    """
+    early = transcripts.where(F.col("role").isin(*ROLES) & F.col("turn").between(0, most_turn - 1) & F.col("conv_id").isNotNull())
+    n = early.agg(F.approx_count_distinct(F.struct("conv_id", "turn"))).first()[0]
+    chosen = early.where(unsigned_share(F.col("conv_id"), 5) < sample_rows / max(n, 1))
+    once = chosen.groupBy("conv_id", "turn").agg(F.min(F.struct("role", "raw")).alias("r")).select("conv_id", "turn", "r.role", "r.raw")
+    ids = once.select("conv_id", "turn").schema
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for role, raw in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                own, lines = Counts(), rows_lines(raw)
+                opens = ROLES.index(role)
+                own.add([opens + 3 * (k > 0) for k in range(len(lines))], shown_by(lines), within=True)
+                found.append((opens, opens + 3 * (len(lines) > 1), own.flat.astype(np.int64).tolist()))
+            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.int32(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["conv_id", "turn", "first", "last", "counts"])
+
+    total, before = Counts(), (None, 0)
+    rows = once.mapInArrow(count, ids.add("first", T.IntegerType()).add("last", T.IntegerType()).add("counts", T.ArrayType(T.LongType())))
+    for r in rows.orderBy("conv_id", "turn").toLocalIterator():
+        total.flat += np.array(r.counts)
+        if before[0] == r.conv_id:
+            total.move[before[1], r.first] += 1
+        else:
+            total.start[r.first] += 1
+        before = (r.conv_id, r.last)
+    return Model(total)
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of all turns; conversations that are ``held_out`` take no part in the fit."""
     transcripts = as_transcripts(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    return parse(transcripts, learn(transcripts))
+    return parse(transcripts, learn(transcripts.where(~held_out()))).withColumn("held_out", held_out())
