@@ -8,8 +8,9 @@ passes over all of them, and for the remainder a seeded choice in hash order tha
 any more.
 
 A document is never taken more than ``PASSES`` times. Defined results: null texts have size 0 and are
-never taken; a null source is a source, the last; rows that repeat doc_id, source and size are chosen
-together; an empty table gives no rows. Equal input gives equal output, however it is partitioned.
+never taken; a null source is a source, the last; an empty table gives no rows. Rows that repeat doc_id, source and size
+are a unit, of which the last pass may take some; the result has so many of them, however the input is partitioned (if their
+texts differ, which of them depends on where they lie).
 """
 
 from __future__ import annotations
@@ -137,15 +138,16 @@ def _edge_cut(group: pd.DataFrame) -> pd.DataFrame:
     """What an edge bucket gives: in hash order, all units that still fit, as runs of hashes that are taken whole.
 
     Runs end where a unit is skipped, so there are few of them unless many long units stand between short
-    ones. Units that share their hash and fit in part only are listed as fills, and one more unit is if
-    going over by it comes nearer than staying short. A bucket has about BUCKET_ROWS units.
+    ones. Of a unit that doesn't fit whole as many rows are taken as do. Those units, and units that share their hash and fit in
+    part only, are listed as fills with their number of rows; one more row is taken if going over by it comes nearer than
+    staying short. A bucket has about BUCKET_ROWS units.
     """
     left = int(group["left"].iloc[0])
     order = group.sort_values(["h", "doc_id", "size"], kind="stable")
-    words, hashes = order["words"].tolist(), order["h"].tolist()
+    words, hashes, sizes = order["words"].tolist(), order["h"].tolist(), order["size"].tolist()
     runs: list[list[int]] = []
-    fills: list[int] = []
-    skipped: list[int] = []
+    fills: dict[int, int] = {}
+    some: list[int] = []  # units with rows left over
     open_run, at = False, 0
     while at < len(words):
         end = at + 1
@@ -161,17 +163,20 @@ def _edge_cut(group: pd.DataFrame) -> pd.DataFrame:
         else:
             open_run = False
             for k in range(at, end):
-                if words[k] <= left:
-                    left -= words[k]
-                    fills.append(k)
-                else:
-                    skipped.append(k)
+                rows = min(words[k], left) // sizes[k] if sizes[k] else 0
+                if rows:
+                    left -= rows * sizes[k]
+                    fills[k] = rows
+                if rows * sizes[k] < words[k]:
+                    some.append(k)
         at = end
-    over = [(words[k] - left, k) for k in skipped if 0 < words[k] - left < left]
+    over = [(sizes[k] - left, k) for k in some if 0 < sizes[k] - left < left]
     if over:
-        fills.append(min(over)[1])
-    ids = [None if pd.isna(i) else int(i) for i in order["doc_id"].iloc[fills]]
-    found = {"pattern": group["pattern"].iloc[0], "firsts": [r[0] for r in runs], "lasts": [r[1] for r in runs], "fill_ids": ids, "fill_sizes": order["size"].iloc[fills].tolist()}
+        fills[min(over)[1]] = fills.get(min(over)[1], 0) + 1
+    which = list(fills)
+    ids = [None if pd.isna(i) else int(i) for i in order["doc_id"].iloc[which]]
+    counts = [-1 if fills[k] * sizes[k] == words[k] else fills[k] for k in which]  # -1: all rows
+    found = {"pattern": group["pattern"].iloc[0], "firsts": [r[0] for r in runs], "lasts": [r[1] for r in runs], "fill_ids": ids, "fill_sizes": order["size"].iloc[which].tolist(), "fill_rows": counts}
     return pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in found.items()})
 
 
@@ -208,9 +213,10 @@ class Mix:
         kind = "pattern string, whole int, rest long, buckets int, full long, edge long, left long"
         plan = [(*r, *found.get(r[0], (-1, -1, 0))) for r in rows]
         at_edge = self._placed(self.units, spark.createDataFrame(plan, kind)).where("bucket = edge").select("doc_id", "size", "pattern", "words", "left", self._hash().alias("h"))
-        cut_at = {r.pattern: r for r in at_edge.groupBy("pattern").applyInPandas(_edge_cut, "pattern string, firsts array<long>, lasts array<long>, fill_ids array<long>, fill_sizes array<long>").toLocalIterator()} if rows else {}
-        edges = [(list(zip(e.firsts, e.lasts)), list(zip(e.fill_ids, e.fill_sizes))) if (e := cut_at.get(r[0])) else ([], []) for r in plan]
-        self.plan = spark.createDataFrame([(*r[:2], r[3], r[4], r[5], *e) for r, e in zip(plan, edges)], "pattern string, whole int, buckets int, full long, edge long, runs array<struct<first:long,last:long>>, fills array<struct<doc_id:long,size:long>>")
+        cut_at = {r.pattern: r for r in at_edge.groupBy("pattern").applyInPandas(_edge_cut, "pattern string, firsts array<long>, lasts array<long>, fill_ids array<long>, fill_sizes array<long>, fill_rows array<long>").toLocalIterator()} if rows else {}
+        edges = [(list(zip(e.firsts, e.lasts)), list(zip(e.fill_ids, e.fill_sizes, e.fill_rows))) if (e := cut_at.get(r[0])) else ([], []) for r in plan]
+        self.plan = spark.createDataFrame([(*r[:2], r[3], r[4], r[5], *e) for r, e in zip(plan, edges)], "pattern string, whole int, buckets int, full long, edge long, runs array<struct<first:long,last:long>>, fills array<struct<doc_id:long,size:long,rows:long>>")
+        self.in_part = any(rows > 0 for e in cut_at.values() for rows in e.fill_rows)
 
     def _hash(self) -> Column:
         return F.xxhash64(F.col("doc_id"), F.lit(self.seed))
@@ -227,12 +233,34 @@ class Mix:
         return docs.join(plan, F.col("pattern").eqNullSafe(F.col("_pattern"))).drop("_pattern").withColumn("bucket", F.floor(share * F.col("buckets")))
 
     def times(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (with doc_id, size and pattern) and how often each row is taken; a row's own columns and its pattern's plan tell."""
-        filled = F.exists("fills", lambda f: f["doc_id"].eqNullSafe(F.col("doc_id")) & (f["size"] == F.col("size")))
-        inside = F.exists("runs", lambda r: self._hash().between(r["first"], r["last"])) | filled
-        more = (F.col("bucket") <= F.col("full")) | ((F.col("bucket") == F.col("edge")) & inside)
-        placed = self._placed(docs, self.plan).withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0))
-        return placed.drop("whole", "buckets", "full", "edge", "runs", "fills", "bucket")
+        """``docs`` (with doc_id, size and pattern) and how often each row is taken; a row's own columns and its pattern's plan tell.
+
+        Only rows of units that are taken in part are numbered: by the partition of ``docs`` that they lie in, after a sum over
+        partitions, so that no task gets more of them than one partition has.
+        """
+        fill = F.get(F.filter("fills", lambda f: f["doc_id"].eqNullSafe(F.col("doc_id")) & (f["size"] == F.col("size"))), F.lit(0))["rows"]
+        inside = F.exists("runs", lambda r: self._hash().between(r["first"], r["last"]))
+        at_edge = F.col("bucket") == F.col("edge")
+        told = ("whole", "buckets", "full", "edge", "runs", "fills", "bucket", "_fill", "_part")
+        placed = self._placed(docs.withColumn("_part", F.spark_partition_id()) if self.in_part else docs, self.plan).withColumn("_fill", F.when(at_edge, fill))
+        more = (F.col("bucket") <= F.col("full")) | (at_edge & (inside | (F.coalesce("_fill", F.lit(0)) != 0)))
+        some = F.coalesce("_fill", F.lit(0)) > 0
+
+        def counted(rows: DataFrame, more: Column) -> DataFrame:
+            return rows.withColumn("times", F.when(F.col("size") > 0, F.col("whole") + more.cast("int")).otherwise(0)).drop(*told)
+
+        if not self.in_part:
+            return counted(placed, more)
+        unit = ("pattern", "doc_id", "size")
+        part = placed.where(some)
+        upto = F.sum("_n").over(Window.partitionBy(*unit).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        before = part.groupBy(*unit, "_part").agg(F.count("*").alias("_n")).select(*[F.col(c).alias(f"_{c}") for c in unit], F.col("_part").alias("_at"), F.coalesce(upto, F.lit(0)).alias("_before"))
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in unit]
+        place = F.row_number().over(Window.partitionBy(*unit, "_part").orderBy(F.xxhash64(*unit)))
+        numbered = part.withColumn("_place", place).join(before, [*same, F.col("_part") == F.col("_at")])
+        chosen = counted(numbered, F.col("_place") + F.col("_before") <= F.col("_fill"))
+        rest = counted(placed.where(~some), more)
+        return rest.unionByName(chosen.select(*rest.columns))
 
 
 def _one(pattern: str | None) -> tuple:

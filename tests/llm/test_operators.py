@@ -620,6 +620,19 @@ def test_remainder_behind_a_long_document_is_filled(spark):
         assert abs(taken - quota) <= 75
 
 
+@pytest.mark.parametrize("quota", [1, 50, 28_570, 123_456, 599_999])
+def test_rows_that_repeat_are_taken_in_part(spark, quota):
+    """2,000 copies of a row among a few others: the mix comes within a row of its quota, also over several passes."""
+    said = [(7, 100, "a")] * 2000 + [(k, 100 + k % 3, "a") for k in range(20, 40)] + [(None, 100, "a")] * 30 + [(1, 10, None)] * 5
+    docs = spark.createDataFrame(said, "doc_id long, size long, pattern string").repartition(5, "size")
+    mix = mixing.Mix(docs, mixing._one, quotas={"a": quota, None: 20})
+    rows = mix.times(docs).collect()
+    assert len(rows) == len(said) and all(0 <= r.times <= 3 for r in rows)
+    assert abs(sum(r.times * r["size"] for r in rows if r.pattern) - quota) <= 51 and sum(r.times * r["size"] for r in rows if not r.pattern) == 20
+    again = sorted((r.doc_id or -1, r["size"], r.times) for r in mixing.Mix(docs.repartition(3), mixing._one, quotas={"a": quota, None: 20}).times(docs).collect())
+    assert again == sorted((r.doc_id or -1, r["size"], r.times) for r in rows)
+
+
 def test_flow_serves_overlapping_sources_at_least_cost():
     sent = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 1}, {"a": 15, "b": 12})
     assert sent[("a",)]["a"] + sent[("a", "b")]["a"] == 15 and sent[("b",)]["b"] + sent[("a", "b")]["b"] == 12
