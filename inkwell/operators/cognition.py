@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkwell import params
 from inkwell.functions.text import hashed_terms, normalised, strip, term_hash, typed_terms
+from inkwell.operators.automata import words_in
 from inkwell.operators.joins import BLOCK_ROWS, BROADCAST_ROWS, if_small
 
 
@@ -100,22 +101,21 @@ def _pieces(prepared: DataFrame, key: str, hay_lengths: Sequence[int], longest:
 def contained(texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact_key: str = "fact_id", fact: str = "proposition") -> DataFrame:
     """Pairs of which one normalised text contains the other, or that are equal when stripped.
 
-    The contained text is covered by pieces of ``PIECE`` characters and found by an equi-join on them: it is
-    there where all of them follow each other, so neither text is needed again to check that. Only texts no
-    longer than the longest fact can lie inside one. The facts' pieces are broadcast if they are few; then
-    texts stay where they are.
+    Facts in a text are found by an automaton of all facts, in one pass that makes a row for each find. Only texts no longer than the
+    longest fact can lie inside one: such a text is covered by pieces of ``PIECE`` characters and found by an equi-join on them
+    with the facts' pieces; it is there where all of its own follow each other, so neither text is needed again to check that.
+    The facts' pieces are broadcast if they are few; then texts stay where they are.
     """
     told = _prepared(facts, fact_key, fact)
-    lengths = {r.n: r.longest for r in told.where(F.length("norm") > 0).groupBy(F.least(F.length("norm"), F.lit(PIECE)).alias("n")).agg(F.max(F.length("norm")).alias("longest")).collect()}
-    longest = max(lengths.values(), default=0)
-    of_texts = _pieces(_prepared(texts, text_key, text), text_key, sorted(lengths), longest)
-    of_facts = _pieces(told, fact_key, range(1, PIECE + 1), longest, (NEEDLE, HAY, BARE)).select(fact_key, "role", F.col("at").alias("fact_at"), F.col("n").alias("fact_n"), "piece")
+    longest = told.agg(F.max(F.length("norm"))).first()[0] or 0
+    given = _prepared(texts, text_key, text)
+    inside = words_in(given, text_key, "norm", told, "norm").join(if_small(told.where(F.length("norm") > 0).select("norm", fact_key)), "norm").select(text_key, fact_key)
+    of_texts = _pieces(given.where(F.length("norm") <= longest), text_key, [], longest)
+    of_facts = _pieces(told, fact_key, range(1, PIECE + 1), 0, (NEEDLE, HAY, BARE)).select(fact_key, "role", F.col("at").alias("fact_at"), "piece")
     met = of_texts.join(if_small(of_facts), ["role", "piece"])
     # a piece's place in its needle is taken from its place in the hay
-    offset = F.when(F.col("role") == HAY, F.col("fact_at")).otherwise(F.col("at"))
-    start = F.when(F.col("role") == HAY, F.col("at") - F.col("fact_at")).otherwise(F.col("fact_at") - F.col("at"))
-    runs = met.groupBy(text_key, fact_key, "role", start.alias("start")).agg(F.countDistinct(offset).alias("seen"), F.max(F.coalesce("n", "fact_n", F.lit(1))).alias("wanted"))
-    return runs.where("seen = wanted").select(text_key, fact_key).distinct()
+    runs = met.groupBy(text_key, fact_key, (F.col("fact_at") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("seen"), F.max(F.coalesce("n", F.lit(1))).alias("wanted"))
+    return inside.unionByName(runs.where("seen = wanted").select(text_key, fact_key)).distinct()
 
 
 def matched_facts(texts: DataFrame, facts: DataFrame, text_key: str, text: str, **stops) -> DataFrame:

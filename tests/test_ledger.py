@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkwell.operators import asof, lexicon, numbering, style
+from inkwell.operators import asof, automata, cognition, lexicon, numbering, style
 from inkwell.plans import generate, specs
 from inkwell.sources import config, store, variants, vault_source
 from inkwell.streaming import knowledge
@@ -291,3 +291,23 @@ def test_sections_come_from_the_best_source(spark):
     expected = [(1, "designed", 1, "d", "expanded", 0)] + [(2, "scope", k + 1, f"- a: s{k}", "normal", 1) for k in range(3)] + [(3, "days", k, "- b: r3", "normal", 1) for k in (1, 2, 3)] + [(4, "blank", k, None, "normal", 0) for k in (1, 2, 3)]
     assert told == sorted(expected, key=repr)
     assert rows(specs.planned_sections(replies, scoped.limit(0), ranged, chapters.limit(0))) == []
+
+
+# --- passages in texts ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("part_chars", [1 << 20, 4])
+def test_words_in_texts(spark, part_chars):
+    texts = [(1, "abcabc"), (2, None), (3, ""), (4, "xyz"), (4, "ab"), (None, "bc")]
+    words = ["ab", "bc", "abc", "", None, "zz", "ab"]
+    found = automata.words_in(spark.createDataFrame(texts, "id int, text string"), "id", "text", spark.createDataFrame([(w,) for w in words], "w string"), "w", part_chars)
+    assert rows(found) == sorted([(i, w) for i, t in texts if t for w in {"ab", "bc", "abc", "zz"} if w in t], key=repr)
+
+
+def test_long_texts_are_not_cut_into_pieces(spark):
+    """Rows that containment explodes are the short texts' pieces alone, whatever the texts' length."""
+    texts = spark.createDataFrame([(k, "word " * 4000) for k in range(20)] + [(99, "a fact of some length")], "id int, text string")
+    facts = spark.createDataFrame([(1, "a fact of some length, and more of it"), (2, "word word word")], "fact_id int, proposition string")
+    assert rows(cognition.contained(texts, facts, "id", "text")) == [*((k, 2) for k in range(20)), (99, 1)]
+    given_texts = cognition._prepared(texts, "id", "text")
+    assert cognition._pieces(given_texts.where(F.length("norm") <= 40), "id", [], 40).count() == 2
