@@ -8,7 +8,8 @@ capitals, repeated lines and passages copied between languages don't decide.
 Where the best two sizes are close, smaller dictionaries are tried too and the sizes are added up. There
 the text is led by the dictionary's own end, whose size is taken off again: zstandard stores a few words by
 themselves as they are, so that they weigh the same in every language. A text that stays within
-``min_margin`` of a second language is marked as rejected.
+a margin of a second language is marked as rejected. The margin is learned on training texts that gave no words: the largest
+one below which at least half of the texts are told wrong.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; equal sums
 go to the language that comes first by code point. Without any training row every text is ``und``.
@@ -17,6 +18,7 @@ Repeated rows are predicted alike; other columns of the input don't matter.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import pieces, plain_names, table, texts, tidy, unsigned_share
+from inkwell.llm.common import cut, let_go, pieces, plain_names, table, texts, tidy, unsigned_share
 
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
@@ -33,9 +35,12 @@ WORDS = re.compile(r"[^\W\d_]+")
 DICTIONARIES = ((100_000, 4), (32_000, 9), (8_000, 9))
 #: Bytes of the dictionary's end that lead a text in close calls.
 LEAD = 300
-#: The fit reads at most so many distinct texts of each language, each of them whole.
-SAMPLE_TEXTS = 600
-CLOSE, MIN_MARGIN = 0.05, 0.001
+#: The fit reads at most so many distinct texts of each of the commonest languages, each of them whole: for the words, and then
+#: others for the margin.
+SAMPLE_TEXTS, MARGIN_TEXTS, MOST_LANGUAGES = 600, 300, 200
+#: The margin below which smaller dictionaries are tried; what rejection asks for at least and at most; and how many of the
+#: training texts that it rejects are wrong at least, so that texts whose language can be told stay.
+CLOSE, MIN_MARGIN, MOST_MARGIN, WRONG_SHARE = 0.05, 0.001, 0.05, 0.5
 
 
 def words_of(text: str) -> list[str]:
@@ -46,32 +51,38 @@ def words_of(text: str) -> list[str]:
     return list(dict.fromkeys(part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()))
 
 
-def training_words(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, most_bytes: int = DICTIONARIES[0][0]) -> dict[str, list[str]]:
-    """Each language's words by falling document frequency, from a bounded sample of ``labelled(doc_id, text, lang)``.
+def training_sample(labelled: DataFrame, most: int, languages: int = MOST_LANGUAGES) -> DataFrame:
+    """lang, text, place: at most ``most`` distinct texts of each of the commonest languages of ``labelled(doc_id, text, lang)``, those with the smallest hash first.
 
-    The sample is the ``sample_texts`` distinct texts of a language with the smallest hash. Rows are
-    thinned by hash before they are ranked, by the language's count, so no language is gathered whole. Words are
-    counted where the texts are; the driver gets as many of a language as fill ``most_bytes``.
+    Rows are thinned by hash before they are ranked, by the language's count, so no language is gathered whole.
     """
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
     share = unsigned_share(F.xxhash64("doc_id"), 17)
-    chosen = (
+    return (
         known.join(F.broadcast(counts), "lang")
-        .where(share < F.lit(4.0 * sample_texts) / F.col("n"))
+        .where(share < F.lit(4.0 * most) / F.col("n"))
         .select("lang", "text", F.xxhash64("text").alias("key"))
         .dropDuplicates(["lang", "key"])
         .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")))
-        .where(F.col("place") <= sample_texts)
+        .where(F.col("place") <= most)
+        .select("lang", "text", "place")
     )
 
+
+def training_words(sample: DataFrame, most_bytes: int = DICTIONARIES[0][0]) -> dict[str, list[str]]:
+    """Each language's words by falling document frequency in ``sample(lang, text)``.
+
+    Words are counted where the texts are; the driver gets as many of a language as fill ``most_bytes``.
+    """
+
     @tidy
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             rows = [(lang, word) for lang, text in zip(texts(batch, "lang"), texts(batch, "text")) for word in words_of(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["lang", "word"])
 
-    counted = chosen.select("lang", "text").mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counted = sample.select("lang", "text").mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     fitting = counted.withColumn("bytes", F.sum(F.octet_length("word") + 1).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("bytes") <= most_bytes)
     found: dict[str, list[str]] = {}
@@ -166,19 +177,38 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame) -> dict[str, list[str]]:
-    """Fit on the documents that aren't held out; a null doc_id takes no part in the fit."""
-    return training_words(docs.where(F.col("doc_id").isNotNull() & ~held_out()))
+def learn(docs: DataFrame) -> tuple[dict[str, list[str]], float]:
+    """The words of each language and the margin for rejection, from the documents that aren't held out; a null doc_id takes no part in the fit."""
+    sample = cut(training_sample(docs.where(F.col("doc_id").isNotNull() & ~held_out()), SAMPLE_TEXTS + MARGIN_TEXTS))
+    words = training_words(sample.where(F.col("place") <= SAMPLE_TEXTS))
+    found = identify(sample.where(F.col("place") > SAMPLE_TEXTS), words, ["lang"], min_margin=0.0)
+    margin = least_margin([(r.score, r.lang == r.lang_pred) for r in found.where(F.col("lang_pred") != UNKNOWN).select("score", "lang", "lang_pred").collect()])
+    let_go(sample)
+    return words, margin
+
+
+def least_margin(told: list[tuple[float, bool]], share: float = WRONG_SHARE, least: float = MIN_MARGIN, most: float = MOST_MARGIN) -> float:
+    """The largest margin below which at least ``share`` of ``told(margin, right)`` are wrong, between ``least`` and ``most``."""
+    margin, wrong = least, 0
+    for n, (m, right) in enumerate(sorted(told), 1):
+        wrong += not right
+        if m > most:
+            break
+        if wrong >= share * n:
+            margin = max(margin, math.nextafter(m, 2.0))
+    return margin
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = identify(docs, learn(docs), ["doc_id"])
+    words, margin = learn(docs)
+    found = identify(docs, words, ["doc_id"], min_margin=margin)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "accepted")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language can't be told go; a missing ``lang`` isn't filled in."""
     named = plain_names(docs, "text")
-    found = identify(named, learn(docs), named.columns)
+    words, margin = learn(docs)
+    found = identify(named, words, named.columns, min_margin=margin)
     return found.where("accepted").select(*named.columns).toDF(*docs.columns)

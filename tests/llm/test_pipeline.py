@@ -58,10 +58,23 @@ def documents():
 
 
 @pytest.fixture(scope="module")
-def ranked(spark):
+def learned(spark):
     return langid.learn(spark.read.parquet(f"{SF}/documents.parquet"))
 
 
+@pytest.fixture(scope="module")
+def ranked(learned):
+    return learned[0]
+
+
+def test_margin_rejects_only_where_half_are_wrong(learned):
+    assert langid.MIN_MARGIN <= learned[1] <= langid.MOST_MARGIN
+    told = [(0.0, False), (0.002, True), (0.004, False), (0.006, False), (0.008, True), (0.01, True), (0.02, True), (0.9, False)]
+    assert langid.least_margin([]) == langid.MIN_MARGIN and langid.least_margin([(0.002, True)]) == langid.MIN_MARGIN
+    margin = langid.least_margin(told)
+    assert 0.01 < margin < 0.0101 and langid.least_margin([(0.2, False)] * 9) == langid.MIN_MARGIN
+
+
 def test_training_words_are_those_of_whole_texts(spark, documents, ranked):
     """Fewer texts than the sample holds: words by the number of distinct texts that have them."""
     import zlib
@@ -82,7 +95,7 @@ def test_prediction_is_that_of_plain_compressors(spark, documents, ranked):
         assert (r.lang_pred, r.accepted) == (lang, lang != "und" and margin >= langid.MIN_MARGIN) and abs(r.score - margin) < 1e-12
 
 
-def test_stages_against_plain_code(spark, documents, ranked):
+def test_stages_against_plain_code(spark, documents, ranked, learned):
     docs, held = spark.read.parquet(f"{SF}/documents.parquet"), documents
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "near_duplicates", "secret_scan", "mixing", "pieces"]
@@ -93,7 +106,7 @@ def test_stages_against_plain_code(spark, documents, ranked):
         return [r.asDict() for r in docs.collect()]
 
     identified = through("language_id")
-    accepted = [d for d in held if (found := plain_language(d["text"], ranked))[0] != "und" and found[1] >= langid.MIN_MARGIN]
+    accepted = [d for d in held if (found := plain_language(d["text"], ranked))[0] != "und" and found[1] >= learned[1]]
     assert sorted(identified, key=str) == sorted(accepted, key=str) and len(identified) > 0.9 * len(held)
 
     kept = through("near_duplicates")
