@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import cut, let_go, pieces, table, texts, tidy
+from inkwell.llm.common import cut, let_go, pieces, table, texts, tidy, unsigned_share
 from inkwell.llm.langid import held_out
 
 SAMPLE_TEXTS = 8000
@@ -163,10 +163,13 @@ def to_learn_from(labels: DataFrame) -> DataFrame:
 def sample(docs: DataFrame, given: DataFrame, most: int = SAMPLE_TEXTS) -> DataFrame:
     """``toxic, text``: at most ``most`` distinct texts of each label of ``given`` from ``docs(doc_id, text)``.
 
-    Ids are chosen by hash (no more than twice as many as texts are wanted) and broadcast, so that only those texts move.
+    Ids are chosen by hash (no more than twice as many as texts are wanted) and broadcast, so that only those texts move. They are
+    thinned by another hash before they are ranked, so that no task ranks all labels.
     """
+    counts = given.groupBy("toxic").agg(F.count("*").alias("n"))
+    thin = given.join(F.broadcast(counts), "toxic").where(unsigned_share(F.xxhash64("doc_id"), 29) < F.lit(8.0 * most) / F.col("n"))
     by_hash = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = given.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= 2 * most).select("doc_id", "toxic")
+    chosen = thin.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= 2 * most).select("doc_id", "toxic")
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     distinct = rows.groupBy(F.xxhash64("text").alias("key"), "toxic").agg(F.first("text").alias("text"))
     place = F.row_number().over(Window.partitionBy("toxic").orderBy("key"))
