@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -235,11 +235,12 @@ def co_presence(presence: DataFrame, scene: Sequence[str], agent: str = "agent")
 
 
 def theory_of_mind(
-    presence: DataFrame, scene_facts: DataFrame, facts: DataFrame, trust: DataFrame, scene: Sequence[str], agent: str = "agent", sensitive: Sequence[str] = params.SENSITIVE_CATEGORIES
+    presence: DataFrame, scene_facts: DataFrame, facts: DataFrame, trust: DataFrame | Callable[[Column, Column], Column], scene: Sequence[str], agent: str = "agent", sensitive: Sequence[str] = params.SENSITIVE_CATEGORIES
 ) -> DataFrame:
     """who, target, fact_id, verdict, first_at: what each agent takes the others of its scenes to know.
 
-    ``scene_facts``: scene, fact_id, at. ``trust(who, target, trust)``; a missing trust is 0.5. Facts of a
+    ``scene_facts``: scene, fact_id, at. ``trust(who, target, trust)``, or a function of both columns where trust follows from them;
+    a missing trust is 0.5. Facts of a
     sensitive category are uncertain below a trust of 0.4. Trust holds for the whole run, so a verdict is reached
     once, with the first shared scene.
 
@@ -250,11 +251,15 @@ def theory_of_mind(
     once = scene_facts.join(told, "fact_id").groupBy(*scene, "fact_id", "_sensitive").agg(F.min("at").alias("at"))
     arrays = once.groupBy(*scene).agg(F.collect_list(F.struct("fact_id", "_sensitive", "at")).alias("_facts"))
     pairs = co_presence(presence.join(arrays.select(*scene), list(scene), "left_semi"), scene, agent)
-    least, most, forward = F.least("who", "target"), F.greatest("who", "target"), F.col("who") < F.col("target")
-    low = F.col("trust") < params.SENSITIVE_TRUST
-    trusts = trust.groupBy(least.alias("a"), most.alias("b")).agg(F.max(F.when(forward, low)).alias("_low_ab"), F.max(F.when(~forward, low)).alias("_low_ba"))
     unknown = F.lit(params.DEFAULT_TRUST < params.SENSITIVE_TRUST)
-    held = pairs.join(trusts, ["a", "b"], "left").withColumns({c: F.coalesce(c, unknown) for c in ("_low_ab", "_low_ba")})
+    if callable(trust):
+        held = pairs.withColumns({f"_low_{x}{y}": trust(F.col(x), F.col(y)) < params.SENSITIVE_TRUST for x, y in ("ab", "ba")})
+    else:
+        least, most, forward = F.least("who", "target"), F.greatest("who", "target"), F.col("who") < F.col("target")
+        low = F.col("trust") < params.SENSITIVE_TRUST
+        trusts = trust.groupBy(least.alias("a"), most.alias("b")).agg(F.max(F.when(forward, low)).alias("_low_ab"), F.max(F.when(~forward, low)).alias("_low_ba"))
+        held = pairs.join(trusts, ["a", "b"], "left")
+    held = held.withColumns({c: F.coalesce(c, unknown) for c in ("_low_ab", "_low_ba")})
     met = held.join(arrays, list(scene)).select("a", "b", "_low_ab", "_low_ba", F.explode("_facts").alias("f"))
     shared = met.groupBy("a", "b", "_low_ab", "_low_ba", "f.fact_id", "f._sensitive").agg(F.min("f.at").alias("first_at"))
     ways = F.array(*[F.struct(F.col(x).alias("who"), F.col(y).alias("target"), F.when(F.col("_sensitive") & F.col(low_), "uncertain").otherwise("knows").alias("verdict")) for x, y, low_ in (("a", "b", "_low_ab"), ("b", "a", "_low_ba"))])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.functions import env
@@ -332,9 +332,11 @@ def _tom(spark: SparkSession, d: str) -> DataFrame:
     actions = _actions(spark, d)
     number = F.regexp_extract("brief", r'"k": (\d+)', 1).cast("long") % 20
     scene_facts = actions.where("value > 20").select("day", "location", number.alias("fact_id"), F.struct("day", "location").alias("at")).distinct()
-    kind = (F.col("who") + F.col("target")) % 3
-    pairs = cognition.co_presence(actions, ["day", "location"]).select(F.col("a").alias("who"), F.col("b").alias("target")).distinct()
-    trust = pairs.unionByName(pairs.select(F.col("target").alias("who"), F.col("who").alias("target"))).where(kind != 2).withColumn("trust", F.when(kind == 0, 0.2).otherwise(0.9))
+
+    def trust(who: Column, target: Column) -> Column:
+        kind = (who + target) % 3
+        return F.when(kind == 0, 0.2).when(kind == 1, 0.9)
+
     return cognition.theory_of_mind(actions, scene_facts, _facts(spark, d), trust, ["day", "location"], sensitive=("secret",))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkwell.operators import asof, lexicon, numbering, timeline
-from inkwell.plans import generate, specs
-from inkwell.plans.bindings import CLOSES, OPENS, ORACLE_SQL, SQL_EVENTS, SQL_LINES, _entries, _events, query, read
-from inkwell.sources import config, store, variants, vault_source
+from inkwell.plans import generate, prompts, specs
+from inkwell.plans.bindings import CLOSES, OPENS, ORACLE_SQL, SQL_EVENTS, SQL_LINES, SQL_SCENES, _entries, _events, _scenes, query, read
+from inkwell.sources import config, model_json, store, variants, vault_source
 from inkwell.sources.tables import shared_place
 from inkwell.streaming import knowledge
 
@@ -231,3 +231,33 @@ def paid_answers(spark, d):
 
 def _never(system: str, prompt: str) -> str:
     raise RuntimeError("asked again")
+
+
+@query("reflections", """SELECT o_custkey AS agent, CAST(o_custkey AS VARCHAR) || '_refl_4_' || CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS VARCHAR) AS id, o_orderkey, o_orderpriority AS content, 'reflection' AS type, 4 AS created_at_chapter,
+CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 10 ELSE 7 END AS INT) AS importance, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || ',reflection' ELSE 'reflection' END AS tags FROM orders QUALIFY o_orderkey % 5 > 0""")
+def reflections(spark, d):
+    """A reply for each customer with a reflection for each order, some without content, importance or tags."""
+    k = F.col("o_orderkey")
+    one = F.struct(F.when(k % 5 > 0, F.col("o_orderpriority")).otherwise("").alias("content"), F.when(k % 2 == 0, k % 10).alias("importance"), F.when(k % 3 == 0, F.array("o_orderstatus")).alias("tags"))
+    held = F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", one.alias("r")))), lambda r: r["r"])
+    orders = read(spark, d, "orders")
+    replies = orders.groupBy(F.col("o_custkey").alias("agent")).agg(F.concat(F.lit("Here: "), F.to_json(F.struct(held.alias("reflections")))).alias("reply"))
+    objects = replies.select("agent", model_json.reply_json("reply").alias("answer"))
+    found = generate.reflections(objects, F.lit(4))
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    of = orders.select(F.col("o_custkey").alias("agent"), F.concat(F.col("o_custkey").cast("string"), F.lit("_refl_4_"), place.cast("string")).alias("id"), "o_orderkey")
+    return found.join(of, ["agent", "id"]).withColumn("tags", F.array_join("tags", ","))
+
+
+@query("section_prompts", """SELECT o_orderkey, '场景：' || o_orderstatus || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '锚点：a' || chr(10) ELSE '' END || '内容：' || o_orderpriority
+|| CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || '张力：t' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN chr(10) || '重点：x' ELSE '' END || chr(10) || '约 ' || CAST(o_custkey AS VARCHAR) || ' 字' AS prompt FROM orders""")
+def section_prompts(spark, d):
+    k = F.col("o_orderkey")
+    sections = read(spark, d, "orders").select(k, F.col("o_orderstatus").alias("subject"), F.when(k % 2 == 0, "a").alias("scene_anchor"), F.col("o_orderpriority").alias("description"), F.when(k % 3 == 0, "t").otherwise("").alias("tension_direction"), F.when(k % 5 == 0, "expanded").otherwise("normal").alias("weight"), F.lit("x").alias("expanded_direction"), F.col("o_custkey").alias("length_hint"))
+    return prompts.section_prompts(sections).select("o_orderkey", "prompt")
+
+
+@query("spec_prompts", f"""WITH {SQL_SCENES} SELECT day % 5 AS chapter, string_agg('- 第' || CAST(day AS VARCHAR) || '天 @' || location || ' ' || concat_ws(' ', CASE WHEN n_events > 3 THEN '对手戏' END, CASE WHEN has_private THEN '隐藏信息' END), chr(10) ORDER BY day, first_time, location) AS prompt FROM sw GROUP BY 1""")
+def spec_prompts(spark, d):
+    held = _scenes(spark, d).withColumn("chapter", F.col("day") % 5).withColumn("interactive", F.col("n_events") > 3)
+    return prompts.spec_prompt(held)
