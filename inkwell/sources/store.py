@@ -10,6 +10,7 @@ import json
 import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,42 +57,79 @@ def tom_of(states: DataFrame) -> DataFrame:
     return pairs.select("who", "target", F.explode("v").alias("fact_id", "verdict"))
 
 
-def _pointer(folder: str) -> str:
-    return f"{folder}/current.txt"
+class Moved(RuntimeError):
+    """Another writer has saved a snapshot meanwhile."""
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def _listed(spark: SparkSession, pattern: str) -> list:
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return list(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place) or [])
+
+
+def version(spark: SparkSession, folder: str) -> int:
+    """The number of the last snapshot's pointer; 0 before the first."""
+    return max((int(f.getPath().getName()[len("current-") : -len(".txt")]) for f in _listed(spark, f"{folder}/current-*.txt")), default=0)
+
+
+def _pointer(folder: str, number: int) -> str:
+    return f"{folder}/current-{number:09d}.txt"
+
+
+def _write_text(spark: SparkSession, path: str, text: str, overwrite: bool = True) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, overwrite)
     out.write(bytearray(text.encode()))
     out.close()
 
 
-def save_snapshot(rows: DataFrame, folder: str, partition_by: Sequence[str] = (), keep: int = 2) -> str:
-    """Write ``rows`` as a new snapshot and point to it; the path is returned. The last ``keep`` snapshots stay, the new one among them."""
+def save_snapshot(rows: DataFrame, folder: str, partition_by: Sequence[str] = (), keep: int = 2, after: int | None = None) -> str:
+    """Write ``rows`` as a new snapshot and point to it; the path is returned. The last ``keep`` snapshots stay, the new one among them.
+
+    Pointers are numbered and a number is given out once: if another writer has saved after version ``after`` (default: the one at the start),
+    this snapshot goes again and ``Moved`` is raised, so that no update is lost.
+    """
     spark = rows.sparkSession
+    after = version(spark, folder) if after is None else after
     path = f"{folder}/snapshot-{uuid.uuid4().hex}"
     rows.write.partitionBy(*partition_by).parquet(path)
-    _write_text(spark, _pointer(folder), path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    held = [f for f in files.listStatus(place) if f.getPath().getName().startswith("snapshot-") and not path.endswith(f.getPath().getName())]
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        if version(spark, folder) != after:
+            raise Moved(folder)
+        _write_text(spark, _pointer(folder, after + 1), path, overwrite=False)
+    except (Moved, Py4JJavaError) as error:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+        if isinstance(error, Moved) or "FileAlreadyExists" in str(error):
+            raise Moved(folder) from error
+        raise
+    held = [f for f in _listed(spark, f"{folder}/snapshot-*") if not path.endswith(f.getPath().getName())]
     for old in sorted(held, key=lambda f: f.getModificationTime(), reverse=True)[keep - 1 :]:
         files.delete(old.getPath(), True)
+    for old in _listed(spark, f"{folder}/current-*.txt"):
+        if old.getPath().getName() <= f"current-{after + 1 - keep:09d}.txt":
+            files.delete(old.getPath(), False)
     return path
 
 
-def load_snapshot(spark: SparkSession, folder: str) -> DataFrame | None:
-    """What the last ``save_snapshot`` has written; None before the first."""
-    if not exists(spark, _pointer(folder)):
+def load_snapshot(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame | None:
+    """What the last ``save_snapshot`` (or that of ``number``) has written; None before the first."""
+    number = version(spark, folder) if number is None else number
+    if not number:
         return None
-    return spark.read.parquet(spark.read.text(_pointer(folder), wholetext=True).first().value)
-
-
-def upsert_snapshot(rows: DataFrame, folder: str, keys: Sequence[str], partition_by: Sequence[str] = ()) -> str:
-    """A snapshot of the old rows whose keys aren't in ``rows``, and of ``rows``."""
-    old = load_snapshot(rows.sparkSession, folder)
-    return save_snapshot(rows if old is None else old.join(rows, list(keys), "left_anti").unionByName(rows), folder, partition_by)
+    return spark.read.parquet(spark.read.text(_pointer(folder, number), wholetext=True).first().value)
+
+
+def upsert_snapshot(rows: DataFrame, folder: str, keys: Sequence[str], partition_by: Sequence[str] = (), tries: int = 3) -> str:
+    """A snapshot of the old rows whose keys aren't in ``rows``, and of ``rows``; made again if another writer was first."""
+    for left in reversed(range(tries)):
+        at = version(rows.sparkSession, folder)
+        old = load_snapshot(rows.sparkSession, folder, at)
+        try:
+            return save_snapshot(rows if old is None else old.join(rows, list(keys), "left_anti").unionByName(rows), folder, partition_by, after=at)
+        except Moved:
+            if not left:
+                raise
+    raise ValueError("tries must be 1 or more")
 
 
 def clear(spark: SparkSession, folder: str, agent: str | None = None) -> None:

@@ -311,3 +311,17 @@ def test_long_texts_are_not_cut_into_pieces(spark):
     assert rows(cognition.contained(texts, facts, "id", "text")) == sorted([*((k, 2) for k in range(20)), (99, 1)], key=repr)
     given_texts = cognition._prepared(texts, "id", "text")
     assert cognition._pieces(given_texts.where(F.length("norm") <= 40), "id", [], 40).count() == 2
+
+
+def test_no_update_is_lost_between_writers(spark, tmp_path):
+    folder, schema = str(tmp_path / "table"), "k int, v string"
+    store.save_snapshot(spark.createDataFrame([(1, "a"), (2, "a")], schema), folder)
+    at = store.version(spark, folder)
+    store.upsert_snapshot(spark.createDataFrame([(2, "first")], schema), folder, ["k"])
+    with pytest.raises(store.Moved):
+        store.save_snapshot(spark.createDataFrame([(9, "late")], schema), folder, after=at)
+    assert rows(store.load_snapshot(spark, folder)) == [(1, "a"), (2, "first")] and len([f for f in os.listdir(folder) if f.startswith("snapshot-")]) == 2
+    for k in range(3):
+        store.upsert_snapshot(spark.createDataFrame([(k, "more")], schema), folder, ["k"])
+    assert rows(store.load_snapshot(spark, folder)) == [(0, "more"), (1, "more"), (2, "more")] and store.version(spark, folder) == 5
+    assert len([f for f in os.listdir(folder) if f.startswith("current-")]) == 2
