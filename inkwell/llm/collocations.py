@@ -38,8 +38,8 @@ BREAK = b"\n"
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
 WORD_CELLS, MOST_CELLS, WORDS_A_CELL = 1 << 24, 1 << 29, 8
 RANGES = 1024
-#: Bytes of text of one language that are handled at once; words whose hashes a worker remembers.
-SLICE_BYTES, REMEMBERED = 4 << 20, 1 << 20
+#: Bytes of text of one language that are handled at once; words whose hashes a worker remembers, and how long they may be.
+SLICE_BYTES, REMEMBERED, KEPT_BYTES = 4 << 20, 1 << 20, 64
 GROUP_CHARS = 4 << 20
 BUCKETS, KEYS_A_ROW = 256, 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +53,9 @@ class Codes(dict):
         self.seed = xxhash.xxh64_intdigest(lang.encode())
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = code = max(2, xxhash.xxh64_intdigest(word, self.seed))
+        code = max(2, xxhash.xxh64_intdigest(word, self.seed))
+        if len(word) <= KEPT_BYTES:
+            self[word] = code
         return code
 
 

@@ -102,7 +102,7 @@ def words_of(text: str | None, lexicon: Lexicon | None = None) -> list[str]:
         if SIGNED.search(word):
             read = variants(word)
             found[k] = read[0] if lexicon is None else next((w for w in read if lexicon.knows(w)), read[0])
-        elif lexicon is not None and not word.isascii() and (plain := bare(word)) in lexicon.whole:
+        elif lexicon is not None and not word.isascii() and len(word) <= lexicon.longest and (plain := bare(word)) in lexicon.whole:
             found[k] = plain
     return found
 
@@ -113,6 +113,7 @@ class Lexicon:
     def __init__(self, entries: dict[str, float], exceptions: Iterable[str] = (), curve: tuple[float, float, float] | None = None):
         self.entries, self.exceptions, self.curve = entries, frozenset(exceptions), curve
         self.whole = {e[1:-1] for e in entries if e[-1] == " "}
+        self.longest = max(map(len, self.whole), default=0)
         self.found = ahocorasick.Automaton()
         for entry, weight in entries.items():
             self.found.add_word(entry, (len(entry), weight, entry))

@@ -224,3 +224,11 @@ def test_without_one_label_there_is_no_lexicon(spark, planted):
     docs, labels = planted
     lexicon = toxicity.learn(docs, labels.where("toxic = 0"))
     assert not lexicon.entries and lexicon.score("moron") == 0.0
+
+
+def test_very_long_words_are_not_remembered():
+    codes = collocations.Codes("en")
+    assert codes[b"x" * 1000] == codes[b"x" * 1000] != codes[b"y"] and len(codes) == 3
+    lexicon = toxicity.Lexicon({" idiot ": 2.0})
+    before = toxicity.bare.cache_info().currsize
+    assert toxicity.words_of("é" * 5000 + " ïdiot", lexicon)[1] == "idiot" and toxicity.bare.cache_info().currsize <= before + 1
