@@ -325,3 +325,19 @@ def test_no_update_is_lost_between_writers(spark, tmp_path):
         store.upsert_snapshot(spark.createDataFrame([(k, "more")], schema), folder, ["k"])
     assert rows(store.load_snapshot(spark, folder)) == [(0, "more"), (1, "more"), (2, "more")] and store.version(spark, folder) == 5
     assert len([f for f in os.listdir(folder) if f.startswith("current-")]) == 2
+
+
+def test_trust_may_be_a_function_of_both_agents(spark):
+    chance = random.Random(3)
+    presence = spark.createDataFrame([(chance.randrange(12), chance.randrange(6)) for _ in range(60)], "agent int, place int")
+    held = spark.createDataFrame([(p, f"f{k}", k) for p in range(6) for k in range(3)], "place int, fact_id string, at int")
+    facts = spark.createDataFrame([("f0", "secret"), ("f1", "open"), ("f2", "secret")], "fact_id string, category string")
+    pairs = [(a, b) for a in range(12) for b in range(12) if a != b]
+    by_table = spark.createDataFrame([(a, b, 0.2 if (a - b) % 3 == 1 else 0.9) for a, b in pairs if (a - b) % 3], "who int, target int, trust double")
+
+    def by_agents(who, target):
+        kind = F.pmod(who - target, F.lit(3))
+        return F.when(kind == 1, 0.2).when(kind == 2, 0.9)
+
+    a, b = (rows(cognition.theory_of_mind(presence, held, facts, t, ["place"], sensitive=("secret",))) for t in (by_table, by_agents))
+    assert a == b and {r[3] for r in a} == {"knows", "uncertain"}
