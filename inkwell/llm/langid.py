@@ -9,7 +9,7 @@ Where the best two sizes are close, smaller dictionaries are tried too and the s
 the text is led by the dictionary's own end, whose size is taken off again: zstandard stores a few words by
 themselves as they are, so that they weigh the same in every language. A text that stays within
 a margin of a second language is marked as rejected. The margin is learned on training texts that gave no words: the largest
-one below which at least half of the texts are told wrong.
+one, within narrow bounds, below which at least three in four texts are told wrong.
 
 Defined results: a null text or one without a letter is ``und`` with score 0 and rejected; equal sums
 go to the language that comes first by code point. Without any training row every text is ``und``.
@@ -38,9 +38,9 @@ LEAD = 300
 #: The fit reads at most so many distinct texts of each of the commonest languages, each of them whole: for the words, and then
 #: others for the margin.
 SAMPLE_TEXTS, MARGIN_TEXTS, MOST_LANGUAGES = 600, 300, 200
-#: The margin below which smaller dictionaries are tried; what rejection asks for at least and at most; and how many of the
-#: training texts that it rejects are wrong at least, so that texts whose language can be told stay.
-CLOSE, MIN_MARGIN, MOST_MARGIN, WRONG_SHARE = 0.05, 0.001, 0.05, 0.5
+#: The margin below which smaller dictionaries are tried; what rejection asks for at least and at most; and, so that texts whose
+#: language can be told stay, what share of the training texts that a larger margin than the least rejects is wrong, and of how many.
+CLOSE, MIN_MARGIN, MOST_MARGIN, WRONG_SHARE, WRONG_TEXTS = 0.05, 0.001, 0.005, 0.75, 5
 
 
 def words_of(text: str) -> list[str]:
@@ -187,14 +187,14 @@ def learn(docs: DataFrame) -> tuple[dict[str, list[str]], float]:
     return words, margin
 
 
-def least_margin(told: list[tuple[float, bool]], share: float = WRONG_SHARE, least: float = MIN_MARGIN, most: float = MOST_MARGIN) -> float:
-    """The largest margin below which at least ``share`` of ``told(margin, right)`` are wrong, between ``least`` and ``most``."""
+def least_margin(told: list[tuple[float, bool]], share: float = WRONG_SHARE, few: int = WRONG_TEXTS, least: float = MIN_MARGIN, most: float = MOST_MARGIN) -> float:
+    """The largest margin below which at least ``share`` of ``told(margin, right)``, and of ``few`` of them at least, are wrong, between ``least`` and ``most``."""
     margin, wrong = least, 0
     for n, (m, right) in enumerate(sorted(told), 1):
         wrong += not right
         if m > most:
             break
-        if wrong >= share * n:
+        if n >= few and wrong >= share * n:
             margin = max(margin, math.nextafter(m, 2.0))
     return margin
 
