@@ -124,7 +124,7 @@ def run_tick(actions: DataFrame, belief_updates: DataFrame, facts: DataFrame, kn
     scene_text = events.groupBy("day", "location").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "brief"))), lambda e: e["brief"]), " ").alias("text"))
     keyed = scene_text.withColumn("scene_id", F.concat_ws("@", F.col("day").cast("string"), "location"))
     hits = cognition.matched_facts(keyed, facts, "scene_id", "text", **stops).join(keyed, "scene_id").select("day", "location", "fact_id", F.struct("day", "location").alias("at"))
-    tom = cognition.theory_of_mind(actions, hits, facts, trust, ["day", "location"]).drop("first_at")
+    tom = cognition.theory_of_mind(actions, hits, facts, trust, ["day", "location"], first=False)
     agents = actions.select("agent").distinct()
     return Tick(
         events, found, scopes, merged, cognition.new_knowledge(merged, knowledge), tom, cognition.knowledge_gaps(agents, facts, merged),

@@ -341,3 +341,26 @@ def test_trust_may_be_a_function_of_both_agents(spark):
 
     a, b = (rows(cognition.theory_of_mind(presence, held, facts, t, ["place"], sensitive=("secret",))) for t in (by_table, by_agents))
     assert a == b and {r[3] for r in a} == {"knows", "uncertain"}
+
+
+def test_pairs_hold_bits_of_facts_and_tasks_follow_their_number(spark):
+    presence = spark.createDataFrame([(day, f"p{day % 3}", agent) for day in range(4) for agent in range(day, day + 5)], "day int, place string, agent long")
+    told = {(day, f"p{day % 3}"): [f for f in range(150) if f % (day + 2) == 0] for day in range(4)}
+    scene_facts = spark.createDataFrame([(*s, f, (s[0], s[1])) for s, fs in told.items() for f in fs], "day int, place string, fact_id int, at struct<day: int, place: string>")
+    facts = spark.createDataFrame([(f, "secret" if f % 5 == 0 else "world") for f in range(200)], "fact_id int, category string")
+    given = presence, scene_facts, facts, lambda who, target: F.when((who + target) % 2 == 0, 0.2), ["day", "place"], "agent", ("secret",)
+    first = {}
+    for s in sorted(told):
+        for a in range(s[0], s[0] + 5):
+            for b in range(s[0], s[0] + 5):
+                if a != b:
+                    for f in told[s]:
+                        first.setdefault((a, b, f), ("uncertain" if f % 5 == 0 and (a + b) % 2 == 0 else "knows", s))
+    tom = cognition.theory_of_mind(*given)
+    assert {(r.who, r.target, r.fact_id): (r.verdict, tuple(r.first_at)) for r in tom.collect()} == first and tom.count() == len(first)
+    assert rows(cognition.theory_of_mind(*given, first=False)) == rows(tom.drop("first_at"))
+    columns = ["who", "target", "n_knows", "n_uncertain", "n_not_knows"]
+    assert rows(cognition.theory_of_mind_counts(*given).select(columns)) == rows(cognition.tom_rollup(tom, facts).select(columns))
+    crowd = spark.createDataFrame([(1, "x", k) for k in range(2000)], "day int, place string, agent long")
+    assert cognition.pair_tasks(crowd, ["day", "place"]) == 20
+    assert cognition.co_presence(crowd, ["day", "place"]).rdd.getNumPartitions() == 20
