@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell import params
 from inkwell.functions.text import hashed_terms, normalised, strip, term_hash, typed_terms
-from inkwell.operators.automata import words_in
+from inkwell.operators.automata import scanned
 from inkwell.operators.joins import BLOCK_ROWS, BROADCAST_ROWS, if_small
 from inkwell.operators.numbering import numbered
 
@@ -99,24 +101,60 @@ def _pieces(prepared: DataFrame, key: str, hay_lengths: Sequence[int], longest:
     )
 
 
+#: What the stage's other rows are: a fact's whole text that stands in a text.
+FOUND = 3
+_OTHERS = re.compile("[^0-9A-Za-z一-鿿]+")
+_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _marks(text: str | None, found: Callable[[str], Iterable[str]], longest: int, whole: bool) -> Iterator[tuple[int, int, int | None, str]]:
+    """(role, at, n, piece) of a text: the facts it holds and, if ``whole``, what finds it inside facts of up to ``longest`` characters."""
+    if text is None:
+        return
+    norm = _OTHERS.sub("", text)
+    for word in found(norm):
+        yield FOUND, 0, None, word
+    if not whole:
+        return
+    if not norm and (bare := text.strip(_WHITE)):
+        yield BARE, 0, None, bare
+    elif 0 < len(norm) <= longest:
+        n = -(-len(norm) // PIECE)
+        for k in range(n):
+            at = min(k * PIECE, max(len(norm) - PIECE, 0))
+            yield NEEDLE, at, n, norm[at : at + PIECE]
+
+
 def contained(texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact_key: str = "fact_id", fact: str = "proposition") -> DataFrame:
     """Pairs of which one normalised text contains the other, or that are equal when stripped.
 
-    Facts in a text are found by an automaton of all facts, in one pass that makes a row for each find. Only texts no longer than the
+    Texts are read and normalised in one pass, which marks them. Facts in a text are found by an automaton of all facts.
+    Only texts no longer than the
     longest fact can lie inside one: such a text is covered by pieces of ``PIECE`` characters and found by an equi-join on them
     with the facts' pieces; it is there where all of its own follow each other, so neither text is needed again to check that.
-    The facts' pieces are broadcast if they are few; then texts stay where they are.
+    The facts' pieces are broadcast if they are few; then only marks leave the place where texts lie.
     """
     told = _prepared(facts, fact_key, fact)
     longest = told.agg(F.max(F.length("norm"))).first()[0] or 0
-    given = _prepared(texts, text_key, text)
-    inside = words_in(given, text_key, "norm", told, "norm").join(if_small(told.where(F.length("norm") > 0).select("norm", fact_key)), "norm").select(text_key, fact_key)
-    of_texts = _pieces(given.where(F.length("norm") <= longest), text_key, [], longest)
+    given = texts.select(text_key, F.col(text).cast("binary").alias("_text"))
+    kind = "role int, at int, n int, piece string"
+    fields = [pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+    def marked(values: list[bytes | None], found: Callable[[str], Iterable[str]], part: int) -> tuple[list[int], list[pa.Array]]:
+        rows, marks = [], []
+        for k, value in enumerate(values):
+            mine = list(_marks(None if value is None else value.decode("utf-8", "replace"), found, longest, part == 0))
+            rows += [k] * len(mine)
+            marks += mine
+        return rows, [pa.array([m[i] for m in marks], f) for i, f in enumerate(fields)]
+
+    of_texts = scanned(given, text_key, "_text", told, "norm", marked, kind)
     of_facts = _pieces(told, fact_key, range(1, PIECE + 1), 0, (NEEDLE, HAY, BARE)).select(fact_key, "role", F.col("at").alias("fact_at"), "piece")
-    met = of_texts.join(if_small(of_facts), ["role", "piece"])
+    whole = told.where(F.length("norm") > 0).select(fact_key, F.lit(FOUND).alias("role"), F.lit(0).alias("fact_at"), F.col("norm").alias("piece"))
+    met = of_texts.join(if_small(of_facts.unionByName(whole)), ["role", "piece"])
     # a piece's place in its needle is taken from its place in the hay
-    runs = met.groupBy(text_key, fact_key, (F.col("fact_at") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("seen"), F.max(F.coalesce("n", F.lit(1))).alias("wanted"))
-    return inside.unionByName(runs.where("seen = wanted").select(text_key, fact_key)).distinct()
+    runs = met.groupBy(text_key, fact_key, "role", (F.col("fact_at") - F.col("at")).alias("start")).agg(F.countDistinct("at").alias("seen"), F.max(F.coalesce("n", F.lit(1))).alias("wanted"))
+    return runs.where("seen = wanted").select(text_key, fact_key).distinct()
 
 
 def matched_facts(texts: DataFrame, facts: DataFrame, text_key: str, text: str, **stops) -> DataFrame:

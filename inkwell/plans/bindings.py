@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import env
 from inkwell.functions.text import strip, typed_terms
 from inkwell.operators import chapters, cognition, memory, scenes, style, timeline, world
-from inkwell.sources.tables import read_table, spread
+from inkwell.sources.tables import kept, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -241,8 +241,8 @@ known AS (SELECT DISTINCT source, item_id FROM hit)"""
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    return cognition.contained(docs.select("doc_id", "text"), _facts(spark, d), "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
+    docs = read(spark, d, "documents").select(F.struct("doc_id", "source").alias("doc"), "text")
+    return cognition.contained(docs, _facts(spark, d), "doc", "text").select("doc.doc_id", "fact_id", "doc.source")
 
 
 def _knowledge(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +265,7 @@ t AS (SELECT source, count(*) FILTER (item_id % 4 <> 0) AS n_known, count(*) FIL
 SELECT source AS agent, coalesce(n_known, 0) AS n_known, coalesce(n_wrong, 0) AS n_wrong, (SELECT count(*) FROM benchmark) - coalesce(n_known, 0) - coalesce(n_wrong, 0) AS n_gaps FROM a LEFT JOIN t USING (source)""")
 def knowledge_snapshot(spark, d):
     agents = read(spark, d, "documents").select(F.col("source").alias("agent")).distinct()
-    facts, held = _facts(spark, d), _knowledge(spark, d)
+    facts, held = _facts(spark, d), kept(_knowledge(spark, d))
     known = held.join(facts.where("truth").select("fact_id"), "fact_id")
     wrong = held.join(facts.where("not truth").select("fact_id"), "fact_id")
     gaps = cognition.knowledge_gaps(agents, facts, known, wrong)
@@ -289,7 +289,7 @@ def type_b_first(spark, d):
 @query("type_a_diff", f"""WITH {KNOWN_SQL}, earlier AS (SELECT DISTINCT source, item_id FROM hit WHERE doc_id < (SELECT avg(doc_id) FROM documents))
 SELECT source AS agent, item_id AS fact_id FROM known WHERE (source, item_id) NOT IN (SELECT (source, item_id) FROM earlier) AND source IN (SELECT source FROM earlier)""")
 def type_a_diff(spark, d):
-    hits = _hits(spark, d).select(F.col("source").alias("agent"), "fact_id", "doc_id")
+    hits = kept(_hits(spark, d).select(F.col("source").alias("agent"), "fact_id", "doc_id"))
     middle = read(spark, d, "documents").agg(F.avg("doc_id").alias("middle"))
     before = hits.join(F.broadcast(middle)).where(F.col("doc_id") < F.col("middle")).select("agent", "fact_id").distinct()
     return cognition.newly_confirmed(hits.select("agent", "fact_id").distinct(), before, _facts(spark, d))

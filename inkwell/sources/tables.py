@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +25,13 @@ def spread(df: DataFrame, most: int = SMALL_BYTES) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= most else df
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` as rows below ``shared_place``: what is used more than once is found once."""
+    path = f"{shared_place(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _own_folder: str | None = None
 
 

@@ -364,3 +364,22 @@ def test_pairs_hold_bits_of_facts_and_tasks_follow_their_number(spark):
     crowd = spark.createDataFrame([(1, "x", k) for k in range(2000)], "day int, place string, agent long")
     assert cognition.pair_tasks(crowd, ["day", "place"]) == 20
     assert cognition.co_presence(crowd, ["day", "place"]).rdd.getNumPartitions() == 20
+
+
+def test_texts_are_normalised_and_marked_in_one_pass(spark):
+    texts = [(1, "He said: a-b c, d!"), (2, "b.c"), (3, " 　**\n"), (4, None), (5, ""), (6, "B.C"), (7, "longer than any of the facts, b.c not")]
+    facts = spark.createDataFrame([(10, "a b c d"), (11, "**"), (12, "...")], "fact_id int, proposition string")
+    given = spark.createDataFrame([((k, f"s{k}"), t) for k, t in texts], "doc struct<id: int, source: string>, text string")
+    found = cognition.contained(given, facts, "doc", "text")
+    assert sorted((r.doc.id, r.doc.source, r.fact_id) for r in found.collect()) == [(1, "s1", 10), (2, "s2", 10), (3, "s3", 11)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_row_finds_its_range_by_halving(spark, monkeypatch):
+    chance = random.Random(5)
+    pairs = [(chance.choice([None, *range(40)]), k) for k in range(3000)]
+    df = spark.createDataFrame(pairs, "v int, k int")
+    found = numbering.numbered(df, ["v", "k"], range_rows=50)
+    assert [r.k for r in found.orderBy("number").collect()] == [k for _, k in sorted(pairs, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))]
+    assert sorted(r.number for r in found.collect()) == list(range(1, 3001))
+    assert "filter(" not in found._jdf.queryExecution().optimizedPlan().toString()
