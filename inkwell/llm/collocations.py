@@ -11,7 +11,8 @@ The corpus is read four times, always whole texts and in slices of bounded size:
 
 Thresholds and scores use the exact counts alone. Cells are dealt to tasks by ranges and grow with the corpus up to
 ``MOST_CELLS`` (a bit of each is broadcast); beyond that the bounds get looser and candidates more, but no phrase is
-lost. Candidates are dealt by hash into automata of ``GROUP_CHARS`` characters; each scans the corpus by itself.
+lost. Candidates are dealt by a hash of their first two words into automata of about ``GROUP_CHARS`` characters, so that those that begin
+alike share their nodes; each automaton scans the corpus by itself.
 
 Defined results: a null text is empty, a null language is ``und`` (and counts with documents of that name); repeated
 rows count as often as they are there. An empty table gives no rows. Other columns don't matter.
@@ -27,7 +28,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import cut, let_go, pieces, table, texts, tidy, utf8
@@ -40,7 +41,7 @@ WORD_CELLS, MOST_CELLS, WORDS_A_CELL = 1 << 24, 1 << 29, 8
 RANGES = 1024
 #: Bytes of text of one language that are handled at once; words whose hashes a worker remembers, and how long they may be.
 SLICE_BYTES, REMEMBERED, KEPT_BYTES = 4 << 20, 1 << 20, 64
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 16 << 20
 BUCKETS, KEYS_A_ROW = 256, 4096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -343,6 +344,11 @@ def matches(docs: DataFrame, keys: list[str], min_count: int) -> DataFrame:
     return dealt.mapInArrow(summed, "lang string, phrase string, f long")
 
 
+def _group(groups: int) -> Column:
+    """Which of ``groups`` automata a ``phrase`` belongs to: that of all phrases with its first two words."""
+    return F.pmod(F.xxhash64(F.substring_index("phrase", " ", 2)), F.lit(groups))
+
+
 def counted(docs: DataFrame, candidates: DataFrame, min_count: int, group_chars: int = GROUP_CHARS) -> DataFrame:
     """``lang, phrase, f``: exact counts of at least ``min_count`` of the candidates and of their single words."""
     words = candidates.select(F.explode(F.split("phrase", " ")).alias("phrase"))
@@ -351,7 +357,7 @@ def counted(docs: DataFrame, candidates: DataFrame, min_count: int, group_chars:
     groups = max(1, -(-size // group_chars))
     every = docs.sparkSession.createDataFrame([], "lang string, phrase string, f long")
     for k in range(groups):
-        own = keys.where(F.pmod(F.xxhash64("phrase"), F.lit(groups)) == k)
+        own = keys.where(_group(groups) == k)
         if chosen := [r.phrase for r in own.collect()]:
             every = every.unionByName(matches(docs, sorted(chosen), min_count))
     kept = cut(every)

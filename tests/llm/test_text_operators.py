@@ -232,3 +232,12 @@ def test_very_long_words_are_not_remembered():
     lexicon = toxicity.Lexicon({" idiot ": 2.0})
     before = toxicity.bare.cache_info().currsize
     assert toxicity.words_of("é" * 5000 + " ïdiot", lexicon)[1] == "idiot" and toxicity.bare.cache_info().currsize <= before + 1
+
+
+def test_phrases_that_begin_alike_share_an_automaton(spark):
+    given = [f"w{a} w{b}{tail}" for a in range(20) for b in range(20) for tail in ("", " x", " x y", " x y z")]
+    groups = spark.createDataFrame([(p,) for p in given], "phrase string").select("phrase", collocations._group(7).alias("k")).collect()
+    held = {}
+    for r in groups:
+        held.setdefault(" ".join(r.phrase.split()[:2]), set()).add(r.k)
+    assert all(len(k) == 1 for k in held.values()) and len({r.k for r in groups}) == 7
