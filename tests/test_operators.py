@@ -252,3 +252,12 @@ def test_deciding_entries_keep_the_merge(spark):
     few = cognition.deciding_entries(df)
     assert few.count() <= 4 and few.columns == df.columns
     assert sorted(cognition.merged_knowledge(few).collect()) == sorted(cognition.merged_knowledge(df).collect())
+
+
+def test_tasks_follow_the_pairs_of_agents_and_traces(spark, monkeypatch):
+    agents = spark.createDataFrame([(k, "x" if k % 2 else "y", 1, "s1", None) for k in range(20)], "agent int, location string, mutation_phase int, perception_stage string, relationships map<string,struct<type:string,trust:double>>")
+    traces = spark.createDataFrame([(k, ["x"] if k % 3 else [], 0, None, None, 0.0) for k in range(6)], "trace_id int, locations array<string>, min_mutation_phase int, min_perception_stage string, requires_relationship_with string, min_trust double")
+    monkeypatch.setattr(world, "PAIRS_A_TASK", 10)
+    found = world.perceived(agents, traces, ("s1",))
+    assert "Repartition 12" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.agent, r.trace_id) for r in found.collect()} == {(a, t) for a in range(20) for t in range(6) if t % 3 == 0 or a % 2}
