@@ -14,14 +14,15 @@ repeated rows give repeated result rows; null doc_ids never name a component unl
 The pipeline's stage asks for more than these fingerprints tell: all pairs of documents whose sets of
 five-word shingles have a Jaccard similarity of ``NEAR`` or more. At 0.8 a SimHash differs in 10 of 64 bits
 on average, and blocks of bits that find pairs up to 15 bits apart hold 4 bits or less, which shard nothing.
-The stage takes its candidates from ``BANDS`` bands of ``ROWS`` min-hashes instead (a pair at 0.8 shares none
-of them in 4 of 10,000 cases, a closer pair less often) and checks each by its exact similarity.
+So the stage links fingerprints of five-word shingles by the same BK-trees, adds the pairs that share one of ``BANDS``
+bands of ``ROWS`` min-hashes (a pair at 0.8 shares none of them in 4 of 10,000 cases, a closer pair less often), and
+checks what either finds by its exact similarity.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +44,28 @@ _XORS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * R
 
 def fingerprint(text: bytes | None, size: int = 3) -> int:
     """Unsigned SimHash of the shingles of ``size`` words of UTF-8 ``text``, A-Z lower-cased."""
+    return majority(shingle_hashes(text, size))
+
+
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """Hashes of the shingles of ``size`` words in order, repeats included, A-Z lower-cased; a shorter text is one shingle."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) < size:
-        return digest(b" ".join(words), SEED)
-    total, held = len(words) - size + 1, np.zeros(64, np.int64)
-    for start in range(0, total, 1 << 16):
-        part = words[start : start + (1 << 16) + size - 1]
-        shingles = map(b" ".join, zip(*(part[k:] for k in range(size))))
-        hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(part) - size + 1)
-        held += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * held > total, bitorder="little").view(np.uint64)[0])
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    shingles = map(b" ".join, zip(*(islice(words, k, None) for k in range(size))))
+    return np.fromiter((digest(s, SEED) for s in shingles), np.uint64, len(words) - size + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    held = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 16):
+        part = hashes[start : start + (1 << 16)]
+        held += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * held > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -259,14 +269,8 @@ def _named(marked: DataFrame, distinct: DataFrame, tree: DataFrame) -> DataFrame
 
 
 def shingle_set(text: bytes | None, size: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of ``size`` words, A-Z lower-cased; a shorter text is one shingle."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < size:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64)
-    shingles = map(b" ".join, zip(*(words[k:] for k in range(size))))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(words) - size + 1))
+    """Sorted hashes of the distinct shingles of ``size`` words."""
+    return np.unique(shingle_hashes(text, size))
 
 
 def band_keys(held: np.ndarray) -> np.ndarray:
@@ -287,7 +291,7 @@ def _set_name(held: np.ndarray) -> int:
 class NearSets:
     """Components of shingle sets linked by a similarity of ``NEAR``. Sets come by rising size.
 
-    A set meets those that share a band with it and aren't in its component yet. Sets too small for the
+    A set meets those that share a key with it (a band, or the component of its fingerprint) and aren't in its component yet. Sets too small for the
     newest one to link to are let go.
     """
 
@@ -295,7 +299,7 @@ class NearSets:
         self.parent: list[int] = []
         self.sets: list[np.ndarray | None] = []
         self.low = 0
-        self.bands: dict[int, dict[int, list[int]]] = {}  # key -> root -> members
+        self.bands: dict[object, dict[int, list[int]]] = {}  # key -> root -> members
 
     def root(self, k: int) -> int:
         while self.parent[k] != k:
@@ -303,7 +307,7 @@ class NearSets:
             k = self.parent[k]
         return k
 
-    def add(self, keys: list[int], held: np.ndarray) -> None:
+    def add(self, keys: list, held: np.ndarray) -> None:
         new, n = len(self.parent), len(held)
         self.parent.append(new)
         self.sets.append(held)
@@ -334,7 +338,7 @@ class NearSets:
 
 @tidy
 def _near_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b) that connect the components inside each run of equal ``part``; rows (part, n, fp, held) come sorted."""
+    """(a, b) that connect the components inside each run of equal ``part``; rows (part, n, fp, tree, held) come sorted."""
     now, names, sets = None, [], NearSets()
 
     def tree() -> pa.RecordBatch:
@@ -342,7 +346,7 @@ def _near_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     for batch in batches:
-        for part, fp, held in zip(batch.column("part").to_pylist(), batch.column("fp").to_pylist(), batch.column("held")):
+        for part, fp, root, held in zip(*(batch.column(c).to_pylist() for c in ("part", "fp", "tree")), batch.column("held")):
             if part != now:
                 yield tree()
                 now, names, sets = part, [], NearSets()
@@ -350,7 +354,7 @@ def _near_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             one = np.frombuffer(held.as_py(), np.uint64)
             names.append(fp)
-            sets.add(band_keys(one).tolist(), one)
+            sets.add([*band_keys(one).tolist(), *([] if root is None else [("tree", root)])], one)
     yield tree()
 
 
@@ -374,10 +378,10 @@ def _dealt(parts: DataFrame, size: int = SLICE) -> DataFrame:
 
 
 def _checked(grouped: DataFrame, keyed: DataFrame, size: int = SLICE) -> DataFrame:
-    """part, fp: where sets are checked against each other, from ``grouped(group, fp)`` and the bands ``keyed(key, fp)``.
+    """part, fp: where sets are checked against each other, from ``grouped(group, fp)`` and the keys ``keyed(key, fp)``.
 
-    A group of up to ``size`` sets is one part. A larger one, which may hang together by chains only, is checked band key
-    by band key, so that a set is written once for each of its bands at most; or, where that is less (its sets share
+    A group of up to ``size`` sets is one part. A larger one, which may hang together by chains only, is checked key
+    by key, so that a set is written once for each of its keys at most; or, where that is less (its sets share
     large buckets), by slices of the whole group.
     """
     sizes = grouped.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > size)
@@ -391,39 +395,62 @@ def _checked(grouped: DataFrame, keyed: DataFrame, size: int = SLICE) -> DataFra
     return _dealt(whole.select("group", "fp").unionByName(by_key.join(shared, "group", "left_semi")), size)
 
 
+def _treed(sets: DataFrame) -> DataFrame:
+    """``sets(simhash, ...)`` with ``tree``, what the SimHashes that BK-trees link to this one have in common.
+
+    It is null where it would tell no new pair: for a set that is linked to none, and where all that are linked share a band.
+    """
+    of = sets.where(F.col("least_doc").isNotNull() & (F.size("bands") > 0)).groupBy(F.col("simhash").alias("fp")).agg(F.count("*").alias("n"))
+    of = cut(of)
+    linked = components(links(of.select("fp")))
+    linked = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    shared = of.join(linked, of.fp == linked.node, "left").where("n > 1 OR root IS NOT NULL").select(F.col("fp").alias("simhash"), F.coalesce("root", "fp").alias("tree"))
+    members = cut(sets.join(shared, "simhash").select("fp", "tree", "bands"))
+    alike = members.select("tree", F.explode("bands").alias("key")).groupBy("tree", "key").agg(F.count("*").alias("n")).groupBy("tree").agg(F.max("n").alias("most"))
+    apart = members.groupBy("tree").agg(F.count("*").alias("n")).join(alike, "tree").where("most < n")
+    return sets.drop("simhash").join(members.join(apart, "tree", "left_semi").select("fp", "tree"), "fp", "left")
+
+
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fp (a hash of the shingle set) and component_id of each row of ``docs(doc_id, text)``: components of the
-    pairs with a five-word Jaccard similarity of ``NEAR`` or more that share a band (at exactly ``NEAR`` up to 4 pairs in
-    10,000 share none). Rows without doc_id link only to equal sets. Different texts may go by one doc_id."""
+    pairs with a five-word Jaccard similarity of ``NEAR`` or more whose SimHashes the BK-trees link or that share a band (at exactly
+    ``NEAR`` up to 4 pairs in 10,000 share none). A shingle set's SimHash is that of the text which its least doc_id goes by. Rows without doc_id link only to equal sets. Different texts may go by one doc_id."""
     id_type = docs.select("doc_id").schema
 
     @tidy
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            sets = [shingle_set(t) for t in utf8(batch, "text")]
-            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "fp", "bands"])
+            hashes = [shingle_hashes(t, WORDS) for t in utf8(batch, "text")]
+            sets = [np.unique(h) for h in hashes]
+            columns = [pa.array([_set_name(s) for s in sets], pa.int64()), pa.array([_signed(majority(h)) for h in hashes], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "text_key", "fp", "simhash", "bands"])
 
     @tidy
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(parts, n, fp, held) of rows (parts, fp, text)."""
+        """(parts, n, fp, tree, held) of rows (parts, fp, tree, text)."""
         for batch in pieces(batches, "text"):
-            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), map(shingle_set, utf8(batch, "text")))
-            fit = [(parts, len(held), fp, held.tobytes()) for parts, fp, held in rows]
-            kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in fit], kind) for k, kind in enumerate(kinds)], names=["parts", "n", "fp", "held"])
+            rows = zip(*(batch.column(k).to_pylist() for k in range(3)), map(shingle_set, utf8(batch, "text")))
+            fit = [(parts, len(held), fp, root, held.tobytes()) for parts, fp, root, held in rows]
+            kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in fit], kind) for k, kind in enumerate(kinds)], names=["parts", "n", "fp", "tree", "held"])
 
     given = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    marked = cut(given.mapInArrow(mark, id_type.add("text_key", "long").add("fp", "long").add("bands", T.ArrayType(T.LongType()))))
-    distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), F.min_by("text_key", "doc_id").alias("least_key"), F.first("bands").alias("bands")))
-    keyed = distinct.where(F.col("least_doc").isNotNull()).select(F.explode("bands").alias("key"), "fp")
+    marked = cut(given.mapInArrow(mark, id_type.add("text_key", "long").add("fp", "long").add("simhash", "long").add("bands", T.ArrayType(T.LongType()))))
+    told = F.struct("text_key", "simhash")
+    least_told = F.min_by(told, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key")))
+    sets = marked.groupBy("fp").agg(F.min("doc_id").alias("least_doc"), least_told.alias("told"), F.first("bands").alias("bands"))
+    sets = cut(sets.select("fp", "least_doc", F.col("told.text_key").alias("least_key"), F.col("told.simhash").alias("simhash"), "bands"))
+    distinct = cut(_treed(sets))
+    let_go(sets)
+    named = distinct.where(F.col("least_doc").isNotNull())
+    keyed = named.select(F.explode("bands").alias("key"), "fp").unionByName(named.where("tree IS NOT NULL").select(F.xxhash64(F.lit("tree"), "tree").alias("key"), "fp"))
     least = keyed.groupBy("key").agg(F.min("fp").alias("first"), F.count("*").alias("n")).where("n > 1")
     candidates = components(keyed.join(least, "key").select(F.col("fp").alias("a"), F.col("first").alias("b")))
     grouped = candidates.unionByName(candidates.select(F.col("root").alias("node"), "root").distinct()).select(F.col("root").alias("group"), F.col("node").alias("fp"))
-    asked = distinct.select("fp", "least_doc", "least_key").join(_checked(grouped, keyed, SLICE).groupBy("fp").agg(F.collect_set("part").alias("parts")), "fp")
-    texts_of = given.join(asked, (F.col("doc_id") == F.col("least_doc")) & (F.col("text_key") == F.col("least_key"))).select("parts", "fp", "text")
-    held = texts_of.mapInArrow(sets_of, "parts array<long>, n long, fp long, held binary").withColumn("part", F.explode("parts"))
-    dealt = held.select("part", "n", "fp", "held").repartition("part").sortWithinPartitions("part", "n", "fp")
+    asked = distinct.select("fp", "tree", "least_doc", "least_key").join(_checked(grouped, keyed, SLICE).groupBy("fp").agg(F.collect_set("part").alias("parts")), "fp")
+    texts_of = given.join(asked, (F.col("doc_id") == F.col("least_doc")) & (F.col("text_key") == F.col("least_key"))).select("parts", "fp", "tree", "text")
+    held = texts_of.mapInArrow(sets_of, "parts array<long>, n long, fp long, tree long, held binary").withColumn("part", F.explode("parts"))
+    dealt = held.select("part", "n", "fp", "tree", "held").repartition("part").sortWithinPartitions("part", "n", "fp")
     tree = components(dealt.mapInArrow(_near_trees, "a long, b long"))
     return _named(marked, distinct.select("fp", "least_doc"), tree)
 

@@ -377,6 +377,16 @@ def test_different_texts_under_one_doc_id(spark):
     assert len(found) == 801 and {(r.component_id) for r in found} == {7, 8}
 
 
+def test_near_copies_that_only_their_simhashes_link(spark):
+    """Two texts at 0.8 that share no band, beside one with the same SimHash that isn't near: the BK-trees' links are candidates, the check decides."""
+    many = "a " * 100
+    texts = {3: many + " ".join(f"w392x{k}" for k in range(7)), 4: many + " ".join(f"w392x{k}" for k in range(9)), 5: many + " ".join(f"v{k}" for k in range(12))}
+    sets = {i: simhash.shingle_set(t.encode()) for i, t in texts.items()}
+    assert not set(simhash.band_keys(sets[3])) & set(simhash.band_keys(sets[4])) and len({simhash.fingerprint(t.encode(), 5) for t in texts.values()}) == 1
+    found = simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {3: 3, 4: 3, 5: 5}
+
+
 def test_chains_are_checked_by_bands(spark, monkeypatch):
     """A chain of texts, each near the next alone: components as they are, and each text in as many parts as it has bands at most."""
     monkeypatch.setattr(simhash, "SLICE", 20)
