@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from inkwell.functions.text import hashed_terms, normalised, strip, term_hash, t
 from inkwell.operators.automata import scanned
 from inkwell.operators.joins import BLOCK_ROWS, BROADCAST_ROWS, if_small
 from inkwell.operators.numbering import numbered
+from inkwell.operators.terms import WHITE, Held, scores
 
 
 #: A fact of up to so many terms is touched by any one of them, whatever its kind.
@@ -25,7 +27,7 @@ def exploded_terms(rows: DataFrame, key: str, text: str, stop_words: Sequence[st
 
 
 def posted_terms(facts: DataFrame, fact_key: str, fact: str, **stops) -> DataFrame:
-    """h, kind, fact_key, brief: where a text's term, by its hash, finds facts.
+    """kind, term, fact_key, brief: where a text's term finds facts.
 
     Facts of more than ``BRIEF_FACT`` terms are found by their own kind of term, and never by bigrams, which
     don't count for them; brief ones by any kind.
@@ -33,25 +35,70 @@ def posted_terms(facts: DataFrame, fact_key: str, fact: str, **stops) -> DataFra
     held = exploded_terms(facts, fact_key, fact, **stops)
     sizes = held.groupBy(fact_key).agg((F.countDistinct("term") <= BRIEF_FACT).alias("brief"))
     kinds = F.when(F.col("brief"), F.array(F.lit("s"), F.lit("b"), F.lit("t"))).when(F.col("kind") != "b", F.array("kind"))
-    return held.join(sizes, fact_key).select(F.explode(kinds).alias("kind"), "term", fact_key, "brief").distinct().select(term_hash(F.col("kind"), F.col("term")).alias("h"), "kind", fact_key, "brief")
+    return held.join(sizes, fact_key).select(F.explode(kinds).alias("kind"), "term", fact_key, "brief").distinct()
 
 
 def term_scores(texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact_key: str = "fact_id", fact: str = "proposition", **stops) -> DataFrame:
     """text_key, fact_key, score of the pairs that share enough terms.
 
     Facts of up to three terms count 10 for any shared term; others 2 plus the shared short terms, or the
-    shared trigrams if there are two at least. An equi-join on the hash of (kind, term) finds the pairs: no text
-    meets a fact with which it shares nothing. The facts' terms are broadcast if they are few; then texts, and their
-    terms, stay where they are and only counts are shuffled.
+    shared trigrams if there are two at least. Few facts' terms are held by the workers, and a text's terms are looked up where
+    it lies (``terms``); many are found by an equi-join on the hash of (kind, term), which shuffles.
     """
     posted = posted_terms(facts, fact_key, fact, **stops)
+    held = Held.of(posted, fact_key, **stops)
+    if held is None:
+        return _joined_scores(texts, posted, text_key, text, fact_key, **stops)
+    single, repeated = _by_repeats(texts, text_key)
+    found = held.touched(single, text_key, text, facts.schema[fact_key], "score long", _all_scores)
+    return found if repeated is None else found.unionByName(_summed_scores(held, repeated, facts, text_key, text, fact_key))
+
+
+def _joined_scores(texts: DataFrame, posted: DataFrame, text_key: str, text: str, fact_key: str, **stops) -> DataFrame:
     kinds = "sbt" if posted.where("kind = 'b'").limit(1).count() else "st"
-    shared = texts.select(text_key, F.explode(hashed_terms(F.col(text), **stops, kinds=kinds)).alias("h")).join(if_small(posted), "h")
+    hashed = posted.select(term_hash(F.col("kind"), F.col("term")).alias("h"), "kind", fact_key, "brief")
+    shared = texts.select(text_key, F.explode(hashed_terms(F.col(text), **stops, kinds=kinds)).alias("h")).join(if_small(hashed), "h")
     counts = shared.groupBy(text_key, fact_key).agg(F.max("brief").alias("brief"), F.count_if(F.col("kind") == "s").alias("shorts"), F.count_if(F.col("kind") == "t").alias("trigrams"))
+    return _scored(counts, text_key, fact_key)
+
+
+def _scored(counts: DataFrame, text_key: str, fact_key: str) -> DataFrame:
     score = F.when(F.col("brief"), 10).when(F.col("shorts") > 0, F.col("shorts") + 2).when(F.col("trigrams") >= 2, F.col("trigrams"))
     return counts.withColumn("score", score.cast("long")).where("score is not null").select(text_key, fact_key, "score")
 
 
+def _all_scores(counts: np.ndarray, brief: np.ndarray) -> tuple[np.ndarray, ...]:
+    score = scores(counts, brief)
+    at = np.flatnonzero(score)
+    return at, score[at]
+
+
+def _all_counts(counts: np.ndarray, brief: np.ndarray) -> tuple[np.ndarray, ...]:
+    at = np.flatnonzero(counts.any(axis=1))
+    return at, brief[at], counts[at, 0], counts[at, 1]
+
+
+def _by_repeats(texts: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose key no other row has, and the others (None if there are none): their terms count together."""
+    repeated = texts.groupBy(F.col(key).alias("_repeated")).agg(F.count("*").alias("_n")).where("_n > 1").select("_repeated")
+    if repeated.isEmpty():
+        return texts, None
+    repeated, same = if_small(repeated), texts[key].eqNullSafe(F.col("_repeated"))
+    return texts.join(repeated, same, "left_anti"), texts.join(repeated, same, "left_semi")
+
+
+def _summed_scores(held: Held, texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact_key: str) -> DataFrame:
+    counts = held.touched(texts, text_key, text, facts.schema[fact_key], "brief boolean, shorts long, trigrams long", _all_counts)
+    summed = counts.groupBy(text_key, fact_key).agg(F.max("brief").alias("brief"), F.sum("shorts").alias("shorts"), F.sum("trigrams").alias("trigrams"))
+    return _scored(summed, text_key, fact_key)
+
+
+def _in_order(held: Held, facts: DataFrame) -> np.ndarray | None:
+    """The held numbers of the facts' rows in table order; None if these are too many."""
+    rows = facts.select("fact_id", "ord").limit(BROADCAST_ROWS + 1).orderBy("ord").select("fact_id").toArrow().column(0).to_pylist()
+    return np.array([held.numbers[k] for k in rows if k in held.numbers], np.int64) if len(rows) <= BROADCAST_ROWS else None
+
+
 #: Characters of a piece of text by which containment is found; characters of a text that are cut into pieces at once.
 PIECE, STRETCH = 12, 1 << 16
 #: What a row of pieces stands for, for texts; facts take the other part.
@@ -104,7 +151,6 @@ def _pieces(prepared: DataFrame, key: str, hay_lengths: Sequence[int], longest:
 #: What the stage's other rows are: a fact's whole text that stands in a text.
 FOUND = 3
 _OTHERS = re.compile("[^0-9A-Za-z一-鿿]+")
-_WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _marks(text: str | None, found: Callable[[str], Iterable[str]], longest: int, whole: bool) -> Iterator[tuple[int, int, int | None, str]]:
@@ -116,7 +162,7 @@ def _marks(text: str | None, found: Callable[[str], Iterable[str]], longest: int
         yield FOUND, 0, None, word
     if not whole:
         return
-    if not norm and (bare := text.strip(_WHITE)):
+    if not norm and (bare := text.strip(WHITE)):
         yield BARE, 0, None, bare
     elif 0 < len(norm) <= longest:
         n = -(-len(norm) // PIECE)
@@ -158,15 +204,52 @@ def contained(texts: DataFrame, facts: DataFrame, text_key: str, text: str, fact
 
 
 def matched_facts(texts: DataFrame, facts: DataFrame, text_key: str, text: str, **stops) -> DataFrame:
-    """text_key, fact_id, score, place: facts that a text touches, the strongest first, then in table order."""
-    found = term_scores(texts, facts, text_key, text, **stops).join(facts.select("fact_id", "ord"), "fact_id")
-    return found.withColumn("place", F.row_number().over(Window.partitionBy(text_key).orderBy(F.desc("score"), "ord"))).drop("ord")
+    """fact_id, text_key, score, place: facts that a text touches, the strongest first, then in table order.
+
+    Where facts are few a text's facts are ranked where it lies.
+    """
+
+    def placed(found: DataFrame) -> DataFrame:
+        ordered = found.join(facts.select("fact_id", "ord"), "fact_id")
+        return ordered.withColumn("place", F.row_number().over(Window.partitionBy(text_key).orderBy(F.desc("score"), "ord"))).drop("ord")
+
+    posted = posted_terms(facts, "fact_id", "proposition", **stops)
+    held = Held.of(posted, "fact_id", **stops)
+    order = None if held is None else _in_order(held, facts)
+    if order is None:
+        return placed(_joined_scores(texts, posted, text_key, text, "fact_id", **stops))
+
+    def ranked(counts: np.ndarray, brief: np.ndarray) -> tuple[np.ndarray, ...]:
+        score = scores(counts, brief)[order]
+        at = np.flatnonzero(score)
+        at = at[np.argsort(-score[at], kind="stable")]
+        return order[at], score[at], np.arange(1, len(at) + 1, dtype=np.int32)
+
+    single, repeated = _by_repeats(texts, text_key)
+    found = held.touched(single, text_key, text, facts.schema["fact_id"], "score long, place int", ranked).select("fact_id", text_key, "score", "place")
+    return found if repeated is None else found.unionByName(placed(_summed_scores(held, repeated, facts, text_key, text, "fact_id")))
 
 
 def matched_beliefs(beliefs: DataFrame, facts: DataFrame, key: str, proposition: str = "proposition", **stops) -> DataFrame:
-    """key, fact_id of the first fact in table order that a belief's proposition matches."""
+    """key, fact_id of the first fact in table order that a belief's proposition matches.
+
+    Where facts are few only the first that its terms touch leaves a belief.
+    """
     given = beliefs.select(F.col(key), F.col(proposition).alias("_prop"))
-    by_terms = term_scores(given, facts, key, "_prop", **stops).select(key, "fact_id")
+    posted = posted_terms(facts, "fact_id", "proposition", **stops)
+    held = Held.of(posted, "fact_id", **stops)
+    order = None if held is None else _in_order(held, facts)
+
+    def first(counts: np.ndarray, brief: np.ndarray) -> tuple[np.ndarray, ...]:
+        return (order[scores(counts, brief)[order] > 0][:1],)
+
+    if order is None:
+        by_terms = _joined_scores(given, posted, key, "_prop", "fact_id", **stops).select(key, "fact_id")
+    else:
+        single, repeated = _by_repeats(given, key)
+        by_terms = held.touched(single, key, "_prop", facts.schema["fact_id"], "", first)
+        if repeated is not None:
+            by_terms = by_terms.unionByName(_summed_scores(held, repeated, facts, key, "_prop", "fact_id").select(key, "fact_id"))
     pairs = contained(given, facts, key, "_prop").unionByName(by_terms).join(facts.select("fact_id", "ord"), "fact_id")
     return pairs.groupBy(key).agg(F.min_by("fact_id", "ord").alias("fact_id"))
 

@@ -154,6 +154,23 @@ def test_matching(spark):
     assert rows(cognition.term_scores(texts, facts, "id", "p"), "id", "fact_id", "score") == [("t1", "T1", 3), ("t2", "T3", 10), ("t4", "T2", 4)]
 
 
+def test_few_facts_are_matched_where_texts_lie_as_many_are_by_a_join(spark, monkeypatch):
+    """Brief facts, stop words and n-grams, a key of several rows, null keys and texts: both ways give the same, and the first shuffles no terms."""
+    chance = random.Random(3)
+    some = ["of", "the", "ion", "nation", "notion", "moon", "moonlight", "sea", "seaside", "a", "\x85next", "月亮之上的人", "观察者", "\x1cabc"]
+    facts = spark.createDataFrame([(k, f"T{k}", chance.choice(["ion", "moon", "the sea"]) if k < 4 else " ".join(chance.choices(some, k=8))) for k in range(12)], "ord int, fact_id string, proposition string")
+    given = [(k % 25 if k else None, " ".join(chance.choices(some, k=chance.randrange(6)))) for k in range(40)] + [(None, "moonlight nation"), (99, None)]
+    texts = spark.createDataFrame(given, "id int, p string")
+    stops = dict(stop_words=("of", "notion"), stop_ngrams=("ion", "mo"))
+    direct = [cognition.term_scores(texts, facts, "id", "p", **stops), cognition.matched_facts(texts, facts, "id", "p", **stops), cognition.matched_beliefs(texts, facts, "id", "p", **stops)]
+    single = cognition.matched_facts(texts.where("id >= 17 and id < 25"), facts, "id", "p", **stops)
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+    found = [sorted(map(tuple, d.collect()), key=repr) for d in direct]
+    monkeypatch.setattr(cognition.Held, "of", classmethod(lambda *given, **stops: None))
+    joined = [cognition.term_scores(texts, facts, "id", "p", **stops), cognition.matched_facts(texts, facts, "id", "p", **stops), cognition.matched_beliefs(texts, facts, "id", "p", **stops)]
+    assert found == [sorted(map(tuple, d.collect()), key=repr) for d in joined] and all(found)
+
+
 def test_knowledge_keeps_the_best_and_the_first(spark):
     df = spark.createDataFrame([("a", "f", 0.5, "x", 1, 0), ("a", "f", 0.9, "y", 2, 1), ("a", "f", 0.9, "z", 3, 2)], "agent string, fact_id string, confidence double, source string, chapter int, seq int")
     assert rows(cognition.merged_knowledge(df), "confidence", "source", "confirmed_at_chapter") == [(0.9, "y", 1)]
