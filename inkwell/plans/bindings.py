@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from inkwell.functions import env
 from inkwell.functions.text import strip, typed_terms
 from inkwell.operators import chapters, cognition, memory, scenes, style, timeline, world
+from inkwell.operators.joins import if_small
 from inkwell.sources.tables import kept, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,7 +109,7 @@ UNION ALL SELECT doc_id, 'warn', 'simile', 'density', CAST({SQL_SIMILE} AS DOUBL
 UNION ALL SELECT doc_id, CASE WHEN ratio < 0.5 THEN 'error' WHEN ratio < 0.7 THEN 'warn' ELSE 'info' END, 'length', 'ratio', round(ratio, 6), ratio <= 1 FROM r WHERE ratio < 0.7 OR ratio > 1.5""")
 def quality_issues(spark, d):
     docs = read(spark, d, "documents")
-    mean = docs.groupBy(F.col("lang").alias("_lang")).agg(F.floor(F.avg("n_chars")).alias("target"))
+    mean = if_small(docs.groupBy(F.col("lang").alias("_lang")).agg(F.floor(F.avg("n_chars")).alias("target")))
     return style.quality_issues(docs.join(mean, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang"), "doc_id", FORBIDDEN, SIMILES)
 
 

@@ -57,3 +57,16 @@ def test_rendered_text(spark):
     assert {r.region: r.panic_level for r in render.places(known, wanted).collect()} == {"r": 9, "q": 0}
     issues = spark.createDataFrame([(1, "warn", "simile", "density", 7.0), (1, "error", "forbidden", "w", 1.0)], "id int, severity string, category string, subject string, measure double")
     assert render.issues_text(issues, "id").first().text.startswith("[error] forbidden w")
+
+
+def test_texts_are_not_dealt_by_language(spark):
+    """A language holds a large share of all texts: its mean goes to the texts, also where Spark thinks that it's large."""
+    from inkwell.plans.bindings import QUERIES
+
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = QUERIES["quality_issues"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
