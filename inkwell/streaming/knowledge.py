@@ -2,7 +2,8 @@
 
 Each (agent, fact) is a key with one value as its state, so that an agent who hears most of all entries is spread over the
 tasks. A batch reads and writes the state of its own keys alone, and tells which of them have changed; what has
-been told is a log of changes by batch, of which the last of a key holds.
+been told is a log of changes by batch, of which the last of a key holds. Before a batch is dealt by key, each of its tasks
+keeps only the entries that its keys rest on, so that the Python state meets two rows of a key from a task, not all of them.
 """
 
 from __future__ import annotations
@@ -10,6 +11,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -22,6 +26,37 @@ ENTRY = "agent {agent}, fact_id {fact}, confidence double, source {source}, conf
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Rows among which a task looks for what its keys rest on; rows of a file of ``replayed``.
+LOOKED_ROWS, FILE_ROWS = 500_000, 250_000
+
+
+def _deciding(rows: pa.Table) -> pa.Table:
+    """Of each (agent, fact_id) the best row and the first one, by ``seq``."""
+    placed = rows.select(["agent", "fact_id", "seq", "confidence"]).append_column("at", pa.array(np.arange(rows.num_rows)))
+
+    def first_by(order: list[tuple[str, str]]) -> pa.ChunkedArray:
+        return placed.take(pc.sort_indices(placed, sort_keys=order)).group_by(["agent", "fact_id"], use_threads=False).aggregate([("at", "first")]).column("at_first")
+
+    best, first = first_by([("confidence", "descending"), ("seq", "ascending")]), first_by([("seq", "ascending")])
+    return rows.take(pc.unique(pa.chunked_array([*best.chunks, *first.chunks], pa.int64())))
+
+
+def _deciding_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The deciding rows of a task's keys, of each run of ``LOOKED_ROWS`` where its keys are too many to be held."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= LOOKED_ROWS:
+            kept = _deciding(pa.Table.from_batches(held))
+            held, n = kept.to_batches(), kept.num_rows
+            if 2 * n > LOOKED_ROWS:
+                yield from held
+                held, n = [], 0
+    if held:
+        yield from _deciding(pa.Table.from_batches(held)).to_batches()
+
+
 class Knowing(StatefulProcessor):
     """The best entry of a key (its confidence and source, the first to reach it) and the chapter of its first one, by ``seq``."""
 
@@ -59,6 +94,7 @@ def advancing_knowledge(entries: DataFrame) -> DataFrame:
     kinds = dict(entries.dtypes)
     given = entries.where("confidence IS NOT NULL AND seq IS NOT NULL").select("agent", "fact_id", F.col("seq").cast("long").alias("seq"), F.col("confidence").cast("double").alias("confidence"), "source", F.col("chapter").cast("int").alias("chapter"))
     out = ENTRY.format(agent=kinds["agent"], fact=kinds["fact_id"], source=kinds["source"])
+    given = given.mapInArrow(_deciding_batches, given.schema)
     return given.groupBy("agent", "fact_id").transformWithState(statefulProcessor=Knowing(kinds["source"]), outputStructType=out, outputMode="Update", timeMode="None")
 
 
@@ -82,10 +118,14 @@ def kept_knowledge(spark: SparkSession, folder: str) -> DataFrame | None:
 
 
 def replayed(entries: DataFrame, folder: str, batches: int, order: str = "seq") -> DataFrame:
-    """The table after ``entries`` came as a stream of ``batches`` batches, by falling ``order`` (late ones last), with all state below ``folder``."""
+    """The table after ``entries`` came as a stream of ``batches`` batches, by falling ``order`` (late ones last), with all state below ``folder``.
+
+    A batch is as many files of about ``FILE_ROWS`` as it needs, so that it is written and read by as many tasks.
+    """
     spark, place = entries.sparkSession, f"{folder}/replay-{uuid.uuid4().hex}"
-    entries.repartitionByRange(batches, F.desc(order)).write.parquet(f"{place}/in")
-    arriving = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    files = max(1, -(-entries.count() // (batches * FILE_ROWS)))
+    entries.repartitionByRange(batches * files, F.desc(order)).write.parquet(f"{place}/in")
+    arriving = spark.readStream.schema(entries.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in")
     keep_knowledge(arriving, f"{place}/out", f"{place}/state").awaitTermination()
     found = kept_knowledge(spark, f"{place}/out")
     return found if found is not None else advancing_schema(entries)

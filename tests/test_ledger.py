@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,6 +139,21 @@ def test_streamed_knowledge_is_that_of_all_entries(spark, tmp_path):
     assert rows(found) == brute_knowledge(entries)
 
 
+def test_state_meets_only_what_a_task_s_keys_rest_on(monkeypatch):
+    """The best and the first entry of each key are what leaves a task, whatever its batches and however few rows it may hold."""
+    chance = random.Random(2)
+    entries = [(chance.choice("abc"), chance.choice(["f", "g", None]), k, chance.choice([0.2, 0.5, 0.9]), chance.choice([f"s{k}", None]), chance.randrange(9)) for k in range(400)]
+    chance.shuffle(entries)
+    names = ["agent", "fact_id", "seq", "confidence", "source", "chapter"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, e)) for e in entries[k : k + 50]], pa.schema([("agent", "string"), ("fact_id", "string"), ("seq", "int64"), ("confidence", "double"), ("source", "string"), ("chapter", "int32")])) for k in range(0, 400, 50)]
+    for looked in (10**6, 100, 20):
+        monkeypatch.setattr(knowledge, "LOOKED_ROWS", looked)
+        found = [tuple(r[n] for n in names) for b in knowledge._deciding_batches(iter(batches)) for r in b.to_pylist()]
+        assert brute_knowledge(found) == brute_knowledge(entries) and set(found) <= set(entries) and len(found) == len(set(found))
+        assert len(found) <= (18 if looked > 20 else 150)
+    assert list(knowledge._deciding_batches(iter([]))) == []
+
+
 def test_a_batch_tells_only_what_it_changes(spark, tmp_path):
     folders = [str(tmp_path / n) for n in ("in", "out", "state")]
     batches = [[("a", "f", 5, 0.5, "s5", 1), ("a", "g", 6, 0.4, "s6", 1)], [("a", "f", 7, 0.3, "s7", 2), ("b", "f", 8, 0.3, "s8", 2)], [("a", "f", 2, 0.1, "s2", 0), ("a", "g", 9, 0.9, "s9", 3)]]
