@@ -5,6 +5,7 @@ import json
 import os
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -61,6 +62,28 @@ def test_gate_is_that_of_a_scan_for_each_word(text):
     assert sorted(gate.violations(text), key=repr) == brute_gate(text, WORDS)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab\n😀é ", min_size=1, max_size=5), max_size=12, unique=True), st.text(alphabet="ab\n😀é ", max_size=80), st.booleans())
+def test_index_finds_every_word(words, text, equal_hashes):
+    """As a scan for each word does, also where words share a hash."""
+    index = lexicon.Index(pa.array(words, pa.large_string()))
+    if equal_hashes and words:
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lexicon.Index, "_mixed", staticmethod(lambda hashes, length: hashes * np.uint64(0) + np.uint64(7)))
+            index = lexicon.Index(pa.array(words, pa.large_string()))
+            found = list(index.iter(text))
+    else:
+        found = list(index.iter(text))
+    assert sorted((place, words[k], n) for place, k, n in found) == sorted((i, w, len(w)) for w in words for i in range(len(text)) if text.startswith(w, i))
+
+
+def test_index_of_many_words_is_small():
+    """Some 30 bytes a word and its characters, so that millions of words are one part."""
+    index = lexicon.Index(pa.array([f"word{k:07}" for k in range(100_000)], pa.large_string()))
+    held = sum(a.nbytes for a in (index.words, index.order, index.hashes, index.fronts, index.wholes))
+    assert held < 60 * 100_000 and lexicon.PART_CHARS >= 60_000_000
+
+
 @pytest.mark.parametrize("part_chars", [1 << 20, 3])
 def test_gate_over_documents(spark, part_chars):
     texts = [(1, 'ab b\n"b\nb"\nb'), (2, None), (3, ""), (4, "aaaaaa x x x x"), (4, "b"), (None, "ab")]
