@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from inkwell.operators import asof, automata, cognition, lexicon, numbering, style
+from inkwell.operators import asof, automata, cognition, lexicon, meetings, numbering, style
 from inkwell.plans import generate, specs
 from inkwell.sources import config, store, variants, vault_source
 from inkwell.streaming import knowledge
@@ -405,6 +405,41 @@ def test_pairs_hold_bits_of_facts_and_tasks_follow_their_number(spark):
     assert cognition.co_presence(crowd, ["day", "place"]).rdd.getNumPartitions() == 20
 
 
+def test_pairs_that_meet_often_are_not_shuffled(spark, monkeypatch):
+    chance = random.Random(8)
+    met = [(day, place, f"a{k}") for day in range(6) for place in ("x", "y", None) for k in range(90) if chance.random() < 0.3]
+    presence = spark.createDataFrame(met + met[:40] + [(1, "x", None)], "day int, place string, agent string")
+    held = [(day, place, f, (day, place) if day != 3 else None) for day in range(6) for place in ("x", "y") for f in range(150) if chance.random() < 0.1]
+    scene_facts = spark.createDataFrame(held, "day int, place string, fact_id int, at struct<day: int, place: string>")
+    facts = spark.createDataFrame([(f, "secret" if f % 5 == 0 else None) for f in range(200)], "fact_id int, category string")
+    trust = spark.createDataFrame([(f"a{i}", f"a{j}", (i + 2 * j) % 10 / 10) for i in range(90) for j in range(90) if (i + j) % 3], "who string, target string, trust double")
+    given = presence, scene_facts, facts, trust, ["day", "place"], "agent", ("secret",)
+
+    def found():
+        first, tom, counts = cognition.theory_of_mind(*given), cognition.theory_of_mind(*given, first=False), cognition.theory_of_mind_counts(*given)
+        plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (first, tom, counts)]
+        return plans, [sorted(map(tuple, d.select(*sorted(d.columns)).collect()), key=repr) for d in (first, tom, counts)]
+
+    monkeypatch.setattr(meetings, "SLAB_AGENTS", 13)
+    monkeypatch.setattr(meetings, "BATCH_ROWS", 50)
+    plans, blocks = found()
+    assert not any("Repartition" in p for p in plans) and all("MapInArrow" in p for p in plans)
+    monkeypatch.setattr(cognition, "meet_often", lambda *_: None)
+    plans, grouped = found()
+    assert all("Repartition" in p for p in plans)
+    assert blocks == grouped and all(blocks)
+
+
+def test_groups_follow_the_agents_and_rare_meetings_are_grouped(spark, monkeypatch):
+    assert meetings.n_groups(90_000, 6_000_000, 12) == 22 and meetings.n_groups(5, 5, 12) == 1 and meetings.n_groups(1500, 99_000, 8) == 6 and meetings.n_groups(10, 40_000_000, 8) == 10
+    rare = spark.range(400).select((F.col("id") / 2).cast("long").alias("place"), F.col("id").alias("agent"))
+    assert meetings.meet_often(rare, ["place"], "agent") is not None
+    monkeypatch.setattr(meetings, "GROUP_AGENTS", 100)
+    assert meetings.meet_often(rare, ["place"], "agent") is None
+    assert meetings.meet_often(rare.withColumn("place", F.lit(1)), ["place"], "agent")[1] == 400
+    assert meetings.meet_often(rare.select("place", F.struct("agent").alias("agent")), ["place"], "agent") is None
+
+
 def test_texts_are_normalised_and_marked_in_one_pass(spark):
     texts = [(1, "He said: a-b c, d!"), (2, "b.c"), (3, " 　**\n"), (4, None), (5, ""), (6, "B.C"), (7, "longer than any of the facts, b.c not")]
     facts = spark.createDataFrame([(10, "a b c d"), (11, "**"), (12, "...")], "fact_id int, proposition string")
