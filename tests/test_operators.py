@@ -278,3 +278,21 @@ def test_tasks_follow_the_pairs_of_agents_and_traces(spark, monkeypatch):
     found = world.perceived(agents, traces, ("s1",))
     assert "Repartition 12" in found._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.agent, r.trace_id) for r in found.collect()} == {(a, t) for a in range(20) for t in range(6) if t % 3 == 0 or a % 2}
+
+
+def test_agents_alike_perceive_as_one(spark, monkeypatch):
+    held = [(k, f"n{k}", "xyz"[k % 3] if k % 7 else None, k % 2, "s1" if k % 2 else "s2", {"f": ("k", k % 2 / 2)} if k % 5 else None) for k in range(120)]
+    agents = spark.createDataFrame(held, "agent int, name string, location string, mutation_phase int, perception_stage string, relationships map<string,struct<type:string,trust:double>>")
+    traces = spark.createDataFrame([(k, [["x"], [], ["y", "x", "y"], None][k % 4], k % 2, "s1" if k % 3 else "s2", "f" if k % 2 else None, 0.4) for k in range(9)], "trace_id int, locations array<string>, min_mutation_phase int, min_perception_stage string, requires_relationship_with string, min_trust double")
+    expected = {(r.agent, r.name, r.trace_id) for r in agents.crossJoin(traces).where(world.perceivable(("s1", "s2"))).collect()}
+    monkeypatch.setattr(world, "PAIRS_A_TASK", 10**9)
+    classes = world.alike(agents, 1)
+    assert classes.count() < 40 and sum(len(r["_agents"]) for r in classes.collect()) == 120
+    assert world.alike(agents, 90).count() > 2 * classes.count()
+    found = world.perceived(agents, traces, ("s1", "s2"))
+    assert sorted((r.agent, r.name, r.trace_id) for r in found.collect()) == sorted(expected) and expected
+    assert found.columns == ["location", "agent", "name", "mutation_phase", "perception_stage", "relationships", *traces.columns]
+    monkeypatch.setattr(world, "CLASS_AGENTS", 2)
+    assert max(len(r["_agents"]) for r in world.alike(agents, 1).collect()) < 8
+    tagged = agents.withColumn("tags", F.create_map(F.lit("k"), "agent"))
+    assert sorted((r.agent, r.name, r.trace_id) for r in world.perceived(tagged, traces, ("s1", "s2")).collect()) == sorted(expected)
